@@ -1,0 +1 @@
+"""The work rebuilt here is batch only: no stream source, sink or state exists in it."""
