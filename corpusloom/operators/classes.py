@@ -46,8 +46,14 @@ def labels_min_count(rows: DataFrame, min_count: int = 2, by: tuple[str, ...] =
     return join_small(rows, keep, [*by, label], "left_semi")
 
 
-def large_classes(counts: DataFrame, by: tuple[str, ...] = (), label: str = "label") -> DataFrame:
-    """Class counts of the classes with more rows than there are classes."""
+def large_classes(counts: DataFrame, by: tuple[str, ...] = (), label: str = "label",
+                  n_classes: int | None = None) -> DataFrame:
+    """Class counts of the classes with more rows than there are classes.
+
+    ``n_classes`` is given where classes without any row count as well.
+    """
+    if n_classes is not None:
+        return counts.filter(F.col("n") > n_classes)
     task = W.partitionBy(*[F.col(c) for c in by], F.lit(0))
     return counts.withColumn("k", F.count(F.lit(1)).over(task)).filter("n > k")
 

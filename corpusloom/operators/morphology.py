@@ -98,10 +98,15 @@ def classify(sentences: DataFrame, keep: tuple[str, ...], sorting: str | None =
     if sorting in ("by_deprel", "by_pos_and_deprel") and not base_deprel:
         # the inventory names relations without their subtype
         tokens = tokens.filter(~F.col("deprel").contains(":"))
-    return tokens.select(
+    named = tokens.select(
         *keep, _subcategory(sorting, F.col("upos"), relation).alias("subcategory"),
-        "category", F.col("value").alias("label"),
+        "category", F.col("value").alias("label"), "upos", "deprel",
     )
+    if sorting in ("by_pos", "by_pos_and_deprel"):
+        named = named.filter(F.col("upos").isNotNull())
+    if sorting in ("by_deprel", "by_pos_and_deprel"):
+        named = named.filter(F.col("deprel").isNotNull())
+    return named.drop("upos", "deprel")
 
 
 def task_name() -> Column:

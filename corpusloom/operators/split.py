@@ -212,8 +212,3 @@ def control_labels(rows: DataFrame, key: str, seed: int = MORPHOLOGY_SEED, stage
 def shuffle_rows(rows: DataFrame, key: str, seed: int = MORPHOLOGY_SEED) -> DataFrame:
     """A repeatable random order inside each stage, as a sortable column."""
     return rows.withColumn("shuffle_key", shuffle_key(seed, F.col(key)))
-
-
-def task_quotas(counts: DataFrame, partition, by: tuple[str, ...] = (), label: str = "label") -> DataFrame:
-    """Quotas after the rule that a class must outnumber the classes."""
-    return split_quotas(large_classes(counts, by, label), partition, by, label)

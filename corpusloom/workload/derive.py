@@ -11,7 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.morph import TOKEN_TYPE
-from ..functions.text import WORDPUNCT, wordpunct_tokens
+from ..functions.text import WORDPUNCT, wordpunct, wordpunct_tokens
+from ..operators.dims import spread
+from ..operators.metrics import compute_metrics
+from ..session import persist_table
 
 LAYERS = 4
 LAYER_WIDTH = 16
@@ -107,9 +110,21 @@ def annotate(words: Column) -> Column:
     ).cast(f"array<{TOKEN_TYPE}>")
 
 
+_STORED: dict[tuple[str, str], DataFrame] = {}
+
+
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The annotated sentences of all documents, written once per session and table."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        _STORED[key] = persist_table(annotated_lines(spark, sf_dir), "sentences")
+    return _STORED[key]
+
+
+def annotated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per non-blank line of every document, with its annotated words."""
-    lines = table(spark, sf_dir, "documents").select(
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id")
+    lines = docs.select(
         "doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("line_no", "line")
     )
     words = lines.select(
@@ -124,26 +139,34 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def task_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled texts: documents with their quality label, tokenized."""
-    from ..functions.text import wordpunct
-
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    labels = table(spark, sf_dir, "labels")
-    return docs.join(labels, "doc_id").select(
-        "doc_id", "lang",
-        F.col("quality").cast("string").alias("label"),
-        wordpunct(F.col("text")).alias("text"),
+def role(doc_id: Column, lang: Column) -> Column:
+    """Treebank file of a document: en has three files, fr two, the others one."""
+    tenth = doc_id % 10
+    return (
+        F.when(lang == "en", F.when(tenth < 8, "train").when(tenth == 8, "dev").otherwise("test"))
+        .when(lang == "fr", F.when(tenth < 8, "train").otherwise("test"))
+        .otherwise("train")
     )
 
 
+def quality_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled texts: documents with their quality label, tokenized."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("label"))
+    return docs.join(labels, "doc_id").select("doc_id", "label", wordpunct(F.col("text")).alias("text"))
+
+
 def lang_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a labelled text whose class is its language."""
-    from ..functions.text import wordpunct
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id")
+    return docs.select("doc_id", F.col("lang").alias("label"), wordpunct(F.col("text")).alias("text"))
 
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", F.col("lang").alias("label"), wordpunct(F.col("text")).alias("text")
-    )
+
+def staged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lang_rows`` with eight, one and one tenths in the stages."""
+    tenth = F.col("doc_id") % 10
+    stage = F.when(tenth < 8, "tr").when(tenth == 8, "va").otherwise("te")
+    return lang_rows(spark, sf_dir).withColumn("stage", stage)
 
 
 def layer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,6 +190,40 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def run_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions of several runs on the vectors: 2 classifiers x task and control x layers."""
+    variants = F.array(*[
+        F.struct(F.lit(c).alias("classifier_name"), F.lit(ctl).alias("control"), F.lit(l).alias("layer"))
+        for c in ("logreg", "mlp") for ctl in (False, True) for l in range(LAYERS)
+    ])
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.explode(variants).alias("v")).select(
+        "vec_id", "label", "v.*"
+    )
+    every = F.col("layer") + F.when(F.col("classifier_name") == "mlp", 3).otherwise(2)
+    wrong = F.when(F.col("control"), F.col("vec_id") % 3 != 0).otherwise(F.col("vec_id") % every == 0)
+    return rows.select(
+        F.element_at(F.array(*map(F.lit, ("en", "fr", "de", "es"))), (F.col("vec_id") % 4 + 1).cast("int")).alias("task_language"),
+        F.when(F.col("vec_id") % 2 == 0, "Number").otherwise("Case").alias("task_category"),
+        "classifier_name", "control", "layer", "label",
+        F.when(wrong, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("prediction"),
+    )
+
+
+RUN_KEYS = ("task_language", "task_category", "classifier_name", "control", "layer")
+
+
+def run_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of those runs as the long fact table."""
+    scores = compute_metrics(run_predictions(spark, sf_dir), ["f1", "accuracy"], RUN_KEYS)
+    run = F.concat_ws("-", "task_language", "task_category", "classifier_name",
+                      F.when(F.col("control"), "control").otherwise("task"))
+    return scores.select(
+        run.alias("run_id"), "task_language", "task_category", F.lit("slices").alias("hf_model_name"),
+        "classifier_name", "control", "layer", F.lit(0).alias("epoch"), F.lit("test").alias("stage"),
+        "metric", "value", F.concat(run, F.lit("/log.json")).alias("log_path"),
+    )
+
+
 # --- the same rules for DuckDB ----------------------------------------------
 
 SQL_SENT = f"""
@@ -220,3 +277,43 @@ feat AS (SELECT sent_key, doc_id, lang, id, form, upos, deprel, unnest([
 
 # Path of word ids from the root, for trees where word i hangs on word i div 2.
 SQL_PATH = "list_transform(range(CAST(floor(log2(id)) AS BIGINT), -1, -1), lambda k: id >> k)"
+
+SQL_ROLE = """CASE lang WHEN 'en' THEN CASE WHEN doc_id % 10 < 8 THEN 'train' WHEN doc_id % 10 = 8 THEN 'dev' ELSE 'test' END
+     WHEN 'fr' THEN CASE WHEN doc_id % 10 < 8 THEN 'train' ELSE 'test' END ELSE 'train' END"""
+
+SQL_WORDPUNCT = f"array_to_string(regexp_extract_all(text, '{WORDPUNCT}'), ' ')"
+
+SQL_LANG = f"lr AS (SELECT doc_id, lang AS label, {SQL_WORDPUNCT} AS text FROM documents)"
+
+SQL_STAGED = """st AS (SELECT doc_id, label, text,
+  CASE WHEN doc_id % 10 < 8 THEN 'tr' WHEN doc_id % 10 = 8 THEN 'va' ELSE 'te' END AS stage FROM lr)"""
+
+SQL_PRED = """pr AS (SELECT vec_id, label,
+  CASE WHEN vec_id % 5 = 0 THEN (label + 1) % 10 ELSE label END AS prediction FROM embeddings)"""
+
+SQL_LAYERS = f"""ly AS (SELECT vec_id, label, l AS layer,
+  list_slice(embedding, l * {LAYER_WIDTH} + 1, l * {LAYER_WIDTH} + {LAYER_WIDTH}) AS features
+  FROM embeddings, range({LAYERS}) AS r(l))"""
+
+SQL_FACTS = """rp AS (SELECT ['en','fr','de','es'][vec_id % 4 + 1] AS task_language,
+    CASE WHEN vec_id % 2 = 0 THEN 'Number' ELSE 'Case' END AS task_category,
+    classifier_name, control, layer, label,
+    CASE WHEN CASE WHEN control THEN vec_id % 3 <> 0
+              ELSE vec_id % (layer + CASE WHEN classifier_name = 'mlp' THEN 3 ELSE 2 END) = 0 END
+         THEN (label + 1) % 10 ELSE label END AS prediction
+  FROM embeddings, (VALUES ('logreg'), ('mlp')) c(classifier_name), (VALUES (false), (true)) k(control),
+       range(4) AS r(layer)),
+cls AS (SELECT task_language, task_category, classifier_name, control, layer, label,
+    count(*) AS support, count(*) FILTER (label = prediction) AS tp FROM rp GROUP BY ALL),
+prd AS (SELECT task_language, task_category, classifier_name, control, layer, prediction AS label,
+    count(*) AS predicted FROM rp GROUP BY ALL),
+f1s AS (SELECT task_language, task_category, classifier_name, control, layer,
+    sum(support * 2.0 * tp / (support + coalesce(predicted, 0))) / sum(support) AS f1,
+    sum(tp) * 1.0 / sum(support) AS accuracy
+  FROM cls LEFT JOIN prd USING (task_language, task_category, classifier_name, control, layer, label)
+  GROUP BY ALL),
+facts AS (SELECT task_language || '-' || task_category || '-' || classifier_name || '-' ||
+      CASE WHEN control THEN 'control' ELSE 'task' END AS run_id, task_language, task_category,
+    'slices' AS hf_model_name, classifier_name, control, layer, 0 AS epoch, 'test' AS stage, metric,
+    CASE metric WHEN 'f1' THEN f1 ELSE accuracy END AS value
+  FROM f1s, (VALUES ('f1'), ('accuracy')) m(metric))"""
