@@ -137,7 +137,7 @@ class Pattern:
         test = F.size(words) > 0
         for name, fields in self.nodes.items():
             if fields:
-                test = test & F.exists(words, lambda t, n=name: self.node_matches(n, t))
+                test = test & self._some(name, words)
         return test
 
     def exists(self, words: Column) -> Column:
@@ -145,7 +145,7 @@ class Pattern:
         test = F.size(words) > 0
         for name in self.free:
             if self.nodes[name]:
-                test = test & F.exists(words, lambda t, n=name: self.node_matches(n, t))
+                test = test & self._some(name, words)
         if not self.bound:
             return test
         return test & self._with_env(words, _Any())
@@ -194,8 +194,7 @@ class Pattern:
             contiguous(words).alias("dense"),
             *[
                 (
-                    F.filter(words, lambda t, n=n: self._as_dependent(n, t))
-                    if self._is_filtered(n) else words
+                    self._dependents(n, words) if self._is_filtered(n) else words
                 ).alias(f"c_{n}")
                 for n in self.bound
             ],
@@ -204,6 +203,12 @@ class Pattern:
             F.transform(F.array(env), lambda e: self._search(e, {}, self._order(), mode)), 1
         )
 
+    def _some(self, name: str, words: Column) -> Column:
+        return F.exists(words, lambda t: self.node_matches(name, t))
+
+    def _dependents(self, name: str, words: Column) -> Column:
+        return F.filter(words, lambda t: self._as_dependent(name, t))
+
     def _is_filtered(self, name: str) -> bool:
         return bool(self.nodes[name]) or any(
             dep == name and "deprels" in rules for (_, dep), rules in self.constraints.items()

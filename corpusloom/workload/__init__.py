@@ -1,0 +1,13 @@
+"""All registered queries."""
+
+from importlib import import_module
+
+MODULES = ("text_and_patterns",)
+
+
+def load():
+    from . import registry
+
+    for module in MODULES:
+        import_module(f"{__name__}.{module}")
+    return registry.QUERIES, registry.ORACLES
