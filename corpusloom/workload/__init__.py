@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("text_and_patterns",)
+MODULES = ("classes_and_splits", "morphology")
 
 
 def load():
