@@ -17,15 +17,10 @@ from ..functions.text import shuffle_key
 from .classes import class_counts, large_classes
 from .dims import join_small, settle
 
-# Seeds of the two builders, and the split by number of files.
+# Seeds of the two builders.
 FILTER_SEED = 3
 MORPHOLOGY_SEED = 42
 STAGES = ("tr", "va", "te")
-FILE_PLANS = {
-    1: {"train": (0.8, 0.1, 0.1)},
-    2: {"train": (1.0, 0.0, 0.0), "test": (0.0, 0.5, 0.5)},
-    3: {"train": (1.0, 0.0, 0.0), "dev": (0.0, 1.0, 0.0), "test": (0.0, 0.0, 1.0)},
-}
 COUNT = "decimal(38,0)"
 # Hex digits of the hash counted per group: 65,536 counts. A class of 10^12 rows
 # then ranks about 15 million rows per cut, spread over the cuts.

@@ -7,17 +7,20 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..operators import morphology as mo
 from ..operators.classes import class_counts, drop_ambiguous, large_classes
 from ..operators.dims import join_small, settle
 from ..operators.split import (
-    FILE_PLANS, FILTER_SEED, MORPHOLOGY_SEED, STAGES, assign_parts, split_by_quotas, split_quotas,
+    FILTER_SEED, MORPHOLOGY_SEED, STAGES, assign_parts, split_by_quotas, split_quotas,
 )
 from ..session import persist_table
 from .pattern import Pattern
 
-DEFAULT_PARTITION = (0.8, 0.1, 0.1)
+# Fractions for one file, and for the second of two.
+ONE_FILE = DEFAULT_PARTITION = (0.8, 0.1, 0.1)
+SECOND_FILE = (0.5, 0.5)
 
 
 # --- syntactic pattern tasks --------------------------------------------------
@@ -90,42 +93,31 @@ class MorphologyTasks:
     status: DataFrame
 
 
-def file_plan(n_files: int, role: str) -> tuple[float, float, float]:
-    """Parts that a treebank file is divided into, by the number of files."""
-    if n_files not in FILE_PLANS:
-        raise NotImplementedError(f"too many files: {n_files}")
-    plan = FILE_PLANS[n_files]
-    if n_files == 2 and role != "train":
-        role = "test"
-    if n_files == 1:
-        role = "train"
-    return plan[role]
-
-
 def file_quotas(counts: DataFrame, corpora: DataFrame, by: tuple[str, ...]) -> DataFrame:
     """Rows of each class and file for each stage.
 
-    ``counts`` is (by, role, subcategory, category, label, n), ``corpora`` is
-    (by, role, n_files). A file with fewer than two classes of a task gives nothing.
+    ``counts`` is (by, role, subcategory, category, label, n), ``corpora`` comes
+    from ``corpora_of``. A file with fewer than two classes of a task gives nothing.
+    A lone file is divided in three; of two files the first is for training and the
+    second divided; three files are the three stages.
     """
     task = [*by, "role", "subcategory", "category"]
     kinds = F.when(F.col("n_files") == 1, "all").when(
-        (F.col("n_files") == 2) & (F.col("role") != "train"), "rest"
+        (F.col("n_files") == 2) & (F.col("file_no") == 2), "rest"
     ).otherwise("whole")
     sized = counts.join(corpora, [*by, "role"]).withColumn("__kind", kinds)
     many = sized.groupBy(*task).agg(F.count(F.lit(1)).alias("__k")).filter("__k >= 2").drop("__k")
     sized = sized.join(many, task, "left_semi")
     zero = F.lit(0).cast("bigint")
-    stage_of = F.when(F.col("role") == "dev", "va").when(
-        (F.col("role") == "test") & (F.col("n_files") == 3), "te").otherwise("tr")
+    stage_of = F.element_at(F.array(*map(F.lit, STAGES)), F.col("file_no"))
     whole = sized.filter("__kind = 'whole'").select(
         *task, "label", "n",
         *[F.when(stage_of == s, F.col("n")).otherwise(zero).alias(f"n_{s}") for s in STAGES],
     )
-    enough = lambda kind: large_classes(sized.filter(F.col("__kind") == kind).drop("n_files", "__kind"), tuple(task))
-    parts = split_quotas(enough("all"), FILE_PLANS[1]["train"], tuple(task))
+    enough = lambda kind: large_classes(sized.filter(F.col("__kind") == kind).drop("n_files", "file_no", "__kind"), tuple(task))
+    parts = split_quotas(enough("all"), ONE_FILE, tuple(task))
     # two parts: the first is validation here
-    rest = split_quotas(enough("rest"), FILE_PLANS[2]["test"][1:], tuple(task)).select(
+    rest = split_quotas(enough("rest"), SECOND_FILE, tuple(task)).select(
         *task, "label", "n", zero.alias("n_tr"), F.col("n_tr").alias("n_va"), "n_te"
     )
     return whole.unionByName(parts).unionByName(rest)
@@ -140,10 +132,14 @@ def task_complete(quotas: DataFrame, corpora: DataFrame, by: tuple[str, ...]) ->
 
 
 def corpora_of(sentences: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """Files of each corpus: (by, role, n_files)."""
-    files = sentences.select(*by, "role").distinct()
-    n = files.groupBy(*by).agg(F.count(F.lit(1)).alias("n_files"))
-    return files.join(n, list(by))
+    """Files of each corpus in the order train, dev, test: (by, role, n_files, file_no)."""
+    files = sentences.select(*by, F.coalesce("role", F.lit("train")).alias("role")).distinct()
+    rank = F.when(F.col("role") == "train", 0).when(F.col("role") == "dev", 1).otherwise(2)
+    corpus = W.partitionBy(*by)
+    return files.select(
+        *by, "role", F.count(F.lit(1)).over(corpus).alias("n_files"),
+        F.row_number().over(corpus.orderBy(rank, "role")).alias("file_no"),
+    )
 
 
 def build_ud_tasks(sentences: DataFrame, by: tuple[str, ...] = ("lang",), sorting: str | None = None,
@@ -156,6 +152,7 @@ def build_ud_tasks(sentences: DataFrame, by: tuple[str, ...] = ("lang",), sortin
     corpus. The labelled rows are written once; counts, quotas and rules work on
     small tables, and a last pass over the rows gives each its stage.
     """
+    sentences = sentences.withColumn("role", F.coalesce("role", F.lit("train")))
     corpora = settle(corpora_of(sentences, by))
     if corpora.filter("n_files > 3").limit(1).count():
         raise NotImplementedError("a corpus has more than three files")

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("classes_and_splits", "morphology")
+MODULES = ("vectors_and_results",)
 
 
 def load():
