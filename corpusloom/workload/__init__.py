@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("vectors_and_results",)
+MODULES = ("text_and_patterns", "classes_and_splits", "morphology", "vectors_and_results", "sources", "probes")
 
 
 def load():
