@@ -15,11 +15,6 @@ TOKEN_TYPE = (
 )
 
 
-def let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it in ``body`` (a lambda argument is not inlined)."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def parse_feats(text: Column) -> Column:
     """``Case=Nom|Number=Sing`` to a map; ``_`` and NULL to NULL."""
     return F.when(
@@ -67,11 +62,9 @@ def token_paths(words: Column) -> Column:
         return F.transform(
             acc,
             lambda x: F.when(x["up"] == 0, x).otherwise(
-                let(
-                    F.get(acc, x["up"] - 1),
-                    lambda a: F.struct(
-                        F.concat(a["path"], x["path"]).alias("path"), a["up"].alias("up")
-                    ),
+                F.struct(
+                    F.concat(F.get(acc, x["up"] - 1)["path"], x["path"]).alias("path"),
+                    F.get(acc, x["up"] - 1)["up"].alias("up"),
                 )
             ),
         )

@@ -35,17 +35,28 @@ def category_pairs(sentences: DataFrame, sorting: str | None = None,
                    by: tuple[str, ...] = ()) -> DataFrame:
     """Distinct (subcategory, category) pairs; relations are cut at the colon."""
     _check_sorting(sorting)
-    sub = lambda t: _subcategory(sorting, t["upos"], deprel_base(t["deprel"]))
+    mark = "\u0001"
+
+    def named(t: Column) -> Column:
+        sub = _subcategory(sorting, t["upos"], deprel_base(t["deprel"]))
+        return F.transform(F.map_keys(t["feats"]), lambda k: F.concat(sub, F.lit(mark), k))
+
+    known = {"by_pos": ("upos",), "by_deprel": ("deprel",), "by_pos_and_deprel": ("upos", "deprel")}
+
+    def counted(t: Column) -> Column:
+        test = t["feats"].isNotNull()
+        for field in known.get(sorting, ()):
+            test = test & F.coalesce(t[field] != "", F.lit(False))
+        return test
+
     # pairs repeat within a sentence: drop the repeats before anything moves
-    pairs = F.array_distinct(F.flatten(F.transform(
-        F.filter("words", lambda t: t["feats"].isNotNull() & sub(t).isNotNull()
-                 & (sub(t) != "") & (F.size(t["feats"]) > 0)),
-        lambda t: F.transform(
-            F.map_keys(t["feats"]),
-            lambda k: F.struct(sub(t).alias("subcategory"), k.alias("category")),
-        ),
-    )))
-    return sentences.select(*by, F.explode(pairs).alias("p")).select(*by, "p.*").distinct()
+    # (as strings, which Spark compares by hash)
+    pairs = F.array_distinct(F.flatten(F.transform(F.filter("words", counted), named)))
+    found = sentences.select(*by, F.explode(pairs).alias("p")).distinct()
+    return found.select(
+        *by, F.split_part("p", F.lit(mark), F.lit(1)).alias("subcategory"),
+        F.split_part("p", F.lit(mark), F.lit(2)).alias("category"),
+    )
 
 
 def category_inventory(sentences: DataFrame, sorting: str | None = None,

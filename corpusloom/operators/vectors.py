@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .dims import small_or_none
+from .dims import join_salted, small_or_none
 
 POOLINGS = ("first", "last", "sum", "avg")
 # A text with more copies than this is spread over several tasks when joined back.
@@ -72,44 +72,49 @@ def pool(token_vectors: Column, how: str) -> Column:
     return F.when(F.size(token_vectors) > 0, total)
 
 
+def text_id(text: str = "text") -> Column:
+    """Identity of a text: short enough to shuffle in place of the text."""
+    return F.sha2(F.col(text), 256)
+
+
 def encode_distinct(rows: DataFrame, encode: Callable[[DataFrame], DataFrame], key: str,
                     text: str = "text", store: DataFrame | None = None) -> DataFrame:
     """Encode each different text once and give the vectors to all of its rows.
 
-    ``encode`` takes a frame with the text column and returns it with vector
-    columns added. ``store`` holds vectors computed before; only texts that are
-    missing there are encoded.
+    ``encode`` takes a frame of (text_id, text) and replaces the text by vector
+    columns. ``store`` holds vectors computed before, by ``text_id``; only texts
+    that are missing there are encoded. Copies of a text collapse before the
+    shuffle, and rows travel without their text when they fetch their vectors.
     """
-    counts = rows.groupBy(text).agg(F.count(F.lit(1)).alias("__n"))
+    marked = rows.withColumn("text_id", text_id(text))
+    texts = marked.groupBy("text_id").agg(F.first(text).alias(text), F.count(F.lit(1)).alias("__n"))
+    counts = texts.select("text_id", "__n")
     if store is None:
-        vectors = encode(counts.select(text))
+        vectors = encode(texts.select("text_id", text))
     else:
-        fresh = encode(counts.select(text).join(store.select(text), text, "left_anti"))
-        vectors = store.join(counts.select(text), text, "left_semi").unionByName(fresh)
-    return join_copies(rows, vectors, counts, key, text)
+        fresh = encode(texts.select("text_id", text).join(store.select("text_id"), "text_id", "left_anti"))
+        vectors = store.join(counts.select("text_id"), "text_id", "left_semi").unionByName(fresh)
+    return join_copies(marked.drop(text), vectors, counts, key).drop("text_id")
 
 
 def join_copies(rows: DataFrame, vectors: DataFrame, counts: DataFrame, key: str,
-                text: str = "text", hot_copies: int = HOT_COPIES) -> DataFrame:
+                hot_copies: int | None = None) -> DataFrame:
     """Join rows to one vector per text, spreading texts with very many copies.
 
-    A hot text is marked by its hash (at most rows / hot_copies of them), its
-    vector repeated once per ``hot_copies`` rows, and its rows dealt out over
-    those repeats by their own key.
+    The vector of a hot text is repeated once per ``hot_copies`` rows, and its
+    rows are dealt out over those repeats by their own key. At most
+    rows / hot_copies texts are hot; the list is broadcast only after its size
+    is known, and beyond that the join is salted as a whole.
     """
-    hot = counts.filter(F.col("__n") > hot_copies).select(
-        F.xxhash64(text).alias("__h"), F.ceil(F.col("__n") / hot_copies).cast("int").alias("__s")
-    ).groupBy("__h").agg(F.max("__s").alias("__s"))
-    hot = small_or_none(hot)
-    if hot is None or hot.isEmpty():
-        return rows.join(vectors, text)
-    marked = rows.withColumn("__h", F.xxhash64(text)).join(F.broadcast(hot), "__h", "left")
-    dealt = marked.withColumn(
-        "__salt", F.coalesce(F.pmod(F.xxhash64(key), F.col("__s")).cast("int"), F.lit(0))
-    ).drop("__h", "__s")
-    repeated = (
-        vectors.withColumn("__h", F.xxhash64(text)).join(F.broadcast(hot), "__h", "left")
-        .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__s", F.lit(1)) - 1)))
-        .drop("__h", "__s")
-    )
-    return dealt.join(repeated, [text, "__salt"]).drop("__salt")
+    hot_copies = hot_copies or HOT_COPIES
+    hot = small_or_none(counts.filter(F.col("__n") > hot_copies).select(
+        "text_id", F.ceil(F.col("__n") / hot_copies).cast("int").alias("__s")))
+    if hot is None:
+        return join_salted(rows, vectors, ["text_id"])
+    if hot.isEmpty():
+        return rows.join(vectors, "text_id")
+    dealt = rows.join(F.broadcast(hot), "text_id", "left").withColumn(
+        "__salt", F.coalesce(F.pmod(F.xxhash64(key), F.col("__s")).cast("int"), F.lit(0))).drop("__s")
+    repeated = vectors.join(F.broadcast(hot), "text_id", "left").withColumn(
+        "__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__s", F.lit(1)) - 1))).drop("__s")
+    return dealt.join(repeated, ["text_id", "__salt"]).drop("__salt")

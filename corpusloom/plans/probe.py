@@ -48,7 +48,7 @@ def encode_layers(rows: DataFrame, key: str, text: str = "text", layers: int = 4
         vectors = texts.withColumn("__v", udf(text))
         cut = F.transform(F.sequence(F.lit(0), F.lit(layers - 1)),
                           lambda i: F.slice("__v", i * width + 1, F.lit(width)))
-        return vectors.select(text, cut.alias("layers"))
+        return vectors.select("text_id", cut.alias("layers"))
 
     return layer_explode(encode_distinct(rows, encode, key, text, store))
 
@@ -247,7 +247,7 @@ def run_probe(task: DataFrame, key: str, task_language: str | None = None, task_
     if control:
         task = control_labels(task, key).drop("label").withColumnRenamed("control_label", "label")
     vectors = encode_layers(task, key, layers=layers, width=width, make_predict_fn=make_predict_fn)
-    scores = probe_layers(prepare(vectors.drop("text")), key, classifier, metrics, max_iter=max_iter)
+    scores = probe_layers(prepare(vectors), key, classifier, metrics, max_iter=max_iter)
     stage = F.when(F.col("stage") == "va", "val").when(F.col("stage") == "te", "test").otherwise("train")
     facts = scores.select(
         F.lit(run_id).alias("run_id"), F.lit(task_language).cast("string").alias("task_language"),

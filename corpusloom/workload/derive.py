@@ -25,13 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _upos(word: Column, length: Column) -> Column:
-    first = F.substring(word, 1, 1)
     return (
         F.when(~word.rlike(r"^[\p{L}\p{N}_]"), "PUNCT")
         .when(word.rlike("^[0-9]+$"), "NUM")
         .when(length <= 2, "ADP")
         .when(length == 3, "DET")
-        .when(first != F.lower(first), "PROPN")
+        .when(F.substring(word, 1, 1) != F.lower(F.substring(word, 1, 1)), "PROPN")
         .when(length % 3 == 0, "NOUN")
         .when(length % 3 == 1, "VERB")
         .otherwise("ADJ")
@@ -39,43 +38,37 @@ def _upos(word: Column, length: Column) -> Column:
 
 
 def _feats(upos: Column, length: Column, i: Column) -> Column:
-    nominal = upos.isin("NOUN", "VERB", "ADJ", "PROPN")
-    pairs = {
-        "Number": F.when(nominal, F.when(length % 2 == 0, "Sing").otherwise("Plur")),
-        "Gender": F.when(
-            upos.isin("NOUN", "ADJ"),
-            F.when(i % 3 == 0, "Masc").when(i % 3 == 1, "Fem").otherwise("Neut"),
-        ),
-        "Tense": F.when(upos == "VERB", F.when(i % 2 == 0, "Past").otherwise("Pres")),
-        "VerbForm": F.when(upos == "VERB", F.when(i % 5 == 0, "Inf").otherwise("Fin")),
-        "Degree": F.when(upos == "ADJ", "Pos"),
-        "PronType": F.when(upos == "DET", F.when(i % 4 == 0, "Dem").otherwise("Art")),
-        "NumType": F.when(upos == "NUM", "Card"),
-        "Gender[psor]": F.when(upos == "PROPN", F.when(i % 2 == 0, "Masc").otherwise("Fem")),
-    }
-    entries = F.filter(
-        F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in pairs.items()]),
-        lambda e: e["value"].isNotNull(),
+    """Features by part of speech; NULL for words that have none."""
+
+    def pick(test: Column, yes: str, no: str) -> Column:
+        return F.when(test, yes).otherwise(no)
+
+    number = (F.lit("Number"), pick(length % 2 == 0, "Sing", "Plur"))
+    gender = (F.lit("Gender"), F.when(i % 3 == 0, "Masc").when(i % 3 == 1, "Fem").otherwise("Neut"))
+    tense = (F.lit("Tense"), pick(i % 2 == 0, "Past", "Pres"))
+    verb_form = (F.lit("VerbForm"), pick(i % 5 == 0, "Inf", "Fin"))
+    return (
+        F.when(upos == "NOUN", F.create_map(*number, *gender))
+        .when(upos == "VERB", F.create_map(*number, *tense, *verb_form))
+        .when(upos == "ADJ", F.create_map(*number, *gender, F.lit("Degree"), F.lit("Pos")))
+        .when(upos == "DET", F.create_map(F.lit("PronType"), pick(i % 4 == 0, "Dem", "Art")))
+        .when(upos == "PROPN", F.create_map(*number, F.lit("Gender[psor]"), pick(i % 2 == 0, "Masc", "Fem")))
+        .when(upos == "NUM", F.create_map(F.lit("NumType"), F.lit("Card")))
     )
-    return F.when(F.size(entries) > 0, F.map_from_entries(entries))
 
 
 def _deprel(upos: Column, i: Column) -> Column:
     return (
         F.when(i == 1, "root")
+        .when(upos == "NOUN", F.when(i % 4 == 0, "nsubj").when(i % 4 == 1, "obj")
+              .when(i % 4 == 2, "nsubj:pass").otherwise("obl"))
+        .when(upos == "VERB", F.when(i % 3 == 0, "advcl").when(i % 3 == 1, "aux:pass").otherwise("acl:relcl"))
+        .when(upos == "ADJ", "amod")
         .when(upos == "PUNCT", "punct")
         .when(upos == "ADP", "case")
         .when(upos == "DET", "det")
         .when(upos == "NUM", "nummod")
-        .when(upos == "PROPN", "nmod:poss")
-        .when(upos == "ADJ", "amod")
-        .when((upos == "NOUN") & (i % 4 == 0), "nsubj")
-        .when((upos == "NOUN") & (i % 4 == 1), "obj")
-        .when((upos == "NOUN") & (i % 4 == 2), "nsubj:pass")
-        .when(upos == "NOUN", "obl")
-        .when(i % 3 == 0, "advcl")
-        .when(i % 3 == 1, "aux:pass")
-        .otherwise("acl:relcl")
+        .otherwise("nmod:poss")
     )
 
 
@@ -110,17 +103,31 @@ def annotate(words: Column) -> Column:
     ).cast(f"array<{TOKEN_TYPE}>")
 
 
-_STORED: dict[tuple[str, str], DataFrame] = {}
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The annotated sentences of all documents, written once per session and table."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def stored(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+    """A derived table, written once per session to the shared folder and read from there.
+
+    Queries read their input several times; parsing it anew each time, or below
+    a join, would repeat the work.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _STORED:
-        _STORED[key] = persist_table(annotated_lines(spark, sf_dir), "sentences")
+        _STORED[key] = persist_table(make(spark, sf_dir), name)
     return _STORED[key]
 
 
+def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The annotated sentences of all documents."""
+    return stored(spark, sf_dir, "sentences", annotated_lines)
+
+
+def lang_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a labelled text whose class is its language."""
+    return stored(spark, sf_dir, "lang_rows", tokenized_documents)
+
+
 def annotated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per non-blank line of every document, with its annotated words."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id")
@@ -156,8 +163,7 @@ def quality_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(labels, "doc_id").select("doc_id", "label", wordpunct(F.col("text")).alias("text"))
 
 
-def lang_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as a labelled text whose class is its language."""
+def tokenized_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id")
     return docs.select("doc_id", F.col("lang").alias("label"), wordpunct(F.col("text")).alias("text"))
 

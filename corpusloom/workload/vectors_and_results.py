@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import metrics as me
 from ..operators import results as rs
 from ..operators import vectors as ve
+from ..session import persist_table
 from ..sources import vectors as vs
 from . import derive as d
 from .registry import query
@@ -75,11 +76,11 @@ _pool("avg", "avg(CAST(x AS DOUBLE))")
 
 def _measure(texts):
     """An encoder made of built-in expressions: three numbers per text."""
-    return texts.withColumn("layers", F.array(
+    return texts.select("text_id", F.array(
         F.array(F.length("text").cast("double")),
         F.array(F.length(F.regexp_replace("text", r"[^\p{L}]", "")).cast("double")),
         F.array(F.length(F.regexp_replace("text", "[^0-9]", "")).cast("double")),
-    ))
+    ).alias("layers"))
 
 
 @query("encode_distinct", f"""
@@ -90,7 +91,8 @@ SELECT doc_id, label, CAST(layer AS INTEGER) AS layer, CAST(CASE layer WHEN 0 TH
 def encode_distinct(spark, sf):
     rows = d.lang_rows(spark, sf)
     # half of the languages are in a store already, the rest is encoded now
-    store = _measure(rows.filter(F.col("label").isin("en", "fr")).select("text").distinct())
+    known = rows.filter(F.col("label").isin("en", "fr")).groupBy(ve.text_id().alias("text_id"))
+    store = persist_table(_measure(known.agg(F.first("text").alias("text"))), "vector_store")
     out = ve.layer_explode(ve.encode_distinct(rows, _measure, "doc_id", store=store))
     return out.select("doc_id", "label", "layer", F.get("features", F.lit(0)).alias("value"))
 
