@@ -153,10 +153,9 @@ class Pattern:
     def matches(self, words: Column) -> Column:
         """Array of all instances: a struct of word ids, one field per constrained node."""
         self._needs_constraints()
-        found = self._with_env(words, _All(self.bound))
-        for name in self.free:
-            found = F.when(F.size(self.candidates(name, words)) > 0, found)
-        return F.coalesce(found, F.filter(self._with_env(words, _All(self.bound)), lambda _: F.lit(False)))
+        # without a candidate for a free node there is no instance at all
+        usable = F.when(self.has_nodes(words), words).otherwise(F.slice(words, 1, 0)) if self.free else words
+        return self._with_env(usable, _All(self.bound))
 
     def first_match(self, words: Column) -> Column:
         """The smallest instance by word ids, NULL where there is none.
@@ -164,18 +163,18 @@ class Pattern:
         It carries every node; a node without constraints shows its first candidate.
         """
         self._needs_constraints()
+
+        def whole(found: Column) -> Column:
+            ids = [
+                (found[n] if n in self.bound
+                 else F.get(self.candidates(n, words), F.lit(0))["id"]).alias(n)
+                for n in self.nodes
+            ]
+            known = found.isNotNull()
+            return F.when(known & self.has_nodes(words) if self.free else known, F.struct(*ids))
+
         found = self._with_env(words, _First(self.bound))
-        whole = F.transform(
-            F.array(found),
-            lambda b: F.struct(
-                *[
-                    (b[n] if n in self.bound
-                     else F.get(self.candidates(n, words), F.lit(0))["id"]).alias(n)
-                    for n in self.nodes
-                ]
-            ),
-        )
-        return F.when(found.isNotNull() & self.has_nodes(words), F.element_at(whole, 1))
+        return F.element_at(F.transform(F.array(found), whole), 1)
 
     def _needs_constraints(self) -> None:
         if not self.bound:

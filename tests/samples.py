@@ -1,0 +1,135 @@
+"""Small treebanks of our own, and plain Python answers to compare with."""
+
+from __future__ import annotations
+
+import itertools
+import random
+import re
+
+TOY = """# sent_id = s1
+# text = The old cats sleep, and dogs don't.
+# note = first
+# note = second
+1	The	the	DET	DT	Definite=Def|PronType=Art	3	det	_	_
+2	old	old	ADJ	JJ	Degree=Pos	3	amod	_	_
+3	cats	cat	NOUN	NNS	Number=Plur	4	nsubj	_	_
+4	sleep	sleep	VERB	VBP	Mood=Ind|Number=Plur|Tense=Pres|VerbForm=Fin	0	root	_	SpaceAfter=No
+5	,	,	PUNCT	,	_	7	punct	_	_
+6	and	and	CCONJ	CC	_	7	cc	_	_
+7	dogs	dog	NOUN	NNS	Number=Plur	4	conj	_	_
+8-9	don't	_	_	_	_	_	_	_	_
+8	do	do	AUX	VBP	Mood=Ind|Tense=Pres|VerbForm=Fin	7	aux	_	_
+9	n't	not	PART	RB	Polarity=Neg	8	advmod	_	SpaceAfter=No
+9.1	sleep	sleep	VERB	VB	_	_	_	4:conj	_
+10	.	.	PUNCT	.	_	4	punct	_	_
+
+# sent_id = s2
+# text = Her house was built by Ada.
+1	Her	she	PRON	PRP$	Gender[psor]=Fem|Number=Sing|Poss=Yes	2	nmod:poss	_	_
+2	house	house	NOUN	NN	Number=Sing	4	nsubj:pass	_	_
+3	was	be	AUX	VBD	Number=Sing|Tense=Past|VerbForm=Fin	4	aux:pass	_	_
+4	built	build	VERB	VBN	Tense=Past|VerbForm=Part|Voice=Pass	0	root	_	_
+5	by	by	ADP	IN	_	6	case	_	_
+6	Ada	Ada	PROPN	NNP	Number=Sing	4	obl	_	SpaceAfter=No
+7	.	.	PUNCT	_	_	4	punct	_	_
+
+# sent_id = s3
+# text = Broken roots
+1	Broken	break	VERB	VBN	VerbForm=Part	0	root	_	_
+2	roots	root	NOUN	NNS	Number=Plur	0	root	_	_
+"""
+
+FIELDS = ("id", "form", "lemma", "upos", "xpos", "feats", "head", "deprel")
+
+
+def random_sentence(rng: random.Random, n: int) -> list[dict]:
+    """A random tree with random annotation, as dictionaries."""
+    order = list(range(1, n + 1))
+    rng.shuffle(order)
+    head = {order[0]: 0}
+    for i, node in enumerate(order[1:], 1):
+        head[node] = rng.choice(order[:i])
+    words = []
+    for i in range(1, n + 1):
+        feats = {k: rng.choice(v) for k, v in
+                 {"Number": ["Sing", "Plur"], "Tense": ["Past", "Pres"], "Case": ["Nom", "Acc", "Gen"]}.items()
+                 if rng.random() < 0.5}
+        words.append({
+            "id": i, "form": rng.choice("abcde"), "lemma": rng.choice("xyz"),
+            "upos": rng.choice(["NOUN", "VERB", "ADP"]), "xpos": rng.choice([None, "T1"]),
+            "feats": feats or None, "head": head[i],
+            "deprel": "root" if head[i] == 0 else rng.choice(["nsubj", "obj", "obl", "nsubj:pass"]),
+        })
+    return words
+
+
+def to_rows(sentences: list[list[dict]]) -> list[tuple]:
+    return [
+        (str(k), [
+            (w["id"], "word", w["form"], w["lemma"], w["upos"], w["xpos"], w["feats"], w["head"], w["deprel"], None, None)
+            for w in s
+        ])
+        for k, s in enumerate(sentences)
+    ]
+
+
+def _full(pattern: str, value) -> bool:
+    return value is not None and re.fullmatch(pattern, value, re.I) is not None
+
+
+def node_ok(fields: dict, word: dict) -> bool:
+    feats = word["feats"] or {}
+    for key, wanted in fields.items():
+        if key == "exclude":
+            if word["feats"] is None or any(c in feats for c in wanted):
+                return False
+        elif key in ("form", "lemma", "upos", "xpos"):
+            if not _full(wanted, word[key]):
+                return False
+        elif not _full(wanted, feats.get(key)):
+            return False
+    return True
+
+
+def pair_ok(rules: dict, a: dict, b: dict) -> bool:
+    if "deprels" in rules and not (b["head"] == a["id"] and _full(rules["deprels"], b["deprel"])):
+        return False
+    if "lindist" in rules and not rules["lindist"][0] <= b["id"] - a["id"] <= rules["lindist"][1]:
+        return False
+    fa, fb = a["feats"] or {}, b["feats"] or {}
+    for kind, names in (rules.get("fconstraint") or {}).items():
+        for f in names:
+            if f not in fa or f not in fb or (fa[f] == fb[f]) != (kind == "intersec"):
+                return False
+    return True
+
+
+def brute_force(nodes: dict, constraints: dict, words: list[dict]) -> list[tuple]:
+    """All bindings of the constrained nodes by trying every combination."""
+    if any(not any(node_ok(f, w) for w in words) for f in nodes.values()):
+        return []
+    bound = [n for n in nodes if any(n in p for p in constraints)]
+    found = []
+    for combo in itertools.permutations(words, len(bound)):
+        env = dict(zip(bound, combo))
+        if all(node_ok(nodes[n], env[n]) for n in bound) and all(
+            pair_ok(r, env[p[0]], env[p[1]]) for p, r in constraints.items()
+        ):
+            found.append(tuple(env[n]["id"] for n in bound))
+    return sorted(found)
+
+
+def preorder(words: list[dict]) -> list[int]:
+    children: dict[int, list[int]] = {}
+    for w in words:
+        children.setdefault(w["head"], []).append(w["id"])
+    out: list[int] = []
+
+    def walk(node: int) -> None:
+        out.append(node)
+        for child in children.get(node, []):
+            walk(child)
+
+    for root in children.get(0, []):
+        walk(root)
+    return out

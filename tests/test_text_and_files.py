@@ -1,0 +1,133 @@
+import json
+
+import pytest
+import regex
+from pyspark.sql import functions as F
+
+from corpusloom.functions import morph, text as tx
+from corpusloom.sources import conllu, runlog, taskfile
+
+from .samples import TOY
+
+
+def test_wordpunct_equals_plain_regex(spark):
+    texts = ["Don't stop: it's 3.5 % off!?", "a_b  c-d\t\"x\"", "Привет, мир — да", "हिन्दी भाषा।", "", "  ", "naïve…café", "x y 一二。三"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.w for r in rows.select("i", tx.wordpunct(F.col("t")).alias("w")).collect()}
+    # Java's \s is ASCII, so a no-break space counts as a symbol there
+    want = {i: " ".join(regex.findall(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+", t, flags=regex.ASCII | regex.V0) if t.isascii()
+                        else regex.findall(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_ \t\n\r\f\v]+", t)) for i, t in enumerate(texts)}
+    assert got == want
+
+
+def test_names(spark):
+    paths = ["/x/ru_taiga-ud-train.conllu", "/x/en_no_sorting_Number.csv", "plain.txt"]
+    rows = spark.createDataFrame([(p,) for p in paths], "p string")
+    p = F.col("p")
+    got = rows.select("p", tx.corpus_language(p).alias("l"), tx.task_language(p).alias("tl"), tx.task_category(p).alias("tc")).collect()
+    assert [tuple(r)[1:] for r in got] == [
+        ("ru_taiga", "ru", "taiga-ud-train"), ("en_no_sorting_Number", "en", "Number"), ("plain", None, None)]
+    assert rows.select(tx.corpus_language(p, "fr").alias("l")).distinct().first()["l"] == "fr"
+
+
+def test_full_match(spark):
+    rows = spark.createDataFrame([("nsubj",), ("nsubj:pass",), ("NSUBJ",), (None,)], "d string")
+    hits = lambda pat: [r.x for r in rows.select(tx.full_match(F.col("d"), pat).alias("x")).collect()]
+    assert hits("nsubj") == [True, False, True, False]
+    assert hits("nsubj(:.*)?") == [True, True, True, False]
+    assert hits("^(?!nsubj$).*$") == [False, True, False, False]
+    assert hits("a|nsubj") == [True, False, True, False]
+    with pytest.raises(ValueError):
+        tx.full_match(F.col("d"), "(?P<x>a)")
+
+
+@pytest.fixture(scope="module")
+def folder(tmp_path_factory):
+    root = tmp_path_factory.mktemp("treebank")
+    (root / "en_toy-ud-train.conllu").write_text(TOY, encoding="utf-8")
+    (root / "en_toy-ud-test.conllu").write_bytes(TOY.replace("\n", "\r\n").encode())
+    (root / "en_toy-ud-dev.conllu").write_text("\n\n" + TOY.replace("\n\n", "\n \t\n\n"), encoding="utf-8")
+    (root / "en_toy.conllu").write_text(TOY, encoding="utf-8")
+    (root / "notes.txt").write_text("nothing here", encoding="utf-8")
+    return root
+
+
+@pytest.mark.parametrize("layout", ["files", "blocks", "auto"])
+def test_read_conllu(spark, folder, layout):
+    s = conllu.read_conllu(spark, str(folder), layout=layout)
+    got = {(r.treebank, r.n) for r in s.groupBy("treebank").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got == {("en_toy-ud-train.conllu", 3), ("en_toy-ud-test.conllu", 3), ("en_toy-ud-dev.conllu", 3), ("en_toy.conllu", 3)}
+    assert s.select("sent_key").distinct().count() == 12
+    for treebank in ("en_toy-ud-train.conllu", "en_toy-ud-test.conllu", "en_toy-ud-dev.conllu"):
+        one = {r.sent_id: r for r in s.filter(F.col("treebank") == treebank).collect()}
+        first = one["s1"]
+        assert first.metadata["note"] == "second" and first.lang == "en_toy"
+        assert first.text == "The old cats sleep , and dogs don ' t ."
+        assert [w.id for w in first.words] == list(range(1, 11))
+        kinds = [w.id_kind for w in first.rows]
+        assert kinds.count("range") == 1 and kinds.count("empty") == 1
+        assert first.words[4].feats is None and first.words[4].form == ","
+        assert one["s2"].words[0].feats["Gender[psor]"] == "Fem"
+        assert one["s2"].words[6].xpos is None
+        assert [one[k].tree_status for k in ("s1", "s2", "s3")] == ["ok", "ok", "many_roots"]
+
+
+def test_corpus_files_and_refusals(spark, folder, tmp_path):
+    files = conllu.corpus_files(spark, str(folder)).collect()
+    assert [f.role for f in files] == ["train", "dev", "test"]
+    assert {f.lang for f in files} == {"en_toy"}
+    (tmp_path / "a.txt").write_text("plain")
+    with pytest.raises(FileNotFoundError):
+        conllu.read_conllu(spark, str(tmp_path))
+    with pytest.raises(ValueError):
+        conllu.read_conllu(spark, [])
+
+
+def test_render_round_trip(spark, folder, tmp_path):
+    s = conllu.read_conllu(spark, str(folder / "en_toy.conllu"))
+    out = str(tmp_path / "out")
+    conllu.render(s, F.lit("xx_back-ud-train.conllu").alias("name")).write.partitionBy("name").text(out)
+    back = conllu.read_conllu(spark, out)
+    words = lambda df: sorted(tuple(map(str, (r.raw_text, r.words))) for r in df.collect())
+    assert words(back) == words(s)
+    assert back.select("lang").distinct().first()["lang"] == "xx_back"
+
+
+def test_feats(spark):
+    rows = spark.createDataFrame([("Case=Nom|Gender[psor]=Masc,Fem",), ("_",), (None,)], "f string")
+    got = [r.m for r in rows.select(morph.parse_feats(F.col("f")).alias("m")).collect()]
+    assert got == [{"Case": "Nom", "Gender[psor]": "Masc,Fem"}, None, None]
+
+
+def test_task_files(spark, tmp_path):
+    rows = [("en", "T", "tr", "NA", 'say "hi" , now'), ("en", "T", "va", "1", "a \\ b"), ("en", "T", "te", "null", "'")]
+    df = spark.createDataFrame(rows, "lang string, task string, stage string, label string, text string")
+    taskfile.write_tasks(df, str(tmp_path / "t"))
+    assert sorted(map(tuple, taskfile.read_tasks(spark, str(tmp_path / "t")).select(df.columns).collect())) == sorted(rows)
+    one = taskfile.read_task(spark, str(tmp_path / "t" / "lang=en" / "task=T"))
+    assert sorted(map(tuple, one.collect())) == sorted(r[2:] for r in rows)
+    (tmp_path / "plain.txt").write_text("tr\t0\tOne two .\nte\t1\tThree — four .\n", encoding="utf-8")
+    plain = taskfile.read_task(spark, str(tmp_path / "plain.txt"))
+    assert sorted(map(tuple, plain.collect())) == [("te", "1", "Three — four ."), ("tr", "0", "One two .")]
+    with pytest.raises(ValueError):
+        taskfile.task_path("no_such_task", "/data")
+
+
+def test_logs_in_both_shapes(spark, tmp_path):
+    params = {"task_language": "en", "task_category": "Number", "hf_model_name": "m", "classifier_name": "logreg"}
+    by_layer = {"val_score": {"f1": {"0": [0.1, 0.3], "1": [0.5, 0.7]}}, "test_score": {"f1": {"0": [0.2], "1": [0.6]}}}
+    bare = {"val_score": {"f1": [0.1, 0.3, 0.5, 0.7]}, "test_score": {"f1": [0.2, 0.6]}}
+    for name, results in (("a", by_layer), ("b", bare)):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "log.json").write_text(json.dumps({"params": params, "results": results}, indent=2))
+    (tmp_path / "a" / "other.json").write_text("{}")
+    scores = runlog.log_scores(runlog.read_logs(spark, [str(tmp_path), str(tmp_path)]))
+    got = {}
+    for r in scores.collect():
+        got.setdefault(r.log_path.split("/")[-2], set()).add((r.stage, r.layer, r.epoch, r.value))
+    want = {("val", 0, 0, 0.1), ("val", 0, 1, 0.3), ("val", 1, 0, 0.5), ("val", 1, 1, 0.7), ("test", 0, 0, 0.2), ("test", 1, 0, 0.6)}
+    assert got == {"a": want, "b": want}
+
+    from corpusloom import collect_logs
+    means = {(r.layer, round(r.metric_scores, 6)) for r in collect_logs(spark, str(tmp_path), "f1", "val").collect()}
+    assert means == {(1, 0.2), (2, 0.6)}
