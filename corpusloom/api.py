@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions.text import task_category, task_language
 from .operators import results as rs
 from .plans import build, probe
+from .session import persist_table
 from .sources import conllu, runlog, taskfile
 
 
@@ -35,6 +36,9 @@ def convert_treebanks(spark: SparkSession, path: str | None = None, tr_path: str
             conllu.read_conllu(spark, p, language).withColumn("role", F.lit(r)) for r, p in given
         ]
         sentences = reduce(DataFrame.unionByName, frames)
+    # parsed once; later passes read only the columns they need
+    sentences = persist_table(
+        sentences.select("lang", "role", "sent_key", "text", "metadata", "words"), "sentences")
     tasks = build.build_ud_tasks(sentences, ("lang",), **options)
     if save_to:
         taskfile.write_tasks(tasks.rows, save_to)
@@ -45,7 +49,8 @@ def filter_treebanks(spark: SparkSession, paths, queries: dict, task_name: str =
                      language: str | None = None, partition=build.DEFAULT_PARTITION,
                      save_to: str | None = None) -> DataFrame:
     """Sentences classed by patterns to a split task; all files count as one corpus."""
-    sentences = conllu.read_conllu(spark, paths, language)
+    sentences = persist_table(
+        conllu.read_conllu(spark, paths, language).select("sent_key", "text", "words"), "sentences")
     rows = build.build_filter_task(sentences, queries, partition)
     if language is None:
         name = conllu.corpus_files_any(spark, paths).agg(F.min("lang").alias("lang")).first()

@@ -15,6 +15,20 @@ TOKEN_TYPE = (
 )
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and use it in ``body``; a column would be inlined."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def view(words: Column, *fields: str) -> Column:
+    """The words with some of their fields only.
+
+    A lambda over the whole token struct makes the scan read every field. Built
+    from single fields, only those are read from Parquet.
+    """
+    return F.arrays_zip(*[words[f].alias(f) for f in fields])
+
+
 def parse_feats(text: Column) -> Column:
     """``Case=Nom|Number=Sing`` to a map; ``_`` and NULL to NULL."""
     return F.when(
@@ -38,10 +52,7 @@ def render_feats(feats: Column) -> Column:
 
 def contiguous(words: Column) -> Column:
     """True where word ids are 1..n in order, as the format demands."""
-    return ~F.exists(
-        F.transform(words, lambda t, i: t["id"] != i + 1),
-        lambda bad: bad,
-    )
+    return words["id"] == F.transform(words["id"], lambda _, i: i + 1)
 
 
 def token_paths(words: Column) -> Column:
@@ -53,10 +64,10 @@ def token_paths(words: Column) -> Column:
     reaches the root; its path is NULL.
     """
     start = F.transform(
-        words,
+        view(words, "id", "head"),
         lambda t: F.struct(F.array(t["id"]).alias("path"), t["head"].alias("up")),
     )
-    rounds = F.ceil(F.log2(F.greatest(F.size(words), F.lit(1)) + 1)).cast("int")
+    rounds = F.ceil(F.log2(F.greatest(F.size(words["id"]), F.lit(1)) + 1)).cast("int")
 
     def double(acc: Column, _: Column) -> Column:
         return F.transform(
@@ -81,11 +92,10 @@ def token_paths(words: Column) -> Column:
 
 def tree_status(words: Column) -> Column:
     """``ok``, or why the sentence is not one rooted tree."""
-    n = F.size(words)
-    roots = F.size(F.filter(words, lambda t: t["head"] == 0))
-    bad_head = F.exists(
-        words, lambda t: t["head"].isNull() | (t["head"] < 0) | (t["head"] > n)
-    )
+    heads = words["head"]
+    n = F.size(heads)
+    roots = F.size(F.filter(heads, lambda h: h == 0))
+    bad_head = F.exists(heads, lambda h: h.isNull() | (h < 0) | (h > n))
     return (
         F.when(n == 0, "empty")
         .when(~contiguous(words), "bad_ids")
@@ -97,8 +107,8 @@ def tree_status(words: Column) -> Column:
 
 
 def first_by_category(words: Column, upos: str | None = None, deprel: str | None = None,
-                      match: str = "any") -> Column:
-    """Map from each category to its first token in preorder.
+                      match: str = "any", carry: tuple[str, ...] = ("id", "form", "upos", "deprel")) -> Column:
+    """Map from each category to its first token in preorder: the carried fields and ``value``.
 
     ``upos`` and ``deprel`` limit which tokens count. With both given, ``any``
     takes a token that meets either and ``all`` one that meets both.
@@ -120,43 +130,26 @@ def first_by_category(words: Column, upos: str | None = None, deprel: str | None
             keep = keep & test
         return keep
 
-    tagged = F.arrays_zip(words.alias("word"), token_paths(words).alias("path"))
+    fields = ["feats", *carry] + [f for f, x in (("upos", upos), ("deprel", deprel)) if x and f not in carry]
+    tagged = F.arrays_zip(token_paths(words).alias("path"), *[words[f].alias(f) for f in fields])
     ordered = F.array_sort(
         F.transform(
-            F.filter(tagged, lambda x: wanted(x["word"]) & x["path"].isNotNull()),
+            F.filter(tagged, lambda x: wanted(x) & x["path"].isNotNull()),
             lambda x: F.struct(
-                x["path"].alias("path"),
-                x["word"]["id"].alias("id"),
-                x["word"]["form"].alias("form"),
-                x["word"]["upos"].alias("upos"),
-                x["word"]["deprel"].alias("deprel"),
-                F.map_entries(x["word"]["feats"]).alias("feats"),
+                x["path"].alias("path"), F.map_entries(x["feats"]).alias("feats"),
+                *[x[f].alias(f) for f in carry],
             ),
         )
     )
-    value = "struct<id:int,form:string,upos:string,deprel:string,value:string>"
+    types = {"id": "int"}
+    value = "struct<" + ",".join(f"{f}:{types.get(f, 'string')}" for f in (*carry, "value")) + ">"
 
     def add(acc: Column, x: Column) -> Column:
         new = F.filter(x["feats"], lambda e: ~F.map_contains_key(acc, e["key"]))
-        return F.when(F.size(new) == 0, acc).otherwise(
-            F.map_concat(
-                acc,
-                F.map_from_entries(
-                    F.transform(
-                        new,
-                        lambda e: F.struct(
-                            e["key"].alias("key"),
-                            F.struct(
-                                x["id"].alias("id"),
-                                x["form"].alias("form"),
-                                x["upos"].alias("upos"),
-                                x["deprel"].alias("deprel"),
-                                e["value"].alias("value"),
-                            ).alias("value"),
-                        ),
-                    )
-                ),
-            )
-        )
+        found = F.transform(new, lambda e: F.struct(
+            e["key"].alias("key"),
+            F.struct(*[x[f].alias(f) for f in carry], e["value"].alias("value")).alias("value"),
+        ))
+        return F.when(F.size(new) == 0, acc).otherwise(F.map_concat(acc, F.map_from_entries(found)))
 
     return F.aggregate(ordered, F.expr(f"cast(map() as map<string,{value}>)"), add)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import persist_table
 
@@ -17,10 +19,11 @@ def small_or_none(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame | None
 
     Runs ``df`` once; at most ``max_rows`` + 1 rows ever reach the driver.
     """
-    found = df.limit(max_rows + 1).toArrow()
-    if found.num_rows > max_rows:
+    rows = df.take(max_rows + 1)
+    if len(rows) > max_rows:
         return None
-    return df.sparkSession.createDataFrame(found, df.schema)
+    table = pa.Table.from_pylist([r.asDict(recursive=True) for r in rows], to_arrow_schema(df.schema))
+    return df.sparkSession.createDataFrame(table, df.schema)
 
 
 def settle(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:

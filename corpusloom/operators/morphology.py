@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.morph import first_by_category, tree_status
+from ..functions.morph import first_by_category, tree_status, view
 from ..functions.text import composite_key, deprel_base
 
 SORTINGS = (None, "by_pos", "by_deprel", "by_pos_and_deprel")
@@ -36,22 +36,25 @@ def category_pairs(sentences: DataFrame, sorting: str | None = None,
     """Distinct (subcategory, category) pairs; relations are cut at the colon."""
     _check_sorting(sorting)
     mark = "\u0001"
+    known = {"by_pos": ("upos",), "by_deprel": ("deprel",), "by_pos_and_deprel": ("upos", "deprel")}
+    fields = known.get(sorting, ())
 
     def named(t: Column) -> Column:
-        sub = _subcategory(sorting, t["upos"], deprel_base(t["deprel"]))
+        upos = t["upos"] if "upos" in fields else F.lit(None)
+        base = deprel_base(t["deprel"]) if "deprel" in fields else F.lit(None)
+        sub = _subcategory(sorting, upos, base)
         return F.transform(F.map_keys(t["feats"]), lambda k: F.concat(sub, F.lit(mark), k))
 
-    known = {"by_pos": ("upos",), "by_deprel": ("deprel",), "by_pos_and_deprel": ("upos", "deprel")}
-
     def counted(t: Column) -> Column:
         test = t["feats"].isNotNull()
-        for field in known.get(sorting, ()):
+        for field in fields:
             test = test & F.coalesce(t[field] != "", F.lit(False))
         return test
 
     # pairs repeat within a sentence: drop the repeats before anything moves
     # (as strings, which Spark compares by hash)
-    pairs = F.array_distinct(F.flatten(F.transform(F.filter("words", counted), named)))
+    words = view(F.col("words"), "feats", *fields)
+    pairs = F.array_distinct(F.flatten(F.transform(F.filter(words, counted), named)))
     found = sentences.select(*by, F.explode(pairs).alias("p")).distinct()
     return found.select(
         *by, F.split_part("p", F.lit(mark), F.lit(1)).alias("subcategory"),
@@ -76,19 +79,18 @@ def category_count(sentences: DataFrame, sorting: str | None = None,
 
 
 def top_category_tokens(sentences: DataFrame, keep: tuple[str, ...], upos: str | None = None,
-                        deprel: str | None = None, match: str = "any") -> DataFrame:
+                        deprel: str | None = None, match: str = "any",
+                        carry: tuple[str, ...] = ("id", "form", "upos", "deprel")) -> DataFrame:
     """For each sentence and category the first token in preorder that has it.
 
     All categories come out of one pass over the sentence row. Sentences that
     are not one rooted tree have no preorder and are left out.
     """
-    firsts = first_by_category(F.col("words"), upos, deprel, match)
+    firsts = first_by_category(F.col("words"), upos, deprel, match, carry)
     return (
         sentences.filter(tree_status(F.col("words")) == "ok")
         .select(*keep, F.explode(firsts).alias("category", "t"))
-        .select(*keep, "category", F.col("t.id").alias("id"), F.col("t.form").alias("form"),
-                F.col("t.upos").alias("upos"), F.col("t.deprel").alias("deprel"),
-                F.col("t.value").alias("value"))
+        .select(*keep, "category", *[F.col(f"t.{f}").alias(f) for f in (*carry, "value")])
     )
 
 
@@ -104,7 +106,7 @@ def classify(sentences: DataFrame, keep: tuple[str, ...], sorting: str | None =
     _check_sorting(sorting)
     if "metadata" in sentences.columns:
         sentences = sentences.filter(F.size("metadata") > 0)
-    tokens = top_category_tokens(sentences, keep, upos, deprel, match)
+    tokens = top_category_tokens(sentences, keep, upos, deprel, match, ("upos", "deprel"))
     relation = deprel_base(F.col("deprel")) if base_deprel else F.col("deprel")
     if sorting in ("by_deprel", "by_pos_and_deprel") and not base_deprel:
         # the inventory names relations without their subtype

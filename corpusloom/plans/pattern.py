@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.morph import contiguous, feat
+from ..functions.morph import contiguous, feat, let, view
 from ..functions.text import full_match
 
 # The names a pattern may use.
@@ -126,36 +126,43 @@ class Pattern:
 
     # -- public columns -------------------------------------------------------
 
+    def fields(self) -> tuple[str, ...]:
+        """The token fields that the pattern looks at."""
+        used = {"id"}
+        for wanted in self.nodes.values():
+            used |= {k if k in TOKEN_FIELDS else "feats" for k in wanted}
+        for rules in self.constraints.values():
+            if "deprels" in rules:
+                used |= {"head", "deprel"}
+            if rules.get("fconstraint"):
+                used.add("feats")
+        return tuple(sorted(used))
+
     def candidates(self, name: str, words: Column) -> Column:
-        """The words that meet a node's own restrictions."""
-        if not self.nodes[name]:
-            return words
-        return F.filter(words, lambda t: self.node_matches(name, t))
+        """The words that meet a node's own restrictions, with the fields of the pattern."""
+        return self._own(name, view(words, *self.fields()))
 
     def has_nodes(self, words: Column) -> Column:
         """Does every node have at least one candidate?"""
-        test = F.size(words) > 0
-        for name, fields in self.nodes.items():
-            if fields:
-                test = test & self._some(name, words)
-        return test
+        return let(view(words, *self.fields()), lambda w: self._some_of_each(w, list(self.nodes)))
 
     def exists(self, words: Column) -> Column:
         """True where the sentence holds at least one instance of the pattern."""
-        test = F.size(words) > 0
-        for name in self.free:
-            if self.nodes[name]:
-                test = test & self._some(name, words)
-        if not self.bound:
-            return test
-        return test & self._with_env(words, _Any())
+
+        def test(w: Column) -> Column:
+            free = self._some_of_each(w, self.free)
+            return free & self._with_env(w, _Any()) if self.bound else free
+
+        return let(view(words, *self.fields()), test)
 
     def matches(self, words: Column) -> Column:
         """Array of all instances: a struct of word ids, one field per constrained node."""
         self._needs_constraints()
-        # without a candidate for a free node there is no instance at all
-        usable = F.when(self.has_nodes(words), words).otherwise(F.slice(words, 1, 0)) if self.free else words
-        return self._with_env(usable, _All(self.bound))
+
+        def found(w: Column) -> Column:
+            return self._with_env(w, _All(self.bound))
+
+        return let(self._usable(words), found)
 
     def first_match(self, words: Column) -> Column:
         """The smallest instance by word ids, NULL where there is none.
@@ -164,17 +171,30 @@ class Pattern:
         """
         self._needs_constraints()
 
-        def whole(found: Column) -> Column:
-            ids = [
-                (found[n] if n in self.bound
-                 else F.get(self.candidates(n, words), F.lit(0))["id"]).alias(n)
+        def found(w: Column) -> Column:
+            return let(self._with_env(w, _First(self.bound)), lambda b: F.when(b.isNotNull(), F.struct(*[
+                (b[n] if n in self.bound else F.get(self._own(n, w), F.lit(0))["id"]).alias(n)
                 for n in self.nodes
-            ]
-            known = found.isNotNull()
-            return F.when(known & self.has_nodes(words) if self.free else known, F.struct(*ids))
+            ])))
 
-        found = self._with_env(words, _First(self.bound))
-        return F.element_at(F.transform(F.array(found), whole), 1)
+        return let(self._usable(words), found)
+
+    def _usable(self, words: Column) -> Column:
+        """No words at all where a node without constraints has no candidate."""
+        seen = view(words, *self.fields())
+        if not self.free:
+            return seen
+        return let(seen, lambda w: F.when(self._some_of_each(w, self.free), w).otherwise(F.slice(w, 1, 0)))
+
+    def _some_of_each(self, words: Column, names: list[str]) -> Column:
+        test = F.size(words) > 0
+        for name in names:
+            if self.nodes[name]:
+                test = test & self._some(name, words)
+        return test
+
+    def _own(self, name: str, words: Column) -> Column:
+        return F.filter(words, lambda t: self.node_matches(name, t)) if self.nodes[name] else words
 
     def _needs_constraints(self) -> None:
         if not self.bound:
@@ -198,9 +218,7 @@ class Pattern:
                 for n in self.bound
             ],
         )
-        return F.element_at(
-            F.transform(F.array(env), lambda e: self._search(e, {}, self._order(), mode)), 1
-        )
+        return let(env, lambda e: self._search(e, {}, self._order(), mode))
 
     def _some(self, name: str, words: Column) -> Column:
         return F.exists(words, lambda t: self.node_matches(name, t))
