@@ -67,10 +67,8 @@ def probe_task(spark: SparkSession, path: str, log_to: str | None = None, run_id
     """A task file to run facts. Language and category come from the file name."""
     rows = taskfile.read_task(spark, path, sep)
     name = spark.range(1).select(task_language(F.lit(path)).alias("lang"), task_category(F.lit(path)).alias("cat")).first()
-    # copies of a row are told apart by their number among equals
-    keyed = rows.groupBy("stage", "label", "text").agg(F.count(F.lit(1)).alias("__n")).select(
-        "stage", "label", "text", F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("__i")
-    ).withColumn("key", F.md5(F.concat_ws("\u0001", "stage", "label", "text", F.col("__i").cast("string")))).drop("__i")
+    # rows of a file have no key; numbers are given once and kept by the written table
+    keyed = persist_table(rows.withColumn("key", F.monotonically_increasing_id().cast("string")), "task")
     return probe.run_probe(keyed, "key", name["lang"], name["cat"], run_id=run_id, log_to=log_to, **options)
 
 

@@ -60,50 +60,49 @@ def token_paths(words: Column) -> Column:
 
     Each round joins a word's known path to the path of the ancestor it stops
     at, so ceil(log2 n) rounds are enough for any depth. Array order of the
-    paths is the preorder of the tree. A word on a cycle, or below one, never
-    reaches the root; its path is NULL.
+    paths is the preorder of the tree. Word ids have to be 1..n in order. A word
+    that never reaches a root, on a cycle or under a missing head, gets NULL.
     """
-    start = F.transform(
-        view(words, "id", "head"),
-        lambda t: F.struct(F.array(t["id"]).alias("path"), t["head"].alias("up")),
+    heads = words["head"]
+    rounds = F.ceil(F.log2(F.greatest(F.size(heads), F.lit(1)) + 1)).cast("int")
+    start = F.struct(
+        F.transform(words["id"], lambda i: F.array(i)).alias("path"), heads.alias("up")
     )
-    rounds = F.ceil(F.log2(F.greatest(F.size(words["id"]), F.lit(1)) + 1)).cast("int")
-
-    def double(acc: Column, _: Column) -> Column:
-        return F.transform(
-            acc,
-            lambda x: F.when(x["up"] == 0, x).otherwise(
-                F.struct(
-                    F.concat(F.get(acc, x["up"] - 1)["path"], x["path"]).alias("path"),
-                    F.get(acc, x["up"] - 1)["up"].alias("up"),
-                )
-            ),
+
+    def double(acc: Column) -> Column:
+        paths, up = acc["path"], acc["up"]
+        return F.struct(
+            F.zip_with(
+                paths, up, lambda p, u: F.when(u == 0, p).otherwise(F.concat(F.get(paths, u - 1), p))
+            ).alias("path"),
+            F.transform(up, lambda u: F.when(u == 0, u).otherwise(F.get(up, u - 1))).alias("up"),
         )
 
-    # Only trees whose pointers stay inside the sentence are followed, and only
-    # while every word makes progress: a cycle would double its path for ever.
-    walked = F.aggregate(
+    return F.aggregate(
         F.sequence(F.lit(1), rounds),
         start,
-        lambda acc, r: F.when(F.exists(acc, lambda x: x["up"] != 0), double(acc, r)).otherwise(acc),
+        lambda acc, _: F.when(F.exists(acc["up"], lambda u: u != 0), double(acc)).otherwise(acc),
+        lambda acc: F.zip_with(acc["path"], acc["up"], lambda p, u: F.when(u == 0, p)),
     )
-    return F.transform(walked, lambda x: F.when(x["up"] == 0, x["path"]))
 
 
 def tree_status(words: Column) -> Column:
     """``ok``, or why the sentence is not one rooted tree."""
-    heads = words["head"]
-    n = F.size(heads)
-    roots = F.size(F.filter(heads, lambda h: h == 0))
-    bad_head = F.exists(heads, lambda h: h.isNull() | (h < 0) | (h > n))
-    return (
-        F.when(n == 0, "empty")
-        .when(~contiguous(words), "bad_ids")
-        .when(bad_head, "bad_head")
-        .when(roots == 0, "no_root")
-        .when(roots > 1, "many_roots")
-        .otherwise("ok")
-    )
+
+    def status(t: Column) -> Column:
+        heads = t["head"]
+        n = F.size(heads)
+        return (
+            F.when(n == 0, "empty")
+            .when(t["id"] != F.sequence(F.lit(1), n), "bad_ids")
+            .when(F.exists(heads, lambda h: h.isNull()), "bad_head")
+            .when((F.array_min(heads) < 0) | (F.array_max(heads) > n), "bad_head")
+            .when(F.array_min(heads) > 0, "no_root")
+            .when(F.size(F.array_remove(heads, 0)) < n - 1, "many_roots")
+            .otherwise("ok")
+        )
+
+    return let(F.struct(words["id"].alias("id"), words["head"].alias("head")), status)
 
 
 def first_by_category(words: Column, upos: str | None = None, deprel: str | None = None,

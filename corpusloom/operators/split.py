@@ -160,8 +160,8 @@ def stratified_split(rows: DataFrame, key: str, partition=(0.8, 0.1, 0.1), seed:
                      stages: tuple[str, ...] | None = None, shuffle: bool = True) -> DataFrame:
     """Rows of each class divided into parts; adds ``stage``.
 
-    Rows of classes or groups too small for the split are left out. Two
-    fractions give ``tr`` and ``te``.
+    ``key`` is unique to a row. Rows of classes or groups too small for the split
+    are left out. Two fractions give ``tr`` and ``te``.
     """
     if not shuffle:
         raise ValueError("a stratified split needs shuffled rows")

@@ -65,7 +65,10 @@ def multi_class_rows(sentences: DataFrame, queries: dict, keep: tuple[str, ...])
 def build_filter_task(sentences: DataFrame, queries: dict, partition=DEFAULT_PARTITION,
                       key: str = "sent_key", text: str = "text", by: tuple[str, ...] = (),
                       seed: int = FILTER_SEED) -> DataFrame:
-    """Pattern classes, ambiguous texts removed, split: (by, key, text, label, stage)."""
+    """Pattern classes, ambiguous texts removed, split: (by, key, text, label, stage).
+
+    Two fractions give ``tr`` and ``va``.
+    """
     if abs(sum(partition) - 1.0) > 1e-9:
         warnings.warn(f"the parts {partition} do not add up to 1; {DEFAULT_PARTITION} is used")
         partition = DEFAULT_PARTITION
@@ -79,7 +82,7 @@ def build_filter_task(sentences: DataFrame, queries: dict, partition=DEFAULT_PAR
     quotas = settle(split_quotas(counts, partition, by))
     if quotas.isEmpty():
         raise ValueError(f"not enough sentences for the partition {partition}")
-    stages = STAGES if len(partition) == 3 else ("tr", "te")
+    stages = STAGES if len(partition) == 3 else ("tr", "va")
     return split_by_quotas(rows, quotas, key, seed, [*by, "label"], stages)
 
 

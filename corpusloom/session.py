@@ -36,7 +36,7 @@ def work_dir(spark: SparkSession) -> str:
     temporary folder is taken and remembered in the session. On a cluster a
     machine-local folder would be lost with its machine, so that is an error.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if path:
         return path.rstrip("/")
     path = spark.conf.get("corpusloom.work.dir", None)
