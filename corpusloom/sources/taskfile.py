@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 SCHEMA = "stage string, label string, text string"
 
@@ -55,8 +54,3 @@ def write_tasks(rows: DataFrame, path: str, fmt: str = "csv", mode: str = "error
         writer.parquet(path)
     else:
         raise ValueError("fmt is 'csv' or 'parquet'")
-
-
-def text_hash(column: str = "text"):
-    """Column to compare texts by value without carrying them."""
-    return F.md5(F.col(column))
