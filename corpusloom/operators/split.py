@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import shuffle_key
-from .classes import class_counts, large_classes
+from .classes import class_counts
 from .dims import join_small, settle
 
 # Seeds of the two builders.

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+
 def from_frame(df: DataFrame, features: str, label: str, stage: str, sample_id: str) -> DataFrame:
     """The long vector table with one layer, numbered 0."""
     return df.select(

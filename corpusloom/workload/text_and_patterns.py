@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import morph, text as tx
-from ..operators.classes import drop_ambiguous
 from ..plans import build
 from ..plans.pattern import Pattern
 from . import derive as d

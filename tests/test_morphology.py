@@ -7,7 +7,6 @@ from corpusloom import convert_treebanks, filter_treebanks
 from corpusloom.functions import morph
 from corpusloom.functions.morph import TOKEN_TYPE
 from corpusloom.operators import morphology as mo
-from corpusloom.plans import build
 from corpusloom.sources import taskfile
 
 from .samples import preorder, random_sentence, to_rows
