@@ -79,10 +79,10 @@ def arrow_rows(spark: SparkSession, rows: int):
 
 
 def by_group(rows: DataFrame, keys: list[str], best: Column, *more: Column) -> DataFrame:
-    """``rows`` grouped twice: (run, keys) with ``__best``, ``__n`` of the whole group of equal keys.
+    """``rows`` grouped twice: (run, keys) with ``__best``, ``__rows`` of the whole group of equal keys.
 
     ``rows`` needs ``__row``. The result has one row per run and key, to be joined back on both.
     """
     runs = rows.groupBy(run_of().alias("__run"), *keys).agg(F.min(best).alias("__b"), F.count(F.lit(1)).alias("__c"))
-    groups = runs.groupBy(*keys).agg(F.min("__b").alias("__best"), F.sum("__c").alias("__n"))
+    groups = runs.groupBy(*keys).agg(F.min("__b").alias("__best"), F.sum("__c").alias("__rows"))
     return runs.select("__run", *keys).join(groups, keys)

@@ -7,9 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from ..session import persist_table
+from . import packing, warc
+from .common import arrow_rows, read_table
 from .exact import exact_dedup
 from .licenses import scan_licenses
+from .minmax import near_groups
+from .mixing import mix
+from .pii import find_personal_data
 from .quality import BASE, ledger, passes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,6 +26,19 @@ def query(fn):
     return fn
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op1_nnls_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.pack(read_table(spark, folder, "documents"), tokenizer_path())
+    with arrow_rows(spark, 1000):
+        return persist_table(packing.digests(pieces), "pieces")
+
+
 @query
 def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return scan_licenses(read_table(spark, folder, "documents"))
@@ -40,3 +58,25 @@ def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup(read_table(spark, folder, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query
+def op4_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.rewrite(read_table(spark, folder, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op7_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mix(read_table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op9_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return find_personal_data(read_table(spark, folder, "documents")).select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+@query
+def op10_minmax_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_groups(read_table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
