@@ -7,12 +7,12 @@ counts only if the full shingle sets confirm it.
 
 Sets are first collapsed to classes of equal sets, so copies are compared once. Then:
 
-1. Each class is compared with the smallest class that shares a band with it. That settles
+1. Each class is compared with the least edited class that shares a band with it. That settles
    nearly all of a group, however large, with one comparison for each member.
 2. In the bands that still hold several components, all members outside the largest one are compared
-   with the members of other components. Members of one component never meet again, so a large
-   group costs (members outside it) x (its size). If that is many pairs, they are taken in
-   slices, and merged components shorten the next slice. No pair is left out.
+   with the members of other components, if the numbers of shingles that a set shares with any other set
+   allow a link. Members of one component never meet again. Many pairs are taken in slices, and
+   merged components shorten the next slice. No pair that could be a link is left out.
 
 With 16 bands of 5 minima and 16 of 5 maxima, two sets at a similarity of exactly 0.8 share none with a
 probability of (1 - 0.8**5)**32, about 3 in a million, and less above.
@@ -28,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.dims import join_small
+from ..operators.dims import SMALL_ROWS
 from ..session import persist_table
 from .common import SPACES, arrow_rows, ascii_lower, by_group, numbered, run_of, split_words, text_of, whole
 from .components import components
 
 KEY = ["__k1", "__k2", "__n"]
 BLOCK = 1 << 16
-PAIRS_PER_NODE = 8  # pairs that one slice may compare, per class with candidates
+PAIRS_PER_NODE = 200  # pairs that one slice may compare, per class with candidates
 
 
 def shingles(words: Column, size: int = 4) -> Column:
@@ -111,20 +111,32 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
         return persist_table(sets.mapInArrow(signer(bands, rows, seed), schema), "sketches")
 
 
-def buckets(nodes: DataFrame) -> DataFrame:
-    """(key, node, n, lead, lead_n) of keys that several of the nodes (node, n, ``__bands``) share, stored.
+def shared_keys(nodes: DataFrame) -> DataFrame:
+    """(key, node) of keys that several of the nodes (node, ``__bands``) share, stored."""
+    held = nodes.select("node", F.explode("__bands").alias("key"))
+    shared = held.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
+    return persist_table(held.join(shared, "key"), "keys")
 
-    ``lead`` is the smallest node of the key.
+
+def describe(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, n, own) of the sets (node, ``__set``) that can have a link at all, stored; ``own`` counts the shingles
+    that no other of the sets has.
+
+    Two sets have at most min(n - own) shingles in common. Edited copies have own shingles, so this bound tells
+    most copies of one text that are too far from each other without comparing them, and no others.
     """
-    held = nodes.select("node", "n", F.explode("__bands").alias("key"))
-    shared = held.groupBy("key").agg(F.min("node").alias("lead"), F.min_by("n", "node").alias("lead_n"),
-                                     F.count(F.lit(1)).alias("__c")).filter("__c > 1").drop("__c")
-    return persist_table(held.join(shared, "key"), "buckets")
+    alone = sets.select("node", F.explode("__set").alias("s")).groupBy("s").agg(
+        F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).filter("c = 1")
+    own = alone.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    rows = sets.select("node", F.size("__set").cast("long").alias("n")).join(own, "node", "left").select(
+        "node", "n", F.coalesce("own", F.lit(0)).alias("own"))
+    return persist_table(rows.filter(F.lit(100) * (F.col("n") - F.col("own")) >= F.lit(percent) * F.col("n")), "described")
 
 
 def _alike(a: str, b: str, percent: int) -> Column:
-    """Sizes that allow the similarity."""
-    return F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
+    """Whether the structs (n, own) of two sets allow the similarity."""
+    most = F.least(*[F.col(f"{x}.n") - F.col(f"{x}.own") for x in (a, b)])
+    return F.lit(100) * most >= F.lit(percent) * (F.col(f"{a}.n") + F.col(f"{b}.n") - most)
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -137,9 +149,9 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                          .filter(F.lit(100) * both >= F.lit(percent) * union).select("a", "b"), "links")
 
 
-def _rest(held: DataFrame, labels: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, int]:
+def _rest(held: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """Members of keys that still hold several components: those outside the largest one, all, and pairs at most."""
-    named = persist_table(held.select("key", "node", "n").join(labels, "node", "left").withColumn(
+    named = persist_table(held.select("key", "node", "x").join(labels, "node", "left").withColumn(
         "label", F.coalesce("label", "node")), "open")
     per = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
     keys = per.groupBy("key").agg(F.sum("c").alias("m"), F.max(F.struct("c", "label")).alias("top"))
@@ -150,6 +162,37 @@ def _rest(held: DataFrame, labels: DataFrame, percent: int) -> tuple[DataFrame,
     return every.filter("label <> top").drop("top"), every.drop("top"), total
 
 
+def find_links(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect all nodes (node, ``__bands``) which share a key and are similar in full (``sets``).
+
+    Not every such pair is among them: those whose ends others connect may be missing.
+    """
+    keys = shared_keys(nodes)
+    wanted = persist_table(keys.select("node").distinct(), "wanted")
+    many = wanted.count()
+    # ids of candidates only; beyond the bound both sides are shuffled
+    sets = persist_table(sets.join(F.broadcast(wanted) if many <= SMALL_ROWS else wanted, "node"), "sets")
+    held = persist_table(keys.join(describe(sets, percent), "node").select(
+        "key", "node", F.struct("n", "own").alias("x")), "held")
+    rank = (F.col("x.own") * 1_000_000 / F.col("x.n")).cast("long")  # the least edited of a key leads it
+    lead = held.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), "node", "x")).alias("lead"))
+    first = held.join(lead, "key").filter((F.col("node") != F.col("lead.node")) & _alike("x", "lead.x", percent))
+    first = first.groupBy("node").agg(F.min("lead").alias("lead"))
+    links = confirm(first.select(F.col("node").alias("b"), F.col("lead.node").alias("a")), sets, percent)
+    outside, every, total = _rest(held, components(links))
+    slices, done = max(1, -(-total // (max(1, many) * PAIRS_PER_NODE))), 0
+    while total and done < slices:
+        some = outside.filter(F.pmod(F.xxhash64("node"), F.lit(slices)) == done).select(
+            "key", F.col("node").alias("o"), F.col("x").alias("o_x"), F.col("label").alias("o_label"))
+        met = (some["key"] == every["key"]) & (F.col("o_label") != F.col("label")) & _alike("o_x", "x", percent)
+        pairs = some.join(every, met).select(F.least("o", "node").alias("a"), F.greatest("o", "node").alias("b")).distinct()
+        links = links.unionByName(confirm(pairs, sets, percent))
+        done += 1
+        if done < slices:
+            outside, every, total = _rest(held, components(links))
+    return links
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 80,
                 bands: int = 32, rows: int = 5, seed: int = 7) -> DataFrame:
     """One row per input row: ``__row``, id, ``n_shingles``, ``component_id``, ``kept``.
@@ -165,34 +208,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     who = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__row").alias("row"))
     classes = persist_table(by_group(filled.drop("__bands"), KEY, who), "classes")
     nodes = filled.join(classes.select(F.col("__best.row").alias("__row")).distinct(), "__row", "left_semi").select(
-        F.col("__row").alias("node"), F.col("__n").alias("n"), "__bands")
-    held = buckets(nodes)
-    first = held.filter("node > lead").filter(_alike("n", "lead_n", percent)).groupBy(F.col("node").alias("b")).agg(
-        F.min("lead").alias("a"))
-    wanted = persist_table(held.select(F.col("node").alias("__row")).distinct(), "wanted")
-    sets = persist_table(join_small(sets_of(docs, id_col, text_col, size).select("__row", "__set"), wanted, ["__row"])
-                         .select(F.col("__row").alias("node"), "__set"), "sets")
-    links = confirm(first, sets, percent)
+        F.col("__row").alias("node"), "__bands")
+    links = find_links(nodes, sets_of(docs, id_col, text_col, size).select(F.col("__row").alias("node"), "__set"), percent)
     labels = components(links)
-    limit = max(1, wanted.count()) * PAIRS_PER_NODE
-    outside, every, total = _rest(held, labels, percent)
-    slices, done = max(1, -(-total // limit)), 0
-    while total and done < slices:
-        a = outside.filter(F.pmod(F.xxhash64("node"), F.lit(slices)) == done).select(
-            "key", F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("label").alias("x_label"))
-        pairs = a.join(every, "key").filter((F.col("x_label") != F.col("label")) & _alike("x_n", "n", percent))
-        pairs = pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-        links = links.unionByName(confirm(pairs.join(first, ["a", "b"], "left_anti"), sets, percent))
-        labels = components(links)
-        done += 1
-        if done < slices:
-            outside, every, _ = _rest(held, labels, percent)
-    named = classes.withColumn("node", F.col("__best.row")).join(labels, "node", "left").withColumn(
-        "label", F.coalesce("label", "node"))
-    heads = named.groupBy("label").agg(F.min("__best").alias("__head"))
+    classes = classes.withColumn("node", F.col("__best.row"))
+    heads = classes.join(labels, "node").groupBy("label").agg(F.min("__best").alias("__head"))
+    known = classes.join(labels.join(heads, "label").select("node", "__head"), "node", "left").select(
+        "__run", *KEY, F.coalesce("__head", "__best").alias("__head"))
     rows_ = rows_.select("__row", "__id", *KEY).withColumn("__run", run_of())
-    known = join_small(named.select("__run", *KEY, "label"), heads, ["label"])
-    return rows_.join(known.select("__run", *KEY, "__head"), ["__run", *KEY], "left").select(
+    return rows_.join(known, ["__run", *KEY], "left").select(
         "__row", F.col("__id").alias(id_col), F.col("__n").cast("long").alias("n_shingles"),
         F.when(F.col("__head").isNull(), F.col("__id")).otherwise(F.col("__head.id")).alias("component_id"),
         (F.col("__head").isNull() | (F.col("__head.row") == F.col("__row"))).alias("kept"))

@@ -12,10 +12,12 @@ from . import packing, warc
 from .common import arrow_rows, read_table
 from .exact import exact_dedup
 from .licenses import scan_licenses
+from .lines import line_dedup
 from .minmax import near_groups
 from .mixing import mix
 from .pii import find_personal_data
 from .quality import BASE, ledger, passes
+from .resampling import resample
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,6 +41,11 @@ def op1_nnls_packing(spark: SparkSession, folder: str) -> DataFrame:
         return persist_table(packing.digests(pieces), "pieces")
 
 
+@query
+def op2_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return resample(read_table(spark, folder, "documents"), read_table(spark, folder, "labels")).drop("__row")
+
+
 @query
 def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return scan_licenses(read_table(spark, folder, "documents"))
@@ -71,6 +78,12 @@ def op7_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mix(read_table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op8_line_windows(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup(read_table(spark, folder, "documents")).select(
+        "doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
 @query
 def op9_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return find_personal_data(read_table(spark, folder, "documents")).select(
