@@ -30,11 +30,16 @@ def view(words: Column, *fields: str) -> Column:
 
 
 def parse_feats(text: Column) -> Column:
-    """``Case=Nom|Number=Sing`` to a map; ``_`` and NULL to NULL."""
-    return F.when(
-        text.isNotNull() & ~text.isin("_", ""),
-        F.str_to_map(text, F.lit(r"\|"), F.lit("=")),
-    )
+    """``Case=Nom|Number=Sing`` to a map; ``_`` and NULL to NULL. A feature that comes twice keeps its last value."""
+    items = F.split(text, r"\|")
+    names = F.transform(items, lambda x: F.split_part(x, F.lit("="), F.lit(1)))
+    last = F.aggregate(
+        F.reverse(items), F.expr("cast(map() as map<string,string>)"),
+        lambda acc, x: F.when(F.map_contains_key(acc, F.split_part(x, F.lit("="), F.lit(1))), acc).otherwise(
+            F.map_concat(acc, F.str_to_map(x, F.lit(r"\|"), F.lit("=")))))
+    once = F.size(F.array_distinct(names)) == F.size(names)
+    return F.when(text.isNotNull() & ~text.isin("_", ""), F.when(
+        once, F.str_to_map(text, F.lit(r"\|"), F.lit("="))).otherwise(last))
 
 
 def feat(feats: Column, name: str) -> Column:
@@ -86,6 +91,14 @@ def token_paths(words: Column) -> Column:
     )
 
 
+def _endless(heads: Column) -> Column:
+    """True where some word never comes to a root by its heads, in ceil(log2 n) rounds."""
+    rounds = F.ceil(F.log2(F.greatest(F.size(heads), F.lit(1)) + 1)).cast("int")
+    ends = F.aggregate(F.sequence(F.lit(1), rounds), heads, lambda up, _: F.when(
+        F.array_max(up) > 0, F.transform(up, lambda u: F.when(u == 0, u).otherwise(F.get(up, u - 1)))).otherwise(up))
+    return F.array_max(ends) > 0
+
+
 def tree_status(words: Column) -> Column:
     """``ok``, or why the sentence is not one rooted tree."""
 
@@ -99,6 +112,7 @@ def tree_status(words: Column) -> Column:
             .when((F.array_min(heads) < 0) | (F.array_max(heads) > n), "bad_head")
             .when(F.array_min(heads) > 0, "no_root")
             .when(F.size(F.array_remove(heads, 0)) < n - 1, "many_roots")
+            .when(_endless(heads), "cycle")
             .otherwise("ok")
         )
 

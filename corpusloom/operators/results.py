@@ -12,12 +12,13 @@ RUN_COLUMNS = (
 
 
 def aggregate_results(facts: DataFrame, metric: str = "f1", stage: str = "test") -> DataFrame:
-    """Mean score per run and layer; layers are numbered from 1."""
+    """Mean score per run and layer; layers are numbered from 1. A control run is a run of its own."""
     if metric not in ("f1", "accuracy") or stage not in ("val", "test"):
         raise ValueError("metric is 'f1' or 'accuracy', stage 'val' or 'test'")
+    run = [c for c in ("run_id", "control") if c in facts.columns]  # logs know neither
     return (
         facts.filter((F.col("metric") == metric) & (F.col("stage") == stage))
-        .groupBy("task_language", "task_category", "hf_model_name", "classifier_name",
+        .groupBy("task_language", "task_category", "hf_model_name", "classifier_name", *run,
                  F.col("metric").alias("metric_names"), (F.col("layer") + 1).alias("layer"), "log_path")
         .agg(F.avg("value").alias("metric_scores"))
     )

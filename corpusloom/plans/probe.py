@@ -23,7 +23,7 @@ from ..operators.dims import join_small, settle
 from ..operators.metrics import compute_metrics, log_loss
 from ..operators.split import assign_parts, control_labels
 from ..operators.vectors import encode_distinct, layer_explode, layer_select
-from ..session import fresh_path
+from ..session import fresh_path, persist_table
 from ..sources.runlog import write_facts
 
 # Defaults of a probe.
@@ -242,11 +242,12 @@ def run_probe(task: DataFrame, key: str, task_language: str | None = None, task_
     """A whole probe of a task (key, stage, label, text) to run facts.
 
     With ``control`` the labels are permuted within each stage first. Facts are
-    appended to ``log_to`` when it is given.
+    written to ``log_to`` when it is given, in place of those of an earlier run of that name.
     """
     if control:
         task = control_labels(task, key).drop("label").withColumnRenamed("control_label", "label")
-    vectors = encode_layers(task, key, layers=layers, width=width, make_predict_fn=make_predict_fn)
+    # written once: label tables, weights and fits read the vectors, and the model sees each text once
+    vectors = persist_table(encode_layers(task, key, layers=layers, width=width, make_predict_fn=make_predict_fn), "vectors")
     scores = probe_layers(prepare(vectors), key, classifier, metrics, max_iter=max_iter)
     stage = F.when(F.col("stage") == "va", "val").when(F.col("stage") == "te", "test").otherwise("train")
     facts = scores.select(

@@ -69,8 +69,8 @@ def log_scores(logs: DataFrame) -> DataFrame:
 
 
 def write_facts(facts: DataFrame, path: str, task: str = "task_category") -> None:
-    """Append run facts, one folder per run; runs of trial tasks are not kept."""
+    """Write run facts, one folder per run; runs of trial tasks are not kept. A run written again replaces itself."""
     (
         facts.filter(~F.coalesce(F.col(task), F.lit("")).startswith(TEST_PREFIX))
-        .write.mode("append").partitionBy("run_id").parquet(path)
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
     )

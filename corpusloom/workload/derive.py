@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.morph import TOKEN_TYPE
-from ..functions.text import WORDPUNCT, wordpunct, wordpunct_tokens
+from ..functions.text import wordpunct, wordpunct_tokens
 from ..operators.dims import spread
 from ..operators.metrics import compute_metrics
 from ..session import persist_table
@@ -232,6 +232,10 @@ def run_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- the same rules for DuckDB ----------------------------------------------
 
+# every white space character by its code point
+WORDPUNCT = (r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+             r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+")
+
 SQL_SENT = f"""
 ln AS (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line,
               unnest(range(len(string_split(text, chr(10))))) AS line_no

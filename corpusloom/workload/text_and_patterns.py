@@ -99,9 +99,9 @@ def sentence_has_nodes(spark, sf):
 
 @query("relation_regex", f"""
 WITH {d.SQL_TOK}
-SELECT DISTINCT sent_key, deprel AS relation FROM tok WHERE regexp_full_match(deprel, 'nsubj(:.*)?|.mod', 'i')""")
+SELECT DISTINCT sent_key, deprel AS relation FROM tok WHERE regexp_full_match(deprel, 'obl|a(dv)?cl(:.+)?', 'i')""")
 def relation_regex(spark, sf):
-    names = F.array_distinct(F.filter(words()["deprel"], lambda r: tx.full_match(r, "nsubj(:.*)?|.mod")))
+    names = F.array_distinct(F.filter(words()["deprel"], lambda r: tx.full_match(r, "obl|a(dv)?cl(:.+)?")))
     return d.sentences(spark, sf).select("sent_key", F.explode(names).alias("relation"))
 
 
@@ -136,8 +136,8 @@ FROM tok a JOIN tok b ON a.sent_key = b.sent_key AND {condition}""")
         )
 
 
-_pair_query("pair_deprel", Pattern({"N": {}, "M": {}}, {("N", "M"): {"deprels": "nsubj(:.*)?"}}),
-            "b.head = a.id AND b.deprel IN ('nsubj', 'nsubj:pass')")
+_pair_query("pair_deprel", Pattern({"Top": {}, "Low": {}}, {("Top", "Low"): {"deprels": "acl(:.+)?|advcl"}}),
+            "b.head = a.id AND b.deprel IN ('acl:relcl', 'advcl')")
 _pair_query("pair_lindist", Pattern({"N": {"upos": "NOUN"}, "V": {"upos": "VERB"}}, {("N", "V"): {"lindist": (-1, 2)}}),
             "a.upos = 'NOUN' AND b.upos = 'VERB' AND b.id - a.id BETWEEN -1 AND 2")
 _pair_query("pair_feat_agree",
@@ -150,86 +150,93 @@ _pair_query("pair_feat_disagree",
 
 # --- patterns -----------------------------------------------------------------
 
-TRIANGLE = Pattern(
-    {"S": {}, "V": {}, "O": {}},
-    {("V", "S"): {"deprels": ".subj"}, ("V", "O"): {"deprels": "obj"},
-     ("S", "O"): {"fconstraint": {"intersec": ["Number"]}}},
+# Two neighbours below one noun or adjective, a modifier and an owner that differ in number.
+SIBLINGS = Pattern(
+    {"Top": {"upos": "NOUN|ADJ"}, "Mod": {}, "Owner": {}},
+    {("Top", "Mod"): {"deprels": "amod"}, ("Top", "Owner"): {"deprels": "nmod(:.+)?"},
+     ("Mod", "Owner"): {"lindist": (-1, 1), "fconstraint": {"disjoint": ["Number"]}}},
 )
-SQL_TRIANGLE = """tri AS (SELECT s.sent_key, s.id AS s, v.id AS v, o.id AS o
-  FROM tok v JOIN tok s ON s.sent_key = v.sent_key AND s.head = v.id AND s.deprel = 'nsubj'
-  JOIN tok o ON o.sent_key = v.sent_key AND o.head = v.id AND o.deprel = 'obj'
-  WHERE s.f_number = o.f_number AND s.id <> o.id)"""
-
-PATH = Pattern(
-    {"V": {}, "S": {}, "BY": {"upos": "ADP"}, "N": {}, "X": {"upos": "DET"}},
-    {("V", "S"): {"deprels": "aux:pass|amod"}, ("V", "N"): {"deprels": "ob[jl]|advcl"},
-     ("N", "BY"): {"deprels": "case", "lindist": (-100, 100)}},
+SQL_SIBLINGS = """sib AS (SELECT t.sent_key, t.id AS t, m.id AS m, o.id AS o
+  FROM tok t JOIN tok m ON m.sent_key = t.sent_key AND m.head = t.id AND m.deprel = 'amod'
+  JOIN tok o ON o.sent_key = t.sent_key AND o.head = t.id AND o.deprel = 'nmod:poss'
+  WHERE t.upos IN ('NOUN', 'ADJ') AND m.f_number <> o.f_number AND abs(o.id - m.id) = 1)"""
+
+# A chain of four arcs whose first word has no tense, in a sentence with a pronominal determiner.
+CHAIN = Pattern(
+    {"W1": {"exclude": ["Tense"]}, "W2": {}, "W3": {"Number": "Sing"}, "W4": {}, "W5": {}, "Det": {"PronType": ".*"}},
+    {("W1", "W2"): {"deprels": "n(sub|m).*|amod"}, ("W2", "W3"): {"deprels": "[^p].*"},
+     ("W3", "W4"): {"deprels": "a.+"}, ("W4", "W5"): {"deprels": "case|det|obl", "lindist": (3, 60)}},
 )
-SQL_PATTERN_PATH = """pth AS (SELECT v.sent_key, v.id AS v, s.id AS s, b.id AS b, n.id AS n, x.x
-  FROM tok v JOIN tok s ON s.sent_key = v.sent_key AND s.head = v.id AND s.deprel IN ('aux:pass', 'amod')
-  JOIN tok n ON n.sent_key = v.sent_key AND n.head = v.id AND n.deprel IN ('obj', 'obl', 'advcl')
-  JOIN tok b ON b.sent_key = v.sent_key AND b.head = n.id AND b.deprel = 'case' AND b.upos = 'ADP'
-  JOIN (SELECT sent_key, min(id) AS x FROM tok WHERE upos = 'DET' GROUP BY sent_key) x ON x.sent_key = v.sent_key
-  WHERE s.id <> n.id AND s.id <> b.id AND v.id <> b.id AND b.id - n.id BETWEEN -100 AND 100)"""
+SQL_CHAIN = """chn AS (SELECT a.sent_key, a.id AS w1, b.id AS w2, c.id AS w3, e.id AS w4, f.id AS w5, x.x
+  FROM tok a JOIN tok b ON b.sent_key = a.sent_key AND b.head = a.id
+    AND b.deprel IN ('nsubj', 'nsubj:pass', 'nmod:poss', 'amod')
+  JOIN tok c ON c.sent_key = a.sent_key AND c.head = b.id AND c.deprel <> 'punct' AND c.f_number = 'Sing'
+  JOIN tok e ON e.sent_key = a.sent_key AND e.head = c.id AND e.deprel IN ('amod', 'advcl', 'aux:pass', 'acl:relcl')
+  JOIN tok f ON f.sent_key = a.sent_key AND f.head = e.id AND f.deprel IN ('case', 'det', 'obl')
+    AND f.id - e.id BETWEEN 3 AND 60
+  JOIN (SELECT sent_key, min(id) AS x FROM tok WHERE f_prontype IS NOT NULL GROUP BY sent_key) x ON x.sent_key = a.sent_key
+  WHERE a.f_tense IS NULL AND coalesce(a.f_number, a.f_gender, a.f_degree, a.f_verbform, a.f_prontype, a.f_numtype, a.f_psor) IS NOT NULL)"""
+
+
+@query("pattern_triangle", f"WITH {d.SQL_TOK}, {SQL_SIBLINGS} SELECT sent_key, t, m, o FROM sib")
+def pattern_triangle(spark, sf):
+    return d.sentences(spark, sf).select("sent_key", F.explode(SIBLINGS.matches(words())).alias("x")).select(
+        "sent_key", *[F.col(f"x.{n}").cast("bigint").alias(n[0].lower()) for n in ("Top", "Mod", "Owner")])
 
 
-@query("pattern_triangle", f"WITH {d.SQL_TOK}, {SQL_TRIANGLE} SELECT sent_key, s, v, o FROM tri")
-def pattern_triangle(spark, sf):
-    return d.sentences(spark, sf).select("sent_key", F.explode(TRIANGLE.matches(words())).alias("m")).select(
-        "sent_key", *[F.col(f"m.{n}").cast("bigint").alias(n.lower()) for n in ("S", "V", "O")])
+CHAIN_NAMES = ("W1", "W2", "W3", "W4", "W5")
 
 
-@query("pattern_path", f"WITH {d.SQL_TOK}, {SQL_PATTERN_PATH} SELECT sent_key, v, s, b, n FROM pth")
+@query("pattern_path", f"WITH {d.SQL_TOK}, {SQL_CHAIN} SELECT sent_key, w1, w2, w3, w4, w5 FROM chn")
 def pattern_path(spark, sf):
-    return d.sentences(spark, sf).select("sent_key", F.explode(PATH.matches(words())).alias("m")).select(
-        "sent_key", F.col("m.V").cast("bigint").alias("v"), F.col("m.S").cast("bigint").alias("s"),
-        F.col("m.BY").cast("bigint").alias("b"), F.col("m.N").cast("bigint").alias("n"))
+    return d.sentences(spark, sf).select("sent_key", F.explode(CHAIN.matches(words())).alias("x")).select(
+        "sent_key", *[F.col(f"x.{n}").cast("bigint").alias(n.lower()) for n in CHAIN_NAMES])
 
 
 @query("pattern_bindings", f"""
-WITH {d.SQL_TOK}, {SQL_PATTERN_PATH}
-SELECT sent_key, v, s, b, n, x FROM (
-  SELECT *, row_number() OVER (PARTITION BY sent_key ORDER BY v, s, b, n) AS rn FROM pth) WHERE rn = 1""")
+WITH {d.SQL_TOK}, {SQL_CHAIN}
+SELECT sent_key, w1, w2, w3, w4, w5, x AS det FROM (
+  SELECT *, row_number() OVER (PARTITION BY sent_key ORDER BY w1, w2, w3, w4, w5) AS rn FROM chn) WHERE rn = 1""")
 def pattern_bindings(spark, sf):
-    rows = d.sentences(spark, sf).select("sent_key", PATH.first_match(words()).alias("m")).filter("m IS NOT NULL")
-    names = {"v": "V", "s": "S", "b": "BY", "n": "N", "x": "X"}
-    return rows.select("sent_key", *[F.col(f"m.{n}").cast("bigint").alias(k) for k, n in names.items()])
+    rows = d.sentences(spark, sf).select("sent_key", CHAIN.first_match(words()).alias("m")).filter("m IS NOT NULL")
+    return rows.select("sent_key", *[F.col(f"m.{n}").cast("bigint").alias(n.lower()) for n in (*CHAIN_NAMES, "Det")])
 
 
 @query("filter_sentences", f"""
-WITH {d.SQL_TOK}, {SQL_TRIANGLE}, {SQL_PATTERN_PATH}
-SELECT DISTINCT 'triangle' AS pattern, sent_key FROM tri
-UNION ALL SELECT DISTINCT 'path', sent_key FROM pth""")
+WITH {d.SQL_TOK}, {SQL_SIBLINGS}, {SQL_CHAIN}
+SELECT DISTINCT 'siblings' AS pattern, sent_key FROM sib
+UNION ALL SELECT DISTINCT 'chain', sent_key FROM chn""")
 def filter_sentences(spark, sf):
     s = d.sentences(spark, sf)
     one = lambda name, p: build.filter_sentences(s, p).select(F.lit(name).alias("pattern"), "sent_key")
-    return one("triangle", TRIANGLE).unionByName(one("path", PATH))
+    return one("siblings", SIBLINGS).unionByName(one("chain", CHAIN))
 
 
 @query("filter_not_matching", f"""
-WITH {d.SQL_TOK}, {SQL_TRIANGLE}
-SELECT sent_key, md5(text) AS text_md5 FROM stext WHERE sent_key NOT IN (SELECT sent_key FROM tri)""")
+WITH {d.SQL_TOK}, {SQL_SIBLINGS}
+SELECT sent_key, md5(text) AS text_md5 FROM stext WHERE sent_key NOT IN (SELECT sent_key FROM sib)""")
 def filter_not_matching(spark, sf):
-    return build.filter_not_matching(d.sentences(spark, sf), TRIANGLE).select("sent_key", F.md5("text").alias("text_md5"))
+    return build.filter_not_matching(d.sentences(spark, sf), SIBLINGS).select("sent_key", F.md5("text").alias("text_md5"))
 
 
+# Where an owned thing stands early, or a described one later.
 TWO_CLASSES = {
-    "ADVCL": ({"H": {}, "CL": {}}, {("H", "CL"): {"deprels": "^advcl$", "lindist": (1, 3)}}),
-    "ACL": ({"H": {}, "CL": {}}, {("H", "CL"): {"deprels": "^acl.*?$", "lindist": (4, 9)}}),
+    "OWNED": ({"Thing": {}, "Owner": {}}, {("Thing", "Owner"): {"deprels": "nmod:poss", "lindist": (1, 4)}}),
+    "DESCRIBED": ({"Thing": {}, "Word": {"Degree": "Pos"}}, {("Thing", "Word"): {"deprels": ".mod", "lindist": (5, 7)}}),
 }
 SQL_TWO = """mc AS (
-  SELECT DISTINCT sent_key, 'ADVCL' AS label FROM tok WHERE deprel = 'advcl' AND head > 0 AND id - head BETWEEN 1 AND 3
-  UNION ALL SELECT DISTINCT sent_key, 'ACL' FROM tok WHERE deprel LIKE 'acl%' AND head > 0 AND id - head BETWEEN 4 AND 9)"""
+  SELECT DISTINCT sent_key, 'OWNED' AS label FROM tok WHERE deprel = 'nmod:poss' AND head > 0 AND id - head BETWEEN 1 AND 4
+  UNION ALL SELECT DISTINCT sent_key, 'DESCRIBED' FROM tok WHERE deprel = 'amod' AND head > 0 AND id - head BETWEEN 5 AND 7)"""
 
 
 @query("multi_class_task", f"""
-WITH {d.SQL_TOK}, {SQL_TWO}, {SQL_TRIANGLE}
+WITH {d.SQL_TOK}, {SQL_TWO}, {SQL_SIBLINGS}
 SELECT 'two' AS task, sent_key, label FROM mc
-UNION ALL SELECT 'one', sent_key, CASE WHEN sent_key IN (SELECT sent_key FROM tri) THEN 'SO' ELSE 'not_SO' END FROM stext""")
+UNION ALL SELECT 'one', sent_key, CASE WHEN sent_key IN (SELECT sent_key FROM sib) THEN 'SIB' ELSE 'not_SIB' END FROM stext""")
 def multi_class_task(spark, sf):
     s = d.sentences(spark, sf)
     two = build.multi_class_rows(s, TWO_CLASSES, ("sent_key",)).withColumn("task", F.lit("two"))
-    one = build.multi_class_rows(s, {"SO": TRIANGLE}, ("sent_key",)).withColumn("task", F.lit("one"))
+    one = build.multi_class_rows(s, {"SIB": SIBLINGS}, ("sent_key",)).withColumn("task", F.lit("one"))
     return two.unionByName(one)
 
 

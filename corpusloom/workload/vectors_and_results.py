@@ -162,7 +162,7 @@ def metric_logloss(spark, sf):
 
 @query("results_aggregate", f"""
 WITH {d.SQL_FACTS}
-SELECT task_language, task_category, hf_model_name, classifier_name, metric AS metric_names,
+SELECT task_language, task_category, hf_model_name, classifier_name, run_id, control, metric AS metric_names,
   CAST(layer + 1 AS INTEGER) AS layer, run_id || '/log.json' AS log_path, round(avg(value), 6) AS metric_scores
 FROM facts WHERE metric = 'f1' GROUP BY ALL""")
 def results_aggregate(spark, sf):

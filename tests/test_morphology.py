@@ -48,6 +48,7 @@ def test_odd_trees(spark):
     assert by["star"].s == "ok"
     assert by["cycle"].p[1] is None and by["cycle"].p[2] is None and by["cycle"].p[3] == [1, 4]
     assert by["self"].p[1] is None
+    assert (by["cycle"].s, by["self"].s, by["chain"].s) == ("cycle", "cycle", "ok")
     assert (by["two"].s, by["none"].s, by["out"].s) == ("many_roots", "no_root", "bad_head")
 
 

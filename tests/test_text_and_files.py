@@ -1,7 +1,6 @@
 import json
 
 import pytest
-import regex
 from pyspark.sql import functions as F
 
 from corpusloom.functions import morph, text as tx
@@ -10,23 +9,42 @@ from corpusloom.sources import conllu, runlog, taskfile
 from .samples import TOY
 
 
-def test_wordpunct_equals_plain_regex(spark):
-    texts = ["Don't stop: it's 3.5 % off!?", "a_b  c-d\t\"x\"", "Привет, мир — да", "हिन्दी भाषा।", "", "  ", "naïve…café", "x y 一二。三"]
-    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
-    got = {r.i: r.w for r in rows.select("i", tx.wordpunct(F.col("t")).alias("w")).collect()}
-    # Java's \s is ASCII, so a no-break space counts as a symbol there
-    want = {i: " ".join(regex.findall(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+", t, flags=regex.ASCII | regex.V0) if t.isascii()
-                        else regex.findall(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_ \t\n\r\f\v]+", t)) for i, t in enumerate(texts)}
-    assert got == want
+def test_wordpunct(spark):
+    """Expected tokens written by hand; every Unicode space separates, none is a token."""
+    cases = {
+        "Don't stop: it's 3.5 % off!?": "Don ' t stop : it ' s 3 . 5 % off !?",
+        'a_b  c-d\t"x"': 'a_b c - d " x "',
+        "Привет, мир — да": "Привет , мир — да",
+        "Quoi\u00a0? oui\u3000non": "Quoi ? oui non",
+        "a\u2009b\u0085c\u2028d\u001ce": "a b c d e",
+        "naïve…café": "naïve … café", "一二。三": "一二 。 三", "नम": "नम", "": "", " \u00a0 ": "",
+    }
+    rows = spark.createDataFrame([(t,) for t in cases], "t string")
+    assert {r.t: r.w for r in rows.select("t", tx.wordpunct(F.col("t")).alias("w")).collect()} == cases
+
+
+def test_patterns_mean_what_they_mean_in_python(spark):
+    import re
+
+    patterns = [r"\w+ость", r"\d+", r"\D+", r"\s+", r"\S+", r"\W+", r"[\w-]+", r"[^\s]+", r"[\W]+", r".*\bмир\b.*", r"\Bа.*",
+                r"[a[b]+", r"[&&a]+", r"[]x]+", r"[^]x]+", r".+", r"^a$", r"a\Z", r"x{2,3}|y"]
+    values = ["домость", "٣४", "12", "\u00a0\u3000", "привет мир", "мира", "а б", "ба", "[b", "a&&", "]x", "a", "x-y_z", "a\u2028b",
+              "xx", "y", "नम", "!?", "a\u0085", "\u001f"]
+    rows = spark.createDataFrame([(v,) for v in values], "v string")
+    for p in patterns:
+        got = [r.x for r in rows.select(tx.full_match(F.col("v"), p).alias("x")).collect()]
+        assert got == [bool(re.fullmatch(p, v, re.I)) for v in values], p
 
 
 def test_names(spark):
-    paths = ["/x/ru_taiga-ud-train.conllu", "/x/en_no_sorting_Number.csv", "plain.txt"]
+    paths = ["/x/ru_taiga-ud-train.conllu", "/x/en_no_sorting_Number.csv", "plain.txt",
+             "/tasks/morphology/lang=en_x/task=no_sorting_Number", "/tasks/lang=de/task=clauses/part-0.csv"]
     rows = spark.createDataFrame([(p,) for p in paths], "p string")
     p = F.col("p")
     got = rows.select("p", tx.corpus_language(p).alias("l"), tx.task_language(p).alias("tl"), tx.task_category(p).alias("tc")).collect()
     assert [tuple(r)[1:] for r in got] == [
-        ("ru_taiga", "ru", "taiga-ud-train"), ("en_no_sorting_Number", "en", "Number"), ("plain", None, None)]
+        ("ru_taiga", "ru", "taiga-ud-train"), ("en_no_sorting_Number", "en", "Number"), ("plain", None, None),
+        ("task=no_sorting_Number", "en_x", "Number"), ("part", "de", "clauses")]
     assert rows.select(tx.corpus_language(p, "fr").alias("l")).distinct().first()["l"] == "fr"
 
 
@@ -72,6 +90,38 @@ def test_read_conllu(spark, folder, layout):
         assert [one[k].tree_status for k in ("s1", "s2", "s3")] == ["ok", "ok", "many_roots"]
 
 
+def test_keys_hang_on_content_only(spark, folder, tmp_path):
+    """The layout, the folder, the number of tasks: none of them changes a key; copies are numbered."""
+    import shutil
+
+    name = "en_toy-ud-train.conllu"
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / name).write_text((TOY + "\n") * 40, encoding="utf-8")
+    shutil.copytree(tmp_path / "a", tmp_path / "moved" / "deeper")
+    keys = lambda path, **o: sorted(r.sent_key for r in conllu.read_conllu(spark, str(path), **o).collect())
+    first = keys(tmp_path / "a", layout="files")
+    assert len(set(first)) == len(first) == 120
+    assert keys(tmp_path / "a", layout="blocks") == first == keys(tmp_path / "moved", layout="files")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    assert keys(tmp_path / "a", layout="blocks") == first
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_text_is_rebuilt(spark, tmp_path):
+    """Without a text comment the forms make the text; a range stands for its words."""
+    bare = "\n".join(x for x in TOY.split("\n") if not x.startswith("# text"))
+    (tmp_path / "en_bare-ud-train.conllu").write_text(bare, encoding="utf-8")
+    (tmp_path / "en_full-ud-train.conllu").write_text(TOY, encoding="utf-8")
+    rows = conllu.read_conllu(spark, str(tmp_path)).select("treebank", "sent_id", "text").collect()
+    assert all(r.text for r in rows)
+    by = {(r.treebank[:7], r.sent_id): r.text for r in rows}
+    assert by["en_bare", "s1"].split()[:3] == by["en_full", "s1"].split()[:3]
+    fields = [["1-2", "don't"], ["1", "do"], ["2", "n't"], ["2.1", "x"], ["3", "go", *"_______", "SpaceAfter=No"], ["4", "."]]
+    one = spark.createDataFrame([(fields,)], "f array<array<string>>")
+    assert one.select(conllu.surface_text(F.col("f")).alias("t")).first()["t"] == "don't go."
+
+
 def test_corpus_files_and_refusals(spark, folder, tmp_path):
     files = conllu.corpus_files(spark, str(folder)).collect()
     assert [f.role for f in files] == ["train", "dev", "test"]
@@ -94,9 +144,9 @@ def test_render_round_trip(spark, folder, tmp_path):
 
 
 def test_feats(spark):
-    rows = spark.createDataFrame([("Case=Nom|Gender[psor]=Masc,Fem",), ("_",), (None,)], "f string")
+    rows = spark.createDataFrame([("Case=Nom|Gender[psor]=Masc,Fem",), ("_",), (None,), ("Case=Nom|Case=Acc|Number=Sing",)], "f string")
     got = [r.m for r in rows.select(morph.parse_feats(F.col("f")).alias("m")).collect()]
-    assert got == [{"Case": "Nom", "Gender[psor]": "Masc,Fem"}, None, None]
+    assert got == [{"Case": "Nom", "Gender[psor]": "Masc,Fem"}, None, None, {"Case": "Acc", "Number": "Sing"}]
 
 
 def test_task_files(spark, tmp_path):
