@@ -12,17 +12,12 @@ from .dims import join_small
 def drop_ambiguous(rows: DataFrame, text: str = "text", by: tuple[str, ...] = ()) -> DataFrame:
     """Remove every copy of a text that occurs more than once (within ``by``).
 
-    One aggregation: copies collapse before the shuffle, however many there are,
-    and a text that is left has one row, so its other columns are kept by ``first``.
+    Texts are counted by their hash: copies collapse before the shuffle, however many there are, the
+    aggregation stays a hash aggregation, and no text moves. Rows without a text are not copies of each other.
     """
-    keys = [*by, text]
-    rest = [c for c in rows.columns if c not in keys]
-    return (
-        rows.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("__n"), *[F.first(c).alias(c) for c in rest])
-        .filter("__n = 1")
-        .select(*rows.columns)
-    )
+    marked = rows.withColumn("__h", F.unhex(F.sha2(text, 256)))
+    copies = marked.groupBy(*by, "__h").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").drop("__n")
+    return join_small(marked, copies.dropna(subset=["__h"]), [*by, "__h"], "left_anti").select(*rows.columns)
 
 
 def class_counts(rows: DataFrame, by: tuple[str, ...] = (), label: str = "label") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import wordpunct_tokens
 from ..operators import classes as c
 from ..operators import split as sp
+from ..operators.dims import join_small
 from ..operators.vectors import dropped_rows, length_filter, length_truncate
 from ..session import persist_table
 from . import derive as d
@@ -151,7 +152,7 @@ FROM tk QUALIFY len(tokens) <= {MAX_TOKENS}""")
 def length_filter_query(spark, sf):
     rows = _token_rows(spark, sf)
     kept = length_filter(rows, MAX_TOKENS).select("doc_id", "stage", F.size("tokens").cast("bigint").alias("n_tokens"))
-    return kept.join(dropped_rows(rows, MAX_TOKENS).select("stage", "dropped"), "stage")
+    return join_small(kept, dropped_rows(rows, MAX_TOKENS).select("stage", "dropped"), ["stage"])
 
 
 @query("length_truncate", f"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import metrics as me
 from ..operators import results as rs
 from ..operators import vectors as ve
+from ..operators.dims import join_small
 from ..session import persist_table
 from ..sources import vectors as vs
 from . import derive as d
@@ -24,14 +25,15 @@ SQL_STAGE = "CASE WHEN vec_id % 10 < 8 THEN 'tr' WHEN vec_id % 10 = 8 THEN 'va'
 @query("vector_scan", f"""
 WITH v AS (SELECT {SQL_STAGE} AS stage, label, embedding FROM embeddings),
 c AS (SELECT DISTINCT label FROM v WHERE stage = 'tr')
-SELECT stage, label, 0 AS layer, count(*) AS n, round(sum(CAST(embedding[1] AS DOUBLE)), 4) AS first_sum
+SELECT stage, label, 0 AS layer, count(*) AS n,
+  round(sum(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE)))), 4) AS vector_sum
 FROM v JOIN c USING (label) GROUP BY stage, label""")
 def vector_scan(spark, sf):
     emb = d.table(spark, sf, "embeddings").withColumn("stage", _stage("vec_id"))
     rows = vs.from_frame(emb, "embedding", "label", "stage", "vec_id")
-    return rows.join(vs.classes(rows), "label", "left_semi").groupBy("stage", "label", "layer").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.round(F.sum(F.get("features", F.lit(0)).cast("double")), 4).alias("first_sum"))
+    every = F.aggregate("features", F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double"))
+    return join_small(rows, vs.classes(rows), ["label"], "left_semi").groupBy("stage", "label", "layer").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum(every), 4).alias("vector_sum"))
 
 
 @query("argmax", "SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS best FROM embeddings")
@@ -146,13 +148,13 @@ def metric_all(spark, sf):
 
 
 @query("metric_logloss", """
-WITH e AS (SELECT vec_id, label, list_transform(list_slice(embedding, 1, 10), lambda x: exp(CAST(x AS DOUBLE))) AS w FROM embeddings)
+WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: exp(CAST(x AS DOUBLE))) AS w FROM embeddings)
 SELECT vec_id % 2 AS half, round(avg(-ln(w[label + 1] / list_sum(w))), 6) AS log_loss FROM e GROUP BY half""")
 def metric_logloss(spark, sf):
-    """Softmax of the first ten numbers of each vector as class probabilities."""
+    """Softmax of the numbers of each vector as class probabilities."""
     emb = d.table(spark, sf, "embeddings").select(
         (F.col("vec_id") % 2).alias("half"), "label",
-        F.transform(F.slice("embedding", 1, 10), lambda x: F.exp(x.cast("double"))).alias("w"))
+        F.transform("embedding", lambda x: F.exp(x.cast("double"))).alias("w"))
     total = F.aggregate("w", F.lit(0.0).cast("double"), lambda a, x: a + x)
     probs = emb.withColumn("total", total).withColumn("probability", F.transform("w", lambda x: x / F.col("total")))
     return me.log_loss(probs, label="label", by=("half",)).withColumn("log_loss", F.round("log_loss", 6))
