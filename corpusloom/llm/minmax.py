@@ -11,8 +11,9 @@ Sets are first collapsed to classes of equal sets, so copies are compared once.
    nearly all of a group, however large, with one comparison for each member.
 2. In the bands that still hold several components, all members outside the largest one are compared
    with the members of other components, if the numbers of shingles that a set shares with any other set
-   allow a link. Members of one component never meet again. Many pairs are taken in slices, and
-   merged components shorten the next slice. No pair that could be a link is left out.
+   allow a link. Members of one component never meet again. Keys with many members are compared in
+   blocks of bounded size, many pairs in one matrix product, and give one link for two
+   components; pairs are rows only for keys with few members. No pair that could be a link is left out.
 
 With 16 bands of 5 minima and 16 of 5 maxima, two sets at a similarity of exactly 0.8 share none with a
 probability of (1 - 0.8**5)**32, about 3 in a million, and less above.
@@ -24,6 +25,7 @@ import random
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +37,10 @@ from .components import components
 
 KEY = ["__k1", "__k2", "__n"]
 BLOCK = 1 << 16
-PAIRS_PER_NODE = 200  # pairs that one slice may compare, per class with candidates
+LARGE_KEY = 32    # members from which on a key's sets are compared in blocks
+BLOCK_SETS = 512  # outside sets of a block; a block of all sets has twice as many
+BLOCK_SHINGLES = 400_000  # of the outside sets of a block
+COLUMNS = 4096    # shingles of one matrix product
 
 
 def shingles(words: Column, size: int = 4) -> Column:
@@ -149,17 +154,78 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                          .filter(F.lit(100) * both >= F.lit(percent) * union).select("a", "b"), "links")
 
 
-def _rest(held: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """Members of keys that still hold several components: those outside the largest one, all, and pairs at most."""
+def _open_keys(held: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (key, node, x, label) of keys that still hold several components, and these keys (key, m, top, top_c):
+    members, and the largest component with its members."""
     named = persist_table(held.select("key", "node", "x").join(labels, "node", "left").withColumn(
-        "label", F.coalesce("label", "node")), "open")
+        "label", F.coalesce("label", "node")), "named")
     per = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
     keys = per.groupBy("key").agg(F.sum("c").alias("m"), F.max(F.struct("c", "label")).alias("top"))
-    keys = persist_table(keys.filter("m > top.c").select("key", F.col("top.label").alias("top"),
-                                                          ((F.col("m") - F.col("top.c")) * F.col("m")).alias("p")), "open")
-    total = keys.agg(F.sum("p")).first()[0] or 0
-    every = named.join(keys.select("key", "top"), "key")
-    return every.filter("label <> top").drop("top"), every.drop("top"), total
+    keys = persist_table(keys.filter("m > top.c").select("key", "m", F.col("top.label").alias("top"),
+                                                          F.col("top.c").alias("top_c")), "open")
+    return named.join(keys.select("key", "top", "m"), "key"), keys
+
+
+def _meet(percent: int):
+    """Links between outside sets of one block and all sets of another, by products of their incidence matrices."""
+
+    def run(table: pd.DataFrame) -> pd.DataFrame:
+        out, every = table[table["outside"]], table[~table["outside"]]
+        found: dict[tuple[int, int], tuple[int, int]] = {}
+        if len(out) and len(every):
+            a_n, b_n = out["n"].to_numpy(), every["n"].to_numpy()
+            ids = np.concatenate([*out["__set"], *every["__set"]])
+            rows = np.repeat(np.arange(len(table)), np.concatenate([a_n, b_n]))
+            names, place = np.unique(ids, return_inverse=True)
+            left = rows < len(out)
+            shared = (np.bincount(place[left], minlength=len(names)) > 0) & (np.bincount(place[~left], minlength=len(names)) > 0)
+            column = np.cumsum(shared) - 1
+            keep = shared[place]
+            rows, place, left = rows[keep], column[place[keep]], left[keep]
+            both = np.zeros((len(out), len(every)), dtype=np.float32)
+            for at in range(0, int(shared.sum()), COLUMNS):
+                here = (place >= at) & (place < at + COLUMNS)
+                a = np.zeros((len(out), COLUMNS), dtype=np.float32)
+                b = np.zeros((len(every), COLUMNS), dtype=np.float32)
+                a[rows[here & left], place[here & left] - at] = 1
+                b[rows[here & ~left] - len(out), place[here & ~left] - at] = 1
+                both += a @ b.T
+            union = a_n[:, None] + b_n[None, :] - both
+            a_l, b_l = out["label"].to_numpy(), every["label"].to_numpy()
+            for i, j in zip(*np.nonzero((100 * both >= percent * union) & (a_l[:, None] != b_l[None, :]))):
+                found.setdefault((int(a_l[i]), int(b_l[j])), (int(out["node"].iloc[i]), int(every["node"].iloc[j])))
+        return pd.DataFrame(list(found.values()), columns=["a", "b"]).astype("int64")
+
+    return run
+
+
+def _large_keys(members: DataFrame, keys: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links within the clusters that large keys make of their members, and (node, cluster), both stored.
+
+    Clusters are dealt into blocks of outside and of all members, and every pair of blocks is compared in
+    a task of its own. No pair leaves a task but one link between two components.
+    """
+    large = members.filter(F.col("m") > LARGE_KEY)
+    edges = large.select(F.col("top").alias("a"), F.col("label").alias("b")).distinct()
+    clusters = components(edges).select(F.col("node").alias("label"), F.col("label").alias("cluster"))
+    # the largest component of a cluster has nothing to be compared with itself; the others are outside
+    inside = persist_table(large.select("node", "label", F.col("x.n").alias("n")).distinct().join(clusters, "label"), "clusters")
+    # weights are in sets of usual length, so blocks of long sets have fewer of them
+    weight = F.greatest(F.lit(1.0), F.col("n") / (BLOCK_SHINGLES / BLOCK_SETS))
+    sizes = inside.groupBy("cluster", "label").agg(F.sum(weight).alias("c")).groupBy("cluster").agg(
+        F.sum("c").alias("m"), F.max(F.struct("c", "label")).alias("top"))
+    sizes = sizes.select("cluster", F.col("top.label").alias("top"),
+                         F.ceil((F.col("m") - F.col("top.c")) / BLOCK_SETS).cast("int").alias("blocks_a"),
+                         F.ceil(F.col("m") / (2 * BLOCK_SETS)).cast("int").alias("blocks_b"))
+    rows = inside.join(sizes.filter("blocks_a > 0"), "cluster").join(sets, "node")
+    deal = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    outside = rows.filter("label <> top").withColumn("i", deal(F.col("blocks_a"))).withColumn(
+        "j", F.explode(F.sequence(F.lit(0), F.col("blocks_b") - 1))).withColumn("outside", F.lit(True))
+    every = rows.withColumn("j", deal(F.col("blocks_b"))).withColumn(
+        "i", F.explode(F.sequence(F.lit(0), F.col("blocks_a") - 1))).withColumn("outside", F.lit(False))
+    columns = ["cluster", "i", "j", "outside", "node", "label", "n", "__set"]
+    met = outside.select(*columns).unionByName(every.select(*columns)).groupBy("cluster", "i", "j")
+    return persist_table(met.applyInPandas(_meet(percent), "a long, b long"), "links"), inside.select("node", "cluster")
 
 
 def find_links(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -179,18 +245,25 @@ def find_links(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     first = held.join(lead, "key").filter((F.col("node") != F.col("lead.node")) & _alike("x", "lead.x", percent))
     first = first.groupBy("node").agg(F.min("lead").alias("lead"))
     links = confirm(first.select(F.col("node").alias("b"), F.col("lead.node").alias("a")), sets, percent)
-    outside, every, total = _rest(held, components(links))
-    slices, done = max(1, -(-total // (max(1, many) * PAIRS_PER_NODE))), 0
-    while total and done < slices:
-        some = outside.filter(F.pmod(F.xxhash64("node"), F.lit(slices)) == done).select(
-            "key", F.col("node").alias("o"), F.col("x").alias("o_x"), F.col("label").alias("o_label"))
-        met = (some["key"] == every["key"]) & (F.col("o_label") != F.col("label")) & _alike("o_x", "x", percent)
-        pairs = some.join(every, met).select(F.least("o", "node").alias("a"), F.greatest("o", "node").alias("b")).distinct()
-        links = links.unionByName(confirm(pairs, sets, percent))
-        done += 1
-        if done < slices:
-            outside, every, total = _rest(held, components(links))
-    return links
+    members, keys = _open_keys(held, components(links))
+    if keys.isEmpty():
+        return links
+    done = F.lit(False)
+    if not keys.filter(F.col("m") > LARGE_KEY).isEmpty():
+        more, clusters = _large_keys(members, keys, sets, percent)
+        links = links.unionByName(more)
+        members, keys = _open_keys(held, components(links))
+        members = members.join(clusters, "node", "left")
+        done = F.coalesce(F.col("o_cluster") == F.col("cluster"), F.lit(False))  # compared in blocks
+    else:
+        members = members.withColumn("cluster", F.lit(None).cast("long"))
+    # a large key lies within one cluster, so what is left are keys of few members
+    few = persist_table(members.filter(F.col("m") <= LARGE_KEY), "few")
+    outside = few.filter("label <> top").select(
+        "key", F.col("node").alias("o"), F.col("x").alias("o_x"), F.col("label").alias("o_label"), F.col("cluster").alias("o_cluster"))
+    met = (outside["key"] == few["key"]) & (F.col("o_label") != F.col("label")) & ~done & _alike("o_x", "x", percent)
+    pairs = outside.join(few, met).select(F.least("o", "node").alias("a"), F.greatest("o", "node").alias("b")).distinct()
+    return links.unionByName(confirm(pairs, sets, percent))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 80,

@@ -123,7 +123,7 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_chains_groups_and_slices(spark, tmp_path, monkeypatch):
+def test_chains_groups_and_blocks(spark, tmp_path, monkeypatch):
     """Copies with more and more changes: links along the chain only, and many members in a group."""
     draw = random.Random(2)
     vocabulary = [f"word{i}" for i in range(3000)]
@@ -140,7 +140,9 @@ def test_chains_groups_and_slices(spark, tmp_path, monkeypatch):
     expected = sorted(brute.near(rows))
     columns = ["doc_id", "n_shingles", "component_id"]
     assert sorted(tuple(r) for r in near_groups(docs).select(*columns).collect()) == expected
-    monkeypatch.setattr("corpusloom.llm.minmax.PAIRS_PER_NODE", 20)  # several slices
+    monkeypatch.setattr("corpusloom.llm.minmax.LARGE_KEY", 3)
+    monkeypatch.setattr("corpusloom.llm.minmax.BLOCK_SETS", 4)
+    monkeypatch.setattr("corpusloom.llm.minmax.COLUMNS", 64)
     assert sorted(tuple(r) for r in near_groups(docs).select(*columns).collect()) == expected
 
 
