@@ -77,7 +77,7 @@ def repeated_words(words: Column, size: int = 3) -> Column:
 
 
 def ledger(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The kept columns (all by default, in a struct ``row``), measurements and ``failed``, the failure bits.
+    """The kept columns (all by default, in a struct ``row``), ``__row``, measurements and ``failed``, the failure bits.
 
     Words are runs of anything but white space; a null or empty text has none. Measurements:
     ``n_words``, ``word_chars`` (code points in words), ``n_symbols``, ``n_lines`` (lines with a word),
@@ -92,8 +92,10 @@ def ledger(docs: DataFrame, text_col: str = "text", keep: list[str] | None = Non
         "row", split_words(text).alias("__words"), F.length(F.regexp_replace(text, SPACES, "")).alias("word_chars"),
         F.length(F.regexp_replace(text, SYMBOLS, "")).alias("n_symbols"),
         F.filter(F.split(text, "\n"), lambda x: F.trim(x, F.lit(" \t\x0b\x0c\r\n")) != "").alias("__lines"))
+    # a row number cannot be computed twice, so no filter on measurements is moved below this step, where it
+    # would compute them anew for every word
     rows = rows.select(
-        "row", F.size("__words").cast("long").alias("n_words"), F.col("word_chars").cast("long"),
+        "row", F.monotonically_increasing_id().alias("__row"), F.size("__words").cast("long").alias("n_words"), F.col("word_chars").cast("long"),
         F.col("n_symbols").cast("long"), F.size("__lines").cast("long").alias("n_lines"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("__words")).cast("long").alias("n_repeat_words"))
@@ -126,4 +128,4 @@ def ablations(rows: DataFrame, policy: str = CURRENT, failed: str = "failed") ->
 
 def drop_failed(docs: DataFrame, text_col: str = "text", policy: str = CURRENT) -> DataFrame:
     """The rows of ``docs`` that a policy keeps, with all their columns."""
-    return ledger(docs, text_col).filter(passes(policy)).select("row.*")
+    return ledger(docs, text_col).filter(passes(policy) & (F.col("__row") >= 0)).select("row.*")

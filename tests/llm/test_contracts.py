@@ -163,10 +163,15 @@ def test_drops(odd, empty, pairs):
                     (drop_near_copies, None), (drop_failed, None)):
         out = drop(odd)
         assert out.columns == odd.columns
-        assert n is None or out.count() == n
+        assert out.count() == (n or out.count())
         assert drop(empty).count() == 0
 
 
+def test_failed_documents_go(odd, pairs):
+    kept = {r.doc_id for r in drop_failed(odd).collect()}
+    assert kept == {9, 10}
+
+
 def test_smallest_stays(odd):
     kept = {r.doc_id for r in exact_dedup(odd, keep="smallest").filter("kept").collect()}
     assert {1, 4, 6} <= kept and not {2, 7} & kept
