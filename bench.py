@@ -18,7 +18,7 @@ HEADLINE = (
     "multi_class_task", "build_filter_task", "token_tree_paths", "top_category_token",
     "classify_by_pos", "category_inventory", "build_ud_tasks", "corpus_union", "corpus_blocks",
     "task_sink_roundtrip", "encode_distinct", "pool_avg", "metric_report", "results_pivot",
-    "encode_layers", "probe_logreg",
+    "encode_layers", "probe_logreg", "run_probe", "ud_task_report",
 )
 
 
