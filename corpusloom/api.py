@@ -1,4 +1,4 @@
-"""The four jobs from files to files: convert, filter, probe, collect results."""
+"""The jobs from files to files: convert, filter, probe a task or a folder of tasks, collect results."""
 
 from __future__ import annotations
 
@@ -67,11 +67,28 @@ def probe_task(spark: SparkSession, path: str, log_to: str | None = None, run_id
     """A task file to run facts. Language and category come from the file name."""
     rows = taskfile.read_task(spark, path, sep)
     name = spark.range(1).select(task_language(F.lit(path)).alias("lang"), task_category(F.lit(path)).alias("cat")).first()
-    # rows of a file have no key; numbers are given once and kept by the written table
-    keyed = persist_table(rows.withColumn("key", F.monotonically_increasing_id().cast("string")), "task")
+    keyed = persist_table(taskfile.with_keys(rows), "task")
     return probe.run_probe(keyed, "key", name["lang"], name["cat"], run_id=run_id, log_to=log_to, **options)
 
 
+def probe_folder(spark: SparkSession, path: str, sep: str = "\t", layers: int = 4, width: int = 32,
+                 make_predict_fn=None, **options) -> DataFrame:
+    """All tasks of a folder written by ``write_tasks``: (lang, task, layer, stage, metric, value, status).
+
+    The texts of all tasks go through the model in one pass, each different text once. A task that cannot
+    be probed is a row with the reason as its status. ``options`` go to ``probe.sweep``.
+    """
+    rows = taskfile.with_keys(taskfile.read_tasks(spark, path, sep))
+    named = rows.select(F.concat_ws("/", "lang", "task").alias("name"), "key", "stage", "label", "text")
+    named = persist_table(named, "tasks")
+    vectors = persist_table(
+        probe.encode_layers(named, "key", layers=layers, width=width, make_predict_fn=make_predict_fn), "vectors")
+    scores = probe.sweep_tasks(vectors, "key", "name", **options)
+    return scores.select(
+        F.substring_index("name", "/", 1).alias("lang"), F.regexp_replace("name", "^[^/]*/", "").alias("task"),
+        "layer", "stage", "metric", "value", "status")
+
+
 def collect_logs(spark: SparkSession, paths, metric: str = "f1", stage: str = "test") -> DataFrame:
     """Mean score per log and layer, from JSON logs."""
     scores = runlog.log_scores(runlog.read_logs(spark, paths))

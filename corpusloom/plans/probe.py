@@ -31,8 +31,9 @@ HIDDEN = 256
 ENCODE_BATCH = 32
 CLASSIFIERS = ("logreg", "mlp", "mdl")
 FITS_AT_ONCE = 4
-# Smallest probability in a code length: about 20 bits per label at worst.
-FLOOR = 1e-6
+# Share of the uniform code in a code length.
+SMOOTHING = 1e-3
+SWEEP_FIELDS = "layer int, stage string, metric string, value double, status string"
 
 
 def encode_layers(rows: DataFrame, key: str, text: str = "text", layers: int = 4, width: int = 32,
@@ -82,13 +83,15 @@ def load_layer(spark: SparkSession, path: str, layer: int, **more) -> DataFrame:
 
 def fit(train: DataFrame, classifier: str, n_classes: int, width: int, max_iter: int = 50,
         seed: int = 42, hidden: int = HIDDEN):
-    """A fitted classifier. The loss is balanced by weights, or for the network by repeats."""
+    """A fitted classifier. The loss is balanced by weights, or for the network by repeats.
+
+    ``mdl`` is fitted without weights: a code length is that of the data as they are.
+    """
     if classifier in ("logreg", "mdl"):
         model = LogisticRegression(
-            family="multinomial", featuresCol="features", labelCol="label_idx", weightCol="weight",
-            maxIter=max_iter, regParam=1e-4,
+            family="multinomial", featuresCol="features", labelCol="label_idx", maxIter=max_iter, regParam=1e-4,
         )
-        return model.fit(train)
+        return (model if classifier == "mdl" else model.setWeightCol("weight")).fit(train)
     if classifier == "mlp":
         model = MultilayerPerceptronClassifier(
             layers=[width, hidden, max(n_classes, 2)], featuresCol="features", labelCol="label_idx",
@@ -128,11 +131,14 @@ def probe_scores(rows: DataFrame, classifier: str = "logreg", metrics=("f1", "ac
 
 
 def code_length(rows: DataFrame, key: str, fractions=(16, 8, 4, 2, 1), max_iter: int = 30,
-                seed: int = 42) -> DataFrame:
+                seed: int = 42, smoothing: float = SMOOTHING) -> DataFrame:
     """Online code length of the training labels in bits, block by block.
 
     The training rows are put in seeded order. The first 1/16 is sent with a
     uniform code; each next block with the classifier fitted on all before it.
+    The code mixes the classifier's p with the uniform one of k classes,
+    (1 - smoothing) * p + smoothing / k, so it stays a code and a class that the
+    classifier has not seen yet costs log2(k / smoothing) bits.
     """
     spark = rows.sparkSession
     train = rows.filter("stage = 'tr'").withColumn("__all", F.lit(0))
@@ -156,9 +162,9 @@ def code_length(rows: DataFrame, key: str, fractions=(16, 8, 4, 2, 1), max_iter:
             bits = F.lit(_log2(k))
             coded = now
         else:
-            coded = fit(before, "logreg", k, 0, max_iter).transform(now)
-            p = F.get(vector_to_array("probability"), F.col("label_idx").cast("int"))
-            bits = -F.log2(F.greatest(F.coalesce(p, F.lit(0.0)), F.lit(FLOOR)))
+            coded = fit(before, "mdl", k, 0, max_iter).transform(now)
+            p = F.coalesce(F.get(vector_to_array("probability"), F.col("label_idx").cast("int")), F.lit(0.0))
+            bits = -F.log2(F.lit(1 - smoothing) * p + F.lit(smoothing / max(k, 2)))
         parts.append(settle(coded.groupBy(F.lit(i).alias("block")).agg(
             F.count(F.lit(1)).alias("n"), F.sum(bits).alias("bits"))))
     uniform = F.col("n") * F.lit(_log2(k))
@@ -181,10 +187,11 @@ def compression(lengths: DataFrame) -> DataFrame:
 def _probe_one(rows: DataFrame, classifier: str, metrics, max_iter: int, key: str) -> DataFrame:
     if classifier == "mdl":
         total = compression(code_length(rows, key, max_iter=max_iter))
-        return total.select(F.lit("tr").alias("stage"), F.explode(F.array(*[
+        lengths = total.select(F.lit("tr").alias("stage"), F.explode(F.array(*[
             F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value"))
             for c in ("bits", "uniform_bits", "compression")
         ])).alias("m")).select("stage", "m.*")
+        return lengths.unionByName(probe_scores(rows, classifier, metrics, max_iter))
     return probe_scores(rows, classifier, metrics, max_iter)
 
 
@@ -210,14 +217,14 @@ def probe_layers(prepared: DataFrame, key: str, classifier: str = "logreg", metr
 
 
 def sweep(prepared: DataFrame, key: str, by: str = "task", classifier: str = "logreg",
-          metrics=("f1", "accuracy"), max_iter: int = 50) -> DataFrame:
+          metrics=("f1", "accuracy"), max_iter: int = 50, at_once: int = FITS_AT_ONCE) -> DataFrame:
     """All tasks of a collection and all layers; a failed fit becomes a row with its reason."""
     spark = prepared.sparkSession
     path = store_layers(layer_select(prepared), by)
     # small jobs: names of folders, not rows of vectors
     pairs = [(r[by], r["layer"]) for r in
              spark.read.parquet(path).select(by, "layer").distinct().orderBy(by, "layer").collect()]
-    schema = f"{by} string, layer int, stage string, metric string, value double, status string"
+    schema = f"{by} string, {SWEEP_FIELDS}"
 
     def run(pair) -> DataFrame:
         task, layer = pair
@@ -227,28 +234,54 @@ def sweep(prepared: DataFrame, key: str, by: str = "task", classifier: str = "lo
             return out.select(F.lit(str(task)).alias(by), F.lit(layer).alias("layer"), "stage", "metric",
                               "value", F.lit("ok").alias("status"))
         except Exception as error:
-            reason = f"{type(error).__name__}: {str(error)[:200]}"
+            reason = f"{type(error).__name__}: {error}"
             return spark.createDataFrame([(str(task), layer, None, None, None, reason)], schema)
 
-    with ThreadPoolExecutor(FITS_AT_ONCE) as threads:
-        return reduce(DataFrame.unionByName, list(threads.map(run, pairs)))
+    with ThreadPoolExecutor(at_once) as threads:
+        return reduce(DataFrame.unionByName, threads.map(run, pairs), spark.createDataFrame([], schema))
+
+
+def unseen_labels(vectors: DataFrame, by: str = "task") -> DataFrame:
+    """Labels of a task that its training rows lack: (by, label)."""
+    seen = vectors.filter("stage = 'tr'").select(by, "label").distinct()
+    return vectors.select(by, "label").distinct().join(seen, [by, "label"], "left_anti")
+
+
+def sweep_tasks(vectors: DataFrame, key: str, by: str = "task", **options) -> DataFrame:
+    """``sweep`` of stored vectors (key, by, stage, label, layer, features).
+
+    A task with labels that its training rows lack cannot be scored: it becomes a row that names them,
+    without a layer, and the other tasks are fitted.
+    """
+    bad = settle(unseen_labels(vectors, by).groupBy(by).agg(
+        F.array_join(F.sort_array(F.collect_set("label")), ", ").alias("labels")))
+    fitted = sweep(prepare(join_small(vectors, bad.select(by), [by], "left_anti"), (by,)), key, by, **options)
+    reason = F.concat(F.lit("label not seen in training: "), F.col("labels"))
+    return fitted.unionByName(bad.select(by, reason.alias("status")), allowMissingColumns=True)
 
 
-def run_probe(task: DataFrame, key: str, task_language: str | None = None, task_category: str | None = None,
+def run_probe(task: DataFrame | None, key: str, task_language: str | None = None, task_category: str | None = None,
               model_name: str = "hashed-3grams", classifier: str = "logreg", metrics=("f1", "accuracy"),
               control: bool = False, layers: int = 4, width: int = 32,
               make_predict_fn: Callable | None = None, max_iter: int = 50,
-              run_id: str = "run", log_to: str | None = None) -> DataFrame:
+              run_id: str = "run", log_to: str | None = None, probing_type: str = "layerwise",
+              vectors: DataFrame | None = None) -> DataFrame:
     """A whole probe of a task (key, stage, label, text) to run facts.
 
     With ``control`` the labels are permuted within each stage first. Facts are
     written to ``log_to`` when it is given, in place of those of an earlier run of that name.
+    Given ``vectors`` (key, stage, label, layer, features) stand in place of the task and nothing is
+    encoded; those of ``sources.vectors.from_frame`` have the one layer of ``probing_type="singlerun"``.
     """
-    if control:
-        task = control_labels(task, key).drop("label").withColumnRenamed("control_label", "label")
+    permuted = lambda rows, by=(): control_labels(rows, key, by=by).drop("label").withColumnRenamed("control_label", "label")
+    if vectors is None:
+        task = permuted(task) if control else task
+        vectors = encode_layers(task, key, layers=layers, width=width, make_predict_fn=make_predict_fn)
+    elif control:
+        vectors = permuted(vectors, ("layer",))  # the order hangs on key and seed alone: alike in all layers
     # written once: label tables, weights and fits read the vectors, and the model sees each text once
-    vectors = persist_table(encode_layers(task, key, layers=layers, width=width, make_predict_fn=make_predict_fn), "vectors")
-    scores = probe_layers(prepare(vectors), key, classifier, metrics, max_iter=max_iter)
+    vectors = persist_table(vectors, "vectors")
+    scores = probe_layers(prepare(vectors), key, classifier, metrics, probing_type, max_iter)
     stage = F.when(F.col("stage") == "va", "val").when(F.col("stage") == "te", "test").otherwise("train")
     facts = scores.select(
         F.lit(run_id).alias("run_id"), F.lit(task_language).cast("string").alias("task_language"),

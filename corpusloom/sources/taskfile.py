@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SCHEMA = "stage string, label string, text string"
 
@@ -32,6 +33,22 @@ def read_tasks(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
     )
 
 
+def with_keys(rows: DataFrame, block: int = 100_000) -> DataFrame:
+    """The rows with ``key``: the hash of a row's content and its number among equal rows.
+
+    It hangs on no path, file order or cluster. Equal rows collapse before the shuffle, and are dealt out
+    again in blocks, so a row with very many copies is no task's alone.
+    """
+    names = rows.columns
+    counted = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("__n")).withColumn(
+        "__h", F.sha2(F.to_json(F.struct(*names)), 256))
+    blocks = counted.withColumn("__b", F.explode(F.sequence(F.lit(0), F.floor((F.col("__n") - 1) / block))))
+    first = F.col("__b") * block
+    numbers = F.sequence(first, F.least(first + block, F.col("__n")) - 1)
+    dealt = blocks.repartition("__h", "__b").withColumn("__i", F.explode(numbers))
+    return dealt.select(*names, F.concat_ws(":", "__h", F.col("__i").cast("string")).alias("key"))
+
+
 def task_path(name: str, folder: str) -> str:
     """Path pattern of a ready-made task in a folder."""
     if name not in TASK_NAMES:

@@ -5,12 +5,14 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom import probe_task
+from corpusloom import probe_folder, probe_task
 from corpusloom.operators import metrics as me
 from corpusloom.operators import results as rs
 from corpusloom.operators import vectors as ve
 from corpusloom.plans import probe
 from corpusloom.session import persist_table
+from corpusloom.sources import taskfile
+from corpusloom.sources.vectors import from_frame
 
 
 def plain_report(pairs):
@@ -152,6 +154,61 @@ def test_probe_of_a_task_file(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "facts")).count() == facts.count()
 
 
+def toy_lines(rng, n=90):
+    words = {"0": "alpha beta gamma", "1": "delta omega sigma"}
+    return [("tr" if i % 5 < 3 else "va" if i % 5 == 3 else "te", str(i % 2), " ".join(rng.choices(words[str(i % 2)].split(), k=6)))
+            for i in range(n)]
+
+
+def test_probe_of_a_folder_of_tasks(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [("en", "good", *r) for r in toy_lines(rng)] + [("de", "good", *r) for r in toy_lines(rng)]
+    rows += [("en", "bad", *r) for r in toy_lines(rng, 30)] + [("en", "bad", "te", "new", "alpha")]
+    taskfile.write_tasks(spark.createDataFrame(rows, "lang string, task string, stage string, label string, text string"), str(tmp_path / "tasks"))
+    out = probe_folder(spark, str(tmp_path / "tasks"), layers=2, max_iter=10).collect()
+    good = {(r.lang, r.stage, r.metric): r for r in out if r.task == "good"}
+    assert {r.status for r in good.values()} == {"ok"} and {k[0] for k in good} == {"en", "de"}
+    assert good["de", "te", "f1"].value > 0.9
+    assert [(r.lang, r.layer, r.metric, r.status) for r in out if r.task == "bad"] == [
+        ("en", None, None, "label not seen in training: new")]
+
+
+def test_keys_of_task_rows(spark):
+    rows = [("tr", "a", "x")] * 25 + [("tr", "a", "y"), ("te", None, "y"), ("te", "y", None)]
+    fields = "stage string, label string, text string"
+    a = sorted(map(str, taskfile.with_keys(spark.createDataFrame(rows, fields), 10).collect()))
+    b = sorted(map(str, taskfile.with_keys(spark.createDataFrame(rows[::-1], fields).repartition(7), 4).collect()))
+    assert a == b and len(set(a)) == len(rows)
+    kept = taskfile.with_keys(spark.createDataFrame(rows, fields))
+    assert kept.select("key").distinct().count() == len(rows)
+    assert Counter(map(tuple, kept.drop("key").collect())) == Counter(rows)
+
+
+def test_probe_of_given_vectors(spark, vectors):
+    given = from_frame(vectors.filter("layer = 2"), "features", "label", "stage", "id")
+    facts = {(r.layer, r.stage, r.metric): r.value for r in probe.run_probe(
+        None, "sample_id", vectors=given, probing_type="singlerun", max_iter=10).collect()}
+    assert facts[0, "test", "accuracy"] > 0.97
+    control = {(r.stage, r.metric): r.value for r in probe.run_probe(
+        None, "sample_id", vectors=given, probing_type="singlerun", max_iter=10, control=True).collect()}
+    assert control["test", "accuracy"] < 0.85
+
+
+def test_code_length_probe_gives_the_metrics_too(spark, vectors):
+    prepared = probe.prepare(persist_table(vectors.filter("layer = 2"), "v"))
+    got = {(r.stage, r.metric): r.value for r in probe.probe_layers(prepared, "id", "mdl", max_iter=10).collect()}
+    assert got["te", "f1"] > 0.95 and got["tr", "compression"] > 3
+
+
+def test_smoothing_of_a_code_length(spark):
+    """All of it is the uniform code, one bit a label; a little leaves the model's."""
+    rows = [(i, "tr", "ab"[i % 2], 1, [float(i % 2)]) for i in range(64)]
+    rows = spark.createDataFrame(rows, "id int, stage string, label string, layer int, features array<double>")
+    prepared = probe.prepare(persist_table(rows, "v"))
+    sums = [probe.compression(probe.code_length(prepared, "id", max_iter=10, smoothing=s)).first().bits for s in (1e-3, 1.0)]
+    assert sums[1] == pytest.approx(64) and sums[0] < 30
+
+
 def test_encoder_runs_once_per_text_and_uses_the_store(spark):
     rows = spark.createDataFrame([(i, f"text number {i % 7}") for i in range(50)], "id int, text string")
     out = probe.encode_layers(rows, "id", layers=3, width=8)
