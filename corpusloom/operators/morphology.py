@@ -122,6 +122,19 @@ def classify(sentences: DataFrame, keep: tuple[str, ...], sorting: str | None =
     return named.drop("upos", "deprel")
 
 
+def sentence_outcomes(sentences: DataFrame, by: tuple[str, ...] = (), text: str = "text") -> DataFrame:
+    """Sentences by what becomes of them in ``classify``: (by, outcome, n).
+
+    ``ok``, ``no_text`` (labelled, with a NULL text), and those that are left out: ``no_metadata``, or why
+    the sentence is not one rooted tree.
+    """
+    tree = tree_status(F.col("words"))
+    outcome = F.when(tree != "ok", tree).when(F.col(text).isNull(), "no_text").otherwise("ok")
+    if "metadata" in sentences.columns:
+        outcome = F.when(F.coalesce(F.size("metadata") > 0, F.lit(False)), outcome).otherwise("no_metadata")
+    return sentences.groupBy(*by, outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def task_name() -> Column:
     return F.concat_ws("_", "subcategory", "category")
 

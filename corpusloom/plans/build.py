@@ -90,10 +90,11 @@ def build_filter_task(sentences: DataFrame, queries: dict, partition=DEFAULT_PAR
 
 @dataclass
 class MorphologyTasks:
-    """Task rows and what became of each task of the inventory."""
+    """Task rows, what became of each task of the inventory, and of the sentences of each file."""
 
     rows: DataFrame
     status: DataFrame
+    outcomes: DataFrame
 
 
 def file_quotas(counts: DataFrame, corpora: DataFrame, by: tuple[str, ...]) -> DataFrame:
@@ -171,7 +172,8 @@ def build_ud_tasks(sentences: DataFrame, by: tuple[str, ...] = ("lang",), sortin
     quotas = quotas.join(complete, [*by, "subcategory", "category"], "left_semi")
     out = _place(rows, quotas, [*task, "label"], key, seed)
     return MorphologyTasks(
-        out.select(*by, mo.task_name().alias("task"), "stage", "label", key, text), status
+        out.select(*by, mo.task_name().alias("task"), "stage", "label", key, text), status,
+        mo.sentence_outcomes(sentences, (*by, "role"), text),
     )
 
 

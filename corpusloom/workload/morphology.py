@@ -207,6 +207,15 @@ def ud_task_report(spark, sf):
     return build.build_ud_tasks(treebanks(spark, sf)).status.drop("subcategory")
 
 
+@query("corpus_outcomes", f"""
+WITH {d.SQL_TOK}, t AS (SELECT sent_key, min(head) AS low, count(*) FILTER (head = 0) AS roots FROM tok GROUP BY sent_key)
+SELECT lang, {d.SQL_ROLE} AS role, CASE WHEN roots IS NULL THEN 'empty' WHEN low > 0 THEN 'no_root'
+  WHEN roots > 1 THEN 'many_roots' ELSE 'ok' END AS outcome, count(*) AS n
+FROM sent LEFT JOIN t USING (sent_key) GROUP BY ALL""")
+def corpus_outcomes(spark, sf):
+    return mo.sentence_outcomes(treebanks(spark, sf), ("lang", "role"))
+
+
 @query("split_label_check", f"""
 WITH {d.SQL_TOK}, {SQL_FIRST}, {SQL_TASKS}, {SQL_QUOTAS},
 sets AS (SELECT lang, category,

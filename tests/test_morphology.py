@@ -9,7 +9,7 @@ from corpusloom.functions.morph import TOKEN_TYPE
 from corpusloom.operators import morphology as mo
 from corpusloom.sources import taskfile
 
-from .samples import preorder, random_sentence, to_rows
+from .samples import TOY, preorder, random_sentence, to_rows
 
 SCHEMA = f"sent_key string, words array<{TOKEN_TYPE}>"
 
@@ -165,3 +165,11 @@ def test_filter_treebanks(spark, tmp_path):
     assert back.count() == out.count() > 150
     assert {(r.lang, r.task) for r in back.select("lang", "task").distinct().collect()} == {("zz_t", "obj")}
     assert {r.label for r in back.select("label").distinct().collect()} == {"OBJ", "not_OBJ"}
+
+
+def test_sentences_left_out_are_counted(spark, tmp_path):
+    file = tmp_path / "toy-ud.conllu"
+    file.write_text(TOY.rstrip("\n") + "\n\n# sent_id = s4\n# text = round\n1\tround\tround\tADV\t_\t_\t1\troot\t_\t_\n\n")
+    tasks = convert_treebanks(spark, tr_path=str(file))
+    got = {(r.lang, r.role, r.outcome): r.n for r in tasks.outcomes.collect()}
+    assert got == {("toy", "train", "ok"): 2, ("toy", "train", "many_roots"): 1, ("toy", "train", "no_root"): 1}
