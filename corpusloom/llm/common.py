@@ -1,41 +1,70 @@
 """What several of the operators share.
 
 Rows are told apart by ``__row``, the number that ``monotonically_increasing_id`` gives them:
-unique even where ids are null or repeat, and the same whenever the same files are scanned. Its
+unique even where ids are null or repeat. Its
 upper bits are the number of the scan's partition, called the row's *run*. Grouping by
 (run, key) before grouping by key leaves at most one row of a key per partition, so one key with a
 third of all rows costs no more than others, also when its result is joined back.
 
-Inputs should be read from files (or be checkpointed), so that a scan repeated after a lost
-executor numbers its rows as before.
+A second scan may number the same rows otherwise: how files are split hangs on the cores that are
+registered at that moment. So whoever joins on ``__row`` takes the numbers from one written table: either
+all that is needed later goes into it with the number, or the input itself is written by ``stored``.
 """
 
 from __future__ import annotations
 
 from contextlib import contextmanager
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import persist_table
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACES = "[\\x20\\x09-\\x0D]+"
 RUN_BITS = 33
 
 
+class Stored(NamedTuple):
+    """A table written with the numbers of its rows: every read of it has the same ones."""
+
+    rows: DataFrame
+    number: str  # the column of numbers
+    columns: list[str]  # the others
+
+    @property
+    def sparkSession(self) -> SparkSession:
+        return self.rows.sparkSession
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def numbered(df: DataFrame, **columns: Column | str) -> DataFrame:
+def stored(df: DataFrame | Stored, *columns: str) -> Stored:
+    """``df`` (or the named columns of it) numbered and written; what is stored already stays as it is."""
+    if isinstance(df, Stored):
+        return df
+    names, number = list(dict.fromkeys(columns)) or df.columns, "__row"
+    while number in (c.lower() for c in names):
+        number += "_"
+    rows = df.select(F.monotonically_increasing_id().alias(number), *[F.col(f"`{c}`") for c in names])
+    return Stored(persist_table(rows, "rows", compression="zstd"), number, names)
+
+
+def numbered(df: DataFrame | Stored, **columns: Column | str) -> DataFrame:
     """``__row`` and the named columns of ``df``, nothing else: other columns can clash with nothing."""
     picked = [(F.col(f"`{c}`") if isinstance(c, str) else c).alias(name) for name, c in columns.items()]
+    if isinstance(df, Stored):
+        return df.rows.select(F.col(df.number).alias("__row"), *picked)
     return df.select(F.monotonically_increasing_id().alias("__row"), *picked)
 
 
-def whole(df: DataFrame) -> DataFrame:
+def whole(df: Stored) -> DataFrame:
     """``__row`` and all columns of ``df`` in one struct ``__all``."""
     names = [F.col(f"`{c}`") for c in df.columns]
-    return df.select(F.monotonically_increasing_id().alias("__row"), F.struct(*names).alias("__all"))
+    return df.rows.select(F.col(df.number).alias("__row"), F.struct(*names).alias("__all"))
 
 
 def run_of(row: str = "__row") -> Column:

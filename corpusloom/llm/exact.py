@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import persist_table
-from .common import ascii_lower, numbered, run_of, text_of, whole
+from .common import ascii_lower, numbered, run_of, stored, text_of, whole
 
 KEY = ["__digest", "__bytes", "__check"]
 
@@ -73,5 +73,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
+    docs = stored(docs)
     kept = exact_dedup(docs, id_col, text_col, keep).filter("kept").select("__row")
     return whole(docs).join(kept, "__row", "left_semi").select("__all.*")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import persist_table
-from .common import by_group, numbered, run_of, text_of
+from .common import by_group, numbered, run_of, stored, text_of
 
 BLANK = " \t\x0b\x0c\r"
 
@@ -71,6 +71,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null text counts as empty. Null ids come after others, rows that share an id in the order of
     rows. An empty table gives an empty result.
     """
+    docs = stored(docs, id_col, text_col)
     rows = numbered(docs, __id=id_col, __text=text_col).withColumn("__text", text_of("__text"))
     gone = covered(windows(docs, id_col, text_col, size), size)
     rows = rows.join(gone, "__row", "left")

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..operators.dims import SMALL_ROWS
 from ..session import persist_table
-from .common import SPACES, arrow_rows, ascii_lower, by_group, numbered, run_of, split_words, text_of, whole
+from .common import SPACES, arrow_rows, ascii_lower, by_group, numbered, run_of, split_words, stored, text_of, whole
 from .components import components
 
 KEY = ["__k1", "__k2", "__n"]
@@ -276,6 +276,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the first with that id. Null ids are larger than others; repeated rows are in one component. An
     empty table gives an empty result.
     """
+    docs = stored(docs, id_col, text_col)
     rows_ = sketches(docs, id_col, text_col, size, bands, rows, seed)
     filled = rows_.filter("__n > 0")
     who = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__row").alias("row"))
@@ -297,5 +298,6 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row of each component of ``docs``, with all its columns."""
+    docs = stored(docs)
     kept = near_groups(docs, id_col, text_col, **options).filter("kept").select("__row")
     return whole(docs).join(kept, "__row", "left_semi").select("__all.*")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..operators.dims import join_small
 from ..session import persist_table
-from .common import SPACES, numbered, split_words, text_of, whole
+from .common import SPACES, numbered, split_words, stored, text_of, whole
 
 BLOCK_WORDS = 64
 SHARD_ROWS = 20_000
@@ -161,6 +161,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Rows that are taken not at all, and rows without words, are left out. ``length_col``, if there, follows the text.
     """
+    kinds, docs = docs.dtypes, stored(docs)
     taken = mix(docs, id_col, text_col, source_col, **options).filter("taken > 0").select(
         "__row", "size", "whole_times", "part", "first")
     rows = whole(docs).join(taken, "__row")
@@ -170,7 +171,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = rows.withColumn("__texts", F.when(F.col("part") > 0, F.array_append(full, cut)).otherwise(full))
     rows = rows.select("__all", F.explode("__texts").alias("__text"))
     out = []
-    for name, kind in docs.dtypes:
+    for name, kind in kinds:
         column = F.col(f"__all.`{name}`")
         if name == text_col:
             column = F.col("__text")

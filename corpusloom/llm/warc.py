@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import fresh_path, persist_table
-from .common import arrow_rows, by_group, numbered, run_of, text_of
+from .common import arrow_rows, by_group, numbered, run_of, stored, text_of
 
 CRLF = "\r\n"
 END = CRLF + CRLF
@@ -86,6 +86,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", text_co
     A null payload counts as empty, a null url as empty; a null id has no ``X-Page-Id``. Repeated rows are records like
     others. Other columns of ``pages`` are not written. An empty table gives archives without records.
     """
+    pages = stored(pages, id_col, text_col, url_col)
     heads = headers(pages, id_col, text_col, url_col)
     size = heads.agg(F.count(F.lit(1)), F.sum("__bytes")).first()
     per_file = max(1, int(file_bytes * size[0] // max(1, size[1] or 1)))
