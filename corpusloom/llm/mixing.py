@@ -2,13 +2,14 @@
 
 The words of the mix are equal blocks. Sources get blocks by the highest quotients
 target / (2 * blocks + 1), and the blocks of a source go to its shards by the highest quotients of
-the shards' sizes, so every shard works to an integer quota of its own. In a shard the documents of a
+the shards' sizes. Words beyond the limit of a shard go to its source's shards with room, so every shard works to
+a whole quota of its own and no word of a source is lost between them. In a shard the documents of a
 source stand in a seeded order as one ring of words, cut in blocks from a seeded place on; the quota
 is taken from there, round and round if it is larger than the ring. So a document is taken
 whole several times and in part at most once more, and what a task holds is bounded by the shard.
 
 The tables of sources and of (source, shard) are small beside the documents: a row per source, and
-for each source a row per shard. The first is handled in one task, the second in one task per source.
+for each source a row per shard; a source has shards by its own words, one if it is small. The first is handled in one task, the second in one task per source.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from .common import SPACES, numbered, split_words, stored, text_of, whole
 
 BLOCK_WORDS = 64
 SHARD_ROWS = 20_000
+SHARD_BLOCKS = 256  # a source has no more shards than make this many blocks each
 MAX_EPOCHS = 3
 WEIGHTS = (1, 2, 3)
 
@@ -92,15 +94,39 @@ def _sources(weights: tuple[int, ...], max_epochs: int, block: int):
     return run
 
 
-def _shards(table: pd.DataFrame) -> pd.DataFrame:
-    table = table.sort_values("shard").reset_index(drop=True)
-    table["quota"] = apportion([Fraction(int(n)) for n in table["shard_size"]], int(table["blocks"].iloc[0]))
-    return table[["source", "shard", "shard_size", "source_size", "target", "quota"]]
+def shard_words(sizes: list[int], blocks: int, max_epochs: int, block: int) -> list[int]:
+    """Words for each shard of a source: blocks by apportionment, none above ``max_epochs`` times its size.
+
+    What is above goes to other shards by the room they have; only what no shard has room for is left out.
+    """
+    limits = [max_epochs * n for n in sizes]
+    given = [block * q for q in apportion([Fraction(n) for n in sizes], blocks)]
+    out = [min(g, most) for g, most in zip(given, limits)]
+    rooms = [most - w for w, most in zip(out, limits)]
+    excess, room = min(sum(given) - sum(out), sum(rooms)), sum(rooms)
+    for i, r in enumerate(rooms):  # in proportion to the room, in whole words, exact in sum
+        if not excess:
+            break
+        more = -(-excess * r // room)
+        out[i] += more
+        excess -= more
+        room -= r
+    return out
+
+
+def _shards(max_epochs: int, block: int):
+    def run(table: pd.DataFrame) -> pd.DataFrame:
+        table = table.sort_values("shard").reset_index(drop=True)
+        sizes = [int(n) for n in table["shard_size"]]
+        table["quota"] = shard_words(sizes, int(table["blocks"].iloc[0]), max_epochs, block)
+        return table[["source", "shard", "shard_size", "source_size", "target", "quota"]]
+
+    return run
 
 
 def quotas(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS,
            block: int = BLOCK_WORDS) -> DataFrame:
-    """Per (source, shard) of rows (source, shard, size): sizes, target, and ``quota`` in blocks, stored."""
+    """Per (source, shard) of rows (source, shard, size): sizes, target, and ``quota`` in words, stored."""
     shards = persist_table(sized.groupBy("source", "shard").agg(F.sum("size").alias("shard_size")), "shards")
     # one row per source: few enough to be numbered in one task
     order = Window.orderBy(F.col("source").asc_nulls_last())
@@ -111,7 +137,7 @@ def quotas(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int
     given = shards.join(given, shards["source"].eqNullSafe(given["source"])).select(
         shards["source"], "shard", "shard_size", "source_size", "target", "blocks")
     return persist_table(given.groupBy("source").applyInPandas(
-        _shards, "source string, shard int, shard_size long, source_size long, target double, quota long"), "quotas")
+        _shards(max_epochs, block), "source string, shard int, shard_size long, source_size long, target double, quota long"), "quotas")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -130,7 +156,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
                        F.xxhash64(F.lit(seed), "__id", "__text").alias("__hash"))
     rows = persist_table(rows, "sized")
     shards = max(1, -(-rows.count() // shard_rows))
-    rows = rows.withColumn("shard", F.pmod("__hash", F.lit(shards)).cast("int"))
+    named = F.xxhash64(F.col("source").isNull(), "source")
+    own = rows.groupBy(named.alias("__named")).agg(F.sum("size").alias("__words")).select("__named", F.least(
+        F.lit(shards), F.greatest(F.floor(F.col("__words") / (block * SHARD_BLOCKS)), F.lit(1))).cast("int").alias("__shards"))
+    rows = join_small(rows.withColumn("__named", named), own, ["__named"]).drop("__named")
+    # rows without words take no place in a ring, so they are spread over all shards
+    rows = rows.withColumn("shard", F.pmod("__hash", F.when(F.col("size") > 0, F.col("__shards")).otherwise(shards)).cast("int"))
     table = quotas(rows, weights, max_epochs, block)
     ring = Window.partitionBy("source", "shard").orderBy("__hash", "__id", "__row")
     rows = rows.withColumn("__from", F.sum("size").over(ring) - F.col("size"))
@@ -138,7 +169,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     table = table.select(key.alias("__key"), "shard_size", "source_size", "target", "quota")
     rows = join_small(rows.withColumn("__key", key), table, ["__key"])
     z = F.greatest("shard_size", F.lit(1))
-    want = F.least(F.col("quota") * block, F.col("shard_size") * max_epochs)
+    want = F.col("quota")
     start = F.pmod(F.xxhash64(F.lit(seed), "__key"), F.expr(f"greatest(cast(ceil(shard_size / {block}) as bigint), 1L)")) * block
     rows = rows.withColumn("whole_times", F.floor(want / z).cast("long")).withColumn("__rest", F.pmod(want, z))
     # places round the ring, counted from its start
