@@ -3,6 +3,8 @@
 Lines with a word are hashed, three in a row at a time. Windows that occur again anywhere are found in one aggregation over
 hashes; the first occurrence (smallest id, then place) stays, and the lines of all later ones are removed:
 their ranges are merged per document and what lies between them is joined again.
+With ``passage_words`` there are shorter windows too: one or two lines of more words than that, and whole texts of
+fewer than three lines.
 Hashes are 128 bits, and only they, ids and places are shuffled, but for the texts that lose lines.
 """
 
@@ -12,9 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import persist_table
-from .common import by_group, numbered, run_of, stored, text_of
+from .common import by_group, numbered, run_of, split_words, stored, text_of
 
 BLANK = " \t\x0b\x0c\r"
+PASSAGE_WORDS = 50
 
 
 def _filled(lines: Column) -> Column:
@@ -23,23 +26,40 @@ def _filled(lines: Column) -> Column:
     return F.filter(pairs, lambda p: p["line"] != "")
 
 
-def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
-    """``__row``, id, ``nth`` filled line, ``first`` and ``last`` line and the hash (k1, k2) of each window, stored.
+def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3,
+            passage_words: int | None = None) -> DataFrame:
+    """``__row``, id, ``nth`` filled line, ``first`` and ``last`` line, ``n`` lines and the hash (k1, k2) of each window, stored.
 
-    Documents with fewer filled lines than ``size`` have none.
+    Documents with fewer filled lines than ``size`` have none, unless ``passage_words`` is given: then such a text is a
+    window, and so are the fewest lines from a line on that have more words, if they are fewer than ``size``.
     """
     rows = numbered(docs, __id=id_col, __text=text_col)
     rows = rows.select("__row", "__id", _filled(F.split(text_of("__text"), "\n")).alias("__lines"))
     n = F.size("__lines")
-    rows = rows.withColumn("nth", F.explode(F.when(n >= size, F.sequence(F.lit(0), n - size))))
     line = lambda k: F.get("__lines", F.col("nth") + k)
-    parts = [line(k)["line"] for k in range(size)]
-    return persist_table(rows.select(
-        "__row", "__id", "nth", line(0)["at"].alias("first"), line(size - 1)["at"].alias("last"),
-        F.xxhash64(*parts).alias("k1"), F.xxhash64(F.lit(1), *parts).alias("k2")), "windows")
 
-
-def covered(found: DataFrame, size: int = 3) -> DataFrame:
+    def window(k: int) -> Column:
+        parts = [line(i)["line"] for i in range(k)]
+        return F.struct(line(0)["at"].alias("first"), line(k - 1)["at"].alias("last"), F.lit(k).alias("n"),
+                        F.xxhash64(*parts).alias("k1"), F.xxhash64(F.lit(1), *parts).alias("k2"))
+
+    if passage_words is None:
+        rows = rows.withColumn("nth", F.explode(F.when(n >= size, F.sequence(F.lit(0), n - size))))
+        return persist_table(rows.select("__row", "__id", "nth", window(size).alias("__w")).select(
+            "__row", "__id", "nth", "__w.*"), "windows")
+    rows = rows.withColumn("__counts", F.transform("__lines", lambda x: F.size(split_words(x["line"]))))
+    rows = rows.withColumn("nth", F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1))))
+    words = [F.lit(0)]
+    for k in range(size - 1):
+        words.append(words[-1] + F.get("__counts", F.col("nth") + k))  # null beyond the last line
+    wanted = [((words[k] > passage_words) & (words[k - 1] <= passage_words)) | ((n == k) & (F.col("nth") == 0))
+              for k in range(1, size)]
+    wanted.append(F.col("nth") + size <= n)
+    found = F.array_compact(F.array(*[F.when(w, window(k)) for k, w in enumerate(wanted, 1)]))
+    return persist_table(rows.select("__row", "__id", "nth", F.inline(found)), "windows")
+
+
+def covered(found: DataFrame) -> DataFrame:
     """``__row`` and ``__ranges``, the sorted (first, last) lines of its later occurrences.
 
     In one document an occurrence that overlaps the first one is not a later one, so a line repeated
@@ -47,7 +67,7 @@ def covered(found: DataFrame, size: int = 3) -> DataFrame:
     """
     who = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__row").alias("row"), "nth")
     groups = by_group(found, ["k1", "k2"], who).filter("__rows > 1")
-    later = (F.col("__row") != F.col("__best.row")) | (F.col("nth") >= F.col("__best.nth") + size)
+    later = (F.col("__row") != F.col("__best.row")) | (F.col("nth") >= F.col("__best.nth") + F.col("n"))
     return found.withColumn("__run", run_of()).join(groups, ["__run", "k1", "k2"]).filter(later).groupBy("__row").agg(
         F.sort_array(F.collect_set(F.struct("first", "last"))).alias("__ranges"))
 
@@ -64,16 +84,18 @@ def _outside(lines: Column, ranges: Column) -> Column:
         acc["kept"], F.slice(lines, acc["next"] + 1, F.size(lines))))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3,
+               passage_words: int | None = None) -> DataFrame:
     """One row per input row: ``__row``, id, ``text`` without later occurrences, ``n_lines`` before and ``n_removed``.
 
+    ``passage_words`` removes repeats of fewer lines too, if they have more words or are a whole text (see ``windows``).
     Lines end at line feeds; outer blanks do not count, and lines without a word are removed only within a window.
     Null text counts as empty. Null ids come after others, rows that share an id in the order of
     rows. An empty table gives an empty result.
     """
     docs = stored(docs, id_col, text_col)
     rows = numbered(docs, __id=id_col, __text=text_col).withColumn("__text", text_of("__text"))
-    gone = covered(windows(docs, id_col, text_col, size), size)
+    gone = covered(windows(docs, id_col, text_col, size, passage_words))
     rows = rows.join(gone, "__row", "left")
     lines = F.split("__text", "\n")
     kept = F.when(F.col("__ranges").isNull(), lines).otherwise(_outside(lines, F.col("__ranges")))

@@ -12,7 +12,7 @@ from . import packing, warc
 from .common import arrow_rows, read_table
 from .exact import exact_dedup
 from .licenses import scan_licenses
-from .lines import line_dedup
+from .lines import PASSAGE_WORDS, line_dedup
 from .minmax import near_groups
 from .mixing import mix
 from .oracles import ORACLES  # noqa: F401  (taken up by the entry points)
@@ -84,6 +84,13 @@ def op8_line_windows(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 
+@query
+def op8_passages(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    return line_dedup(docs, passage_words=PASSAGE_WORDS).select(
+        "doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
 @query
 def op9_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return find_personal_data(read_table(spark, folder, "documents")).select(
