@@ -6,7 +6,7 @@ does not decide. Gumbel noise of the row is added, and the k largest keys are a
 proportion to the weights.
 
 The raw model is counted over all texts. The good texts may be a sample of the labels, bounded by
-``max_labels``. A model has ``buckets`` numbers, whatever the corpus.
+``max_labels``; the share of rows to keep is that of all labels. A model has ``buckets`` numbers, whatever the corpus.
 """
 
 from __future__ import annotations
@@ -152,15 +152,15 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """One row per input row: id, ``n_grams``, ``log_weight``, ``key`` and ``kept``.
 
     Good texts are those with ``quality_col`` = 1 in ``labels``; labels are used up to ``max_labels``, those with the
-    smallest hashes of their ids. ``share`` of the rows is kept (by default the share of good texts among those
-    labels; without labels all texts with words). Texts without words (null, empty) have null weights and are not kept. Words are between white
+    smallest hashes of their ids. ``share`` of the rows is kept (by default the share of good texts among all
+    labels; without good ones all texts with words). Texts without words (null, empty) have null weights and are not kept. Words are between white
     space, A-Z in lower case. Rows with null or repeated ids are sampled by themselves. An empty table gives an empty result.
     """
     some = labels.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{quality_col}`").alias("__q")).dropna()
+    n_labels, n_good = some.agg(F.count(F.lit(1)), F.count_if(F.col("__q") == 1)).first()
     some = persist_table(some.orderBy(F.xxhash64(F.lit(seed), "__id"), "__id", "__q").limit(max_labels), "labels")
     good = some.filter("__q = 1")
-    n_labels, n_good = some.count(), good.count()
-    ratios = log_ratios(docs, good.select("__id"), id_col, text_col, buckets) if n_good else np.zeros(buckets)
+    ratios = log_ratios(docs, good.select("__id"), id_col, text_col, buckets) if good.count() else np.zeros(buckets)
     rows = scores(docs, ratios, id_col, text_col, span, seed)
     if share is None:
         share = n_good / n_labels if n_good else 1.0
