@@ -35,7 +35,7 @@ PATTERNS: dict[str, str] = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "local": r"(?<![0-9+().\x20-])\x20?\(?[0-9]{3}\)?[\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
-    "secret": r"(?:(?i:password|passwd|secret|token|api_?key)\x20{0,2}[=:]\x20{0,2}\x22?[^\s\x22]{6,200}+|AKIA[0-9A-Z]{16})",
+    "secret": r"(?:(?i:password|passwd|secret|token|api_?key)\x20{0,2}[=:]\x20{0,2}\x22?[^\s\x22]{6,}+|AKIA[0-9A-Z]{16})",
 }
 # Words that the context labeler takes as a yes, or as a no, for a kind.
 YES_WORDS = {
