@@ -1,8 +1,7 @@
 """Quality selection by importance resampling.
 
 Two generative models of hashed n-grams are counted: one of all texts, one of texts labelled as good. A text's
-weight is the mean log ratio of its n-grams under the two, taken for a text of ``span`` n-grams, so that length
-does not decide. Gumbel noise of the row is added, and the k largest keys are a sample without replacement in
+weight is the log ratio of the two for the whole text, the sum over its n-grams. Gumbel noise of the row is added, and the k largest keys are a sample without replacement in
 proportion to the weights.
 
 The raw model is counted over all texts. The good texts may be a sample of the labels, bounded by
@@ -22,7 +21,6 @@ from ..session import persist_table
 from .common import arrow_rows, ascii_lower, numbered, split_words, text_of
 
 BUCKETS = 1 << 14
-SPAN = 100
 MAX_LABELS = 100_000
 BINS = 4096
 RANK_ROWS = 50_000
@@ -96,11 +94,11 @@ def _scorer(ratios: np.ndarray):
     return run
 
 
-def scores(docs: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN,
+def scores(docs: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text_col: str = "text", span: int | None = None,
            seed: int = 5) -> DataFrame:
     """``__row``, id, ``n_grams``, ``log_weight`` and ``key`` (with Gumbel noise of the row) of every row, stored.
 
-    A text without n-grams has null for both.
+    The weight is the sum over the n-grams; with ``span`` it is their mean times ``span``. A text without n-grams has null for both.
     """
     rows = _rows(docs, id_col, text_col, len(ratios))
     kind = rows.schema["__id"].dataType.simpleString()
@@ -108,7 +106,7 @@ def scores(docs: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text_col
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "__id", "__row"), 11).cast("double") + 0.5) / float(1 << 53)
     with arrow_rows(docs.sparkSession, 500):
         scored = rows.mapInArrow(_scorer(ratios), f"__row long, __id {kind}, n_grams long, mean double")
-        return persist_table(scored.withColumn("log_weight", F.round(F.col("mean") * span, 9)).withColumn(
+        return persist_table(scored.withColumn("log_weight", F.round(F.col("mean") * (F.col("n_grams") if span is None else F.lit(span)), 9)).withColumn(
             "key", F.col("log_weight") - F.log(-F.log(u))).drop("mean"), "scores")
 
 
@@ -147,7 +145,7 @@ def top_k(rows: DataFrame, k: int, key: str = "key", bins: int = BINS, rank_rows
 
 
 def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-             quality_col: str = "quality", share: float | None = None, buckets: int = BUCKETS, span: int = SPAN,
+             quality_col: str = "quality", share: float | None = None, buckets: int = BUCKETS, span: int | None = None,
              max_labels: int = MAX_LABELS, seed: int = 5) -> DataFrame:
     """One row per input row: id, ``n_grams``, ``log_weight``, ``key`` and ``kept``.
 
