@@ -13,9 +13,13 @@ all that is needed later goes into it with the number, or the input itself is wr
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from contextlib import contextmanager
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +28,7 @@ from ..session import persist_table
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACES = "[\\x20\\x09-\\x0D]+"
 RUN_BITS = 33
+BLOCK_BYTES = 2_000_000
 
 
 class Stored(NamedTuple):
@@ -107,6 +112,19 @@ def arrow_rows(spark: SparkSession, rows: int):
         spark.conf.set(key, before)
 
 
+def blocks(batch: pa.RecordBatch, text: str, size: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices whose texts have about ``size`` bytes together; a longer text is a slice by itself."""
+    lengths = pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    begin, held = 0, 0
+    for i, n in enumerate(lengths.tolist()):
+        if held and held + n > size:
+            yield batch.slice(begin, i - begin)
+            begin, held = i, 0
+        held += n
+    if begin < batch.num_rows:
+        yield batch.slice(begin)
+
+
 def by_group(rows: DataFrame, keys: list[str], best: Column, *more: Column) -> DataFrame:
     """``rows`` grouped twice: (run, keys) with ``__best``, ``__rows`` of the whole group of equal keys.
 

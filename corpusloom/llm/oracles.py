@@ -111,6 +111,22 @@ m AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM m LEFT JOIN n USING (doc_id)"""
 
+INFILL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units,
+        [CAST('0x' || substr(h, 8 * i + 1, 8) AS BIGINT) FOR i IN range(4)] AS k FROM d),
+c AS (SELECT *, CAST(len(units) AS BIGINT) AS n,
+        CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR k[3] % 100 >= 50 THEN 'plain'
+             WHEN k[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+w AS (SELECT *, least(k[1] % (n + 1), k[2] % (n + 1)) AS a, greatest(k[1] % (n + 1), k[2] % (n + 1)) AS b FROM c),
+p AS (SELECT doc_id, t, n, form, coalesce(array_to_string(list_slice(units, 1, a), ''), '') AS p,
+        coalesce(array_to_string(list_slice(units, a + 1, b), ''), '') AS m,
+        coalesce(array_to_string(list_slice(units, b + 1, n), ''), '') AS s FROM w)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+         ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
 ORACLES: dict[str, str] = {
     "op3_license_scan": _licenses(),
     "op4_warc_revisits": ARCHIVES,
@@ -118,4 +134,5 @@ ORACLES: dict[str, str] = {
     "op6_exact_dedup": EXACT,
     "op8_line_windows": LINES,
     "op10_minmax_near_dedup": NEAR,
+    "op12_wavelet_middle": INFILL,
 }

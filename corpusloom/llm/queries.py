@@ -11,14 +11,17 @@ from ..session import persist_table
 from . import packing, warc
 from .common import arrow_rows, read_table
 from .exact import exact_dedup
+from .infill import fill_in_middle, restored
 from .licenses import scan_licenses
 from .lines import PASSAGE_WORDS, line_dedup
 from .minmax import near_groups
 from .mixing import mix
 from .oracles import ORACLES  # noqa: F401  (taken up by the entry points)
+from .pieces import decode_pieces, encode_pieces
 from .pii import find_personal_data
 from .quality import BASE, ledger, passes
 from .resampling import resample
+from .whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -100,3 +103,27 @@ def op9_personal_data(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_minmax_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_groups(read_table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query
+def op11_cholesky_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whiten(read_table(spark, folder, "embeddings")).select(
+        "row.vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
+@query
+def op12_wavelet_middle(spark: SparkSession, folder: str) -> DataFrame:
+    cut = fill_in_middle(read_table(spark, folder, "documents"))
+    return cut.select(
+        "row.doc_id", "n", "form", F.length("prefix").cast("long").alias("prefix_chars"),
+        F.length("middle").cast("long").alias("middle_chars"), F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+@query
+def op13_backtracked_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    model = tokenizer_path("piece_bpe_32k.model")
+    rows = encode_pieces(read_table(spark, folder, "documents"), model).select(
+        "row.doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), "ids")
+    return decode_pieces(rows, model).select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
