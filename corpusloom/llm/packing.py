@@ -16,12 +16,14 @@ Ids are two bytes each while the work goes on. They are written once, and move o
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from itertools import combinations_with_replacement
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,19 +31,22 @@ from pyspark.sql import functions as F
 from ..operators.dims import join_small
 from ..session import persist_table
 from .common import arrow_rows, numbered, text_of
+from .recent import Recent, ids_of
 
 WINDOW = 4096
 UNIT = 32
 END_ID = 2
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000   # a worker holds twice as many
 BUCKET_ROWS = 100_000   # pieces that one task pours, and twelve times the windows
-STOP = re.compile(r"(?<=[a-z])([.,])(?=[ \n]|$)")
+LETTERS = "a-z\u00df-\u00f6\u00f8-\u00ff"   # small letters that have one form only
+# A mark behind a letter begins a token of its own; as a word of its own it leaves fewer different words.
+STOP, APART = f"([{LETTERS}])([!-&(-/:-@\\[-`{{-~])", r"\1 \2"
 
-_cache: dict[str, bytes] = {}
-_loaded: dict[str, object] = {}
+_loaded: dict[str, tuple[Callable, Recent]] = {}
 
 
-def _tokenizer(path: str):
+def _tokenizer(path: str) -> tuple[Callable[[list[str]], Iterator[bytes]], Recent]:
+    """A function that gives words' ids, and the words it was asked for, per Python worker."""
     if path not in _loaded:
         import os
 
@@ -49,32 +54,49 @@ def _tokenizer(path: str):
         from tokenizers import Tokenizer
 
         _loaded.clear()
-        _cache.clear()
-        _loaded[path] = Tokenizer.from_file(path)
+        _loaded[path] = _worker(Tokenizer.from_file(path)), Recent(CACHE_WORDS)
     return _loaded[path]
 
 
-def encode(texts: list[str], path: str) -> list[bytes]:
-    """Ids of each text, as little-endian 16-bit numbers, without special tokens added.
+def _worker(tokenizer) -> Callable[[list[str]], Iterator[bytes]]:
+    model, first, then = tokenizer.model, tokenizer.normalizer, tokenizer.pre_tokenizer
+    # words of small letters that normalising leaves alone, and that are not cut, go straight to the model, spelt as it spells them
+    spelling = {}
+    for c in filter(re.compile(f"[{LETTERS}]").match, map(chr, range(256))):
+        cut = then.pre_tokenize_str(c * 2) if then else []
+        if len(cut) == 1 and (first is None or first.normalize_str(c * 2) == c * 2):
+            spelling[ord(c)] = cut[0][0][:len(cut[0][0]) // 2]
+    straight = re.compile(f"[{''.join(map(chr, spelling))}]+" if spelling else "(?!)").fullmatch
+
+    def work(words: list[str]) -> Iterator[bytes]:
+        for at in range(0, len(words), 10_000):
+            part = words[at:at + 10_000]
+            out = {w: array("H", [t.id for t in model.tokenize(w.translate(spelling))]).tobytes() for w in part if straight(w)}
+            others = [w for w in part if w not in out]
+            found = tokenizer.encode(others, is_pretokenized=True, add_special_tokens=False)
+            raw = array("H", found.ids).tobytes()
+            stop = (2 * np.cumsum(np.bincount(np.array(found.word_ids, dtype=np.int64), minlength=len(others)))).tolist()
+            out.update((w, raw[a:b]) for w, a, b in zip(others, [0, *stop], stop))
+            yield from map(out.__getitem__, part)
+
+    return work
+
+
+def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts, as 16-bit numbers without special tokens added, and where each text's begin (and the last ends).
 
     For tokenizers that drop white space and never look across it: words between blanks are looked up, and
-    each new word is encoded once. Lower case is taken beforehand, where it is ASCII, and a full stop or a
-    comma behind a letter is a word of its own, which changes no id but leaves fewer different words.
+    each new word is encoded once, many in a call. Lower case is taken beforehand, where it is ASCII; what could be a
+    special token stays as written.
     """
-    tokenizer = _tokenizer(path)
-    lists = []
-    for x in texts:
-        if "<|" not in x:  # what could be a special token stays as written
-            x = STOP.sub(r" \1", x.lower() if x.isascii() else x)
-        lists.append(x.replace("\n", " ").split(" "))
-    if len(_cache) > CACHE_WORDS:
-        _cache.clear()
-    new = list(dict.fromkeys(w for words in lists for w in words if w not in _cache))
-    for at in range(0, len(new), 10_000):
-        part = new[at:at + 10_000]
-        for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-            _cache[w] = np.array(e.ids, dtype="<u2").tobytes()
-    return [b"".join([_cache[w] for w in words]) for words in lists]
+    work, recent = _tokenizer(path)
+    special = pc.match_substring(texts, "<|")
+    plain = pc.replace_substring_regex(pc.ascii_lower(texts), STOP, APART)
+    plain = pc.replace_substring(pc.if_else(special, texts, plain), "\n", " ")
+    lists = pc.split_pattern(plain, " ")
+    begin = np.zeros(len(lists) + 1, dtype=np.int64)
+    np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False), out=begin[1:])
+    return ids_of(lists.flatten(), begin, recent, work, "<u2")
 
 
 def _cutter(path: str, window: int, unit: int, end_id: int):
@@ -86,9 +108,11 @@ def _cutter(path: str, window: int, unit: int, end_id: int):
         seen: dict[int, int] = {}
         for batch in batches:
             rows = []
-            numbers, ids = batch.column("__row").to_pylist(), batch.column("__id").to_pylist()
-            for row, doc, tokens in zip(numbers, ids, encode(batch.column("__text").to_pylist(), path)):
-                tokens += end
+            numbers, docs = batch.column("__row").to_pylist(), batch.column("__id").to_pylist()
+            ids, begin = encode(batch.column("__text"), path)
+            raw, begin = ids.tobytes(), (2 * begin).tolist()
+            for row, doc, a, b in zip(numbers, docs, begin, begin[1:]):
+                tokens = raw[a:b] + end
                 total = len(tokens) // 2
                 for start in range(0, total, window):
                     n = min(window, total - start)

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -220,7 +221,8 @@ class Vocabulary:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, without an end id, and where each text's begin (and the last ends)."""
         lists = [self.chunk.findall(SPACE + x.replace(" ", SPACE)) if x else [] for x in texts]
-        return ids_of(lists, self.recent, self._work, "<i4")
+        begin = np.cumsum([0, *map(len, lists)])
+        return ids_of(pa.array(chain.from_iterable(lists), pa.string()), begin, self.recent, self._work, "<i4")
 
     def decode(self, ids: list[int]) -> str:
         """The text of ``ids``. Bytes that make no UTF-8 become U+FFFD each; an id outside the vocabulary is an error."""

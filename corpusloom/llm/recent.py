@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,22 +39,22 @@ class Recent:
         return young
 
 
-def ids_of(lists: list[list[str]], recent: Recent, work: Callable[[list[str]], Iterable[bytes]],
+def ids_of(words: pa.Array, begin: np.ndarray, recent: Recent, work: Callable[[list[str]], Iterable[bytes]],
            kind: str) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of texts given as lists of words, one after the other, and where each text's begin (and the last ends).
+    """The ids of all ``words``, one after the other, and where those of each text begin (and of the last one end).
 
-    ``work`` gives the ids of words as bytes of numbers of ``kind``. Different words are told apart once per block,
-    and ids are gathered by number, so a word that comes often costs little.
+    ``begin`` has the same of the texts' words. ``work`` gives the ids of words as bytes of numbers of ``kind``.
+    Different words are told apart once per block, and ids are gathered by number, so a word that comes often costs little.
     """
-    coded = pa.array(list(chain.from_iterable(lists)), pa.string()).dictionary_encode()
+    coded = words.dictionary_encode()
     different = coded.dictionary.to_pylist()
-    words = recent.learn(different, work)
-    values = [words[w] for w in different]
+    known = recent.learn(different, work)
+    values = [known[w] for w in different]
     pool = np.frombuffer(b"".join(values), dtype=kind)
     size = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // np.dtype(kind).itemsize
     first = np.cumsum(size) - size
     word = coded.indices.to_numpy(zero_copy_only=False)
     n = size[word]
-    ends = np.concatenate([[0], np.cumsum(n)])
-    texts = np.concatenate([[0], np.cumsum([len(x) for x in lists], dtype=np.int64)])
-    return pool[np.arange(ends[-1]) + np.repeat(first[word] - ends[:-1], n)], ends[texts.astype(np.int64)]
+    ends = np.zeros(len(n) + 1, dtype=np.int64)
+    np.cumsum(n, out=ends[1:])
+    return pool[np.arange(ends[-1]) + np.repeat(first[word] - ends[:-1], n)], ends[begin]

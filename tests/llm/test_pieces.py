@@ -4,6 +4,8 @@ import hashlib
 import os
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from corpusloom.llm import pieces
@@ -98,7 +100,7 @@ def test_cache_keeps_hot_words():
 
     recent = Recent(3)
     for i in range(50):
-        ids, begin = ids_of([["hot", f"n{i}"], [], ["hot"]], recent, work, "u1")
+        ids, begin = ids_of(pa.array(["hot", f"n{i}", "hot"]), np.array([0, 2, 2, 3]), recent, work, "u1")
         assert bytes(ids).decode() == f"hotn{i}hot" and begin.tolist() == [0, 4 + len(str(i)), 4 + len(str(i)), 7 + len(str(i))]
         assert len(recent.words) + len(recent.old) <= 2 * 3 + 4
     assert worked.count("hot") == 1 and len(worked) == 51
