@@ -28,7 +28,7 @@ from ..session import persist_table
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACES = "[\\x20\\x09-\\x0D]+"
 RUN_BITS = 33
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 4_000_000
 
 
 class Stored(NamedTuple):

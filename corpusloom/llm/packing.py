@@ -18,7 +18,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Callable, Iterator
-from itertools import combinations_with_replacement
+from itertools import chain, combinations_with_replacement
 
 import numpy as np
 import pandas as pd
@@ -30,13 +30,14 @@ from pyspark.sql import functions as F
 
 from ..operators.dims import join_small
 from ..session import persist_table
-from .common import arrow_rows, numbered, text_of
+from .common import blocks, numbered, text_of
 from .recent import Recent, ids_of
 
 WINDOW = 4096
 UNIT = 32
 END_ID = 2
 CACHE_WORDS = 300_000   # a worker holds twice as many
+BLOCK_BYTES = 8_000_000  # texts whose words are told apart together
 BUCKET_ROWS = 100_000   # pieces that one task pours, and twelve times the windows
 LETTERS = "a-z\u00df-\u00f6\u00f8-\u00ff"   # small letters that have one form only
 # A mark behind a letter begins a token of its own; as a word of its own it leaves fewer different words.
@@ -106,7 +107,7 @@ def _cutter(path: str, window: int, unit: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         seen: dict[int, int] = {}
-        for batch in batches:
+        for batch in chain.from_iterable(blocks(b, "__text", BLOCK_BYTES) for b in batches):
             rows = []
             numbers, docs = batch.column("__row").to_pylist(), batch.column("__id").to_pylist()
             ids, begin = encode(batch.column("__text"), path)
@@ -136,8 +137,7 @@ def tokenise(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     rows = numbered(docs, __id=id_col, __text=text_of(F.col(f"`{text_col}`")))
     kind = rows.schema["__id"].dataType.simpleString()
     schema = (f"__row long, __id {kind}, total long, start long, n int, size int, part int, nth long, ids binary")
-    with arrow_rows(docs.sparkSession, 200):
-        return persist_table(rows.mapInArrow(_cutter(path, window, unit, end_id), schema), "tokens")
+    return persist_table(rows.mapInArrow(_cutter(path, window, unit, end_id), schema), "tokens")
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 2000) -> np.ndarray:

@@ -29,8 +29,8 @@ from .common import blocks, text_of
 from .recent import Recent, ids_of
 
 SPACE = "▁"       # fixed value: how pieces write a blank
-CACHE_WORDS = 300_000
-CACHE_PAIRS = 400_000
+CACHE_WORDS = 250_000   # a worker holds twice as many
+CACHE_PAIRS = 300_000
 NEVER = float("-inf")
 ROWS = 400
 LETTER = re.compile(r"[^\W\d_]")
