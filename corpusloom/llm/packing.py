@@ -30,14 +30,14 @@ from pyspark.sql import functions as F
 
 from ..operators.dims import join_small
 from ..session import persist_table
-from .common import blocks, numbered, text_of
+from .common import arrow_rows, blocks, numbered, text_of
 from .recent import Recent, ids_of
 
 WINDOW = 4096
 UNIT = 32
 END_ID = 2
-CACHE_WORDS = 300_000   # a worker holds twice as many
-BLOCK_BYTES = 8_000_000  # texts whose words are told apart together
+CACHE_WORDS = 250_000   # a worker holds twice as many
+BATCH_ROWS, BLOCK_BYTES = 2000, 6_000_000   # texts whose words are told apart together
 BUCKET_ROWS = 100_000   # pieces that one task pours, and twelve times the windows
 LETTERS = "a-z\u00df-\u00f6\u00f8-\u00ff"   # small letters that have one form only
 # A mark behind a letter begins a token of its own; as a word of its own it leaves fewer different words.
@@ -137,7 +137,8 @@ def tokenise(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     rows = numbered(docs, __id=id_col, __text=text_of(F.col(f"`{text_col}`")))
     kind = rows.schema["__id"].dataType.simpleString()
     schema = (f"__row long, __id {kind}, total long, start long, n int, size int, part int, nth long, ids binary")
-    return persist_table(rows.mapInArrow(_cutter(path, window, unit, end_id), schema), "tokens")
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        return persist_table(rows.mapInArrow(_cutter(path, window, unit, end_id), schema), "tokens")
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 2000) -> np.ndarray:
