@@ -17,7 +17,6 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from typing import NamedTuple
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -112,11 +111,13 @@ def arrow_rows(spark: SparkSession, rows: int):
         spark.conf.set(key, before)
 
 
-def blocks(batch: pa.RecordBatch, text: str, size: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """``batch`` in slices whose texts have about ``size`` bytes together; a longer text is a slice by itself."""
-    lengths = pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+def blocks(batch: pa.RecordBatch, column: str, size: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices whose texts have about ``size`` bytes together, or whose lists as many entries; what is longer
+    is a slice by itself."""
+    values = batch.column(column)
+    length = pc.list_value_length if pa.types.is_list(values.type) else pc.binary_length
     begin, held = 0, 0
-    for i, n in enumerate(lengths.tolist()):
+    for i, n in enumerate(length(values).fill_null(0).to_pylist()):
         if held and held + n > size:
             yield batch.slice(begin, i - begin)
             begin, held = i, 0

@@ -22,6 +22,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,9 +31,10 @@ from .recent import Recent, ids_of
 
 SPACE = "▁"       # fixed value: how pieces write a blank
 CACHE_WORDS = 250_000   # a worker holds twice as many
-CACHE_PAIRS = 300_000
+TABLE = 1 << 19          # remembered pairs
+TOGETHER = 20_000        # words searched together, of up to LONG characters, until FEW are left
+LONG, FEW = 60, 8
 NEVER = float("-inf")
-ROWS = 400
 LETTER = re.compile(r"[^\W\d_]")
 
 _loaded: dict[str, Vocabulary] = {}
@@ -71,6 +73,12 @@ class Vocabulary:
                 self.surface.append(model.trainer_spec.unk_surface.encode() if p.type == kinds.UNKNOWN else b"")
         self.silent = {i for i, p in enumerate(model.pieces) if p.type == kinds.CONTROL}
         self.spaced = {i for p, i in self.number.items() if p.startswith(SPACE)}
+        size = np.array([len(x) for x in self.surface])
+        self.bytes_pool, self.bytes_size, self.bytes_first = np.frombuffer(b"".join(self.surface), dtype=np.uint8), size, np.cumsum(size) - size
+        self.begins_blank = np.zeros(len(size), dtype=bool)
+        self.begins_blank[list(self.spaced)] = True
+        self.hard = np.zeros(len(size), dtype=bool)   # bytes that are no character by themselves, and silent pieces
+        self.hard[[i for i, b in self.raw.items() if b >= 0x80] + list(self.silent)] = True
         self.neighbours = {p[i:i + 2] for p in self.score for i in range(len(p) - 1)}
         # pieces that merging itself reaches, with the two parts merged last; and single characters, which it starts from
         self.halves: dict[str, tuple[str, str]] = {}
@@ -83,19 +91,30 @@ class Vocabulary:
             if any(len(h) > 1 and self.score[h] < self.score[p] for h in halves):
                 raise ValueError(f"the piece {p!r} has a better score than one of its parts")
         reached = {c for p in self.score for c in p} | set(self.halves)
-        self.right_edge = {p: self._edge(p, 1) for p in reached}
-        self.left_edge = {p: self._edge(p, 0) for p in reached}
+        self.edges: tuple[dict, dict] = ({}, {})
         self.letters = {p for p in reached if len(p) == 1}
         self.border = next(c for c in map(chr, range(0x110000)) if c not in self.letters)
         self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in reached), None) for p in reached}
+        # the same by number, for many words at once
+        self.pieces = sorted(reached)
+        at = {p: k for k, p in enumerate(self.pieces)}
+        self.length = np.array([len(p) for p in self.pieces])
+        self.less = np.array([at.get(self.shorter[p], -1) for p in self.pieces])
+        self.single = np.full(0x110000, -1, dtype=np.int32)
+        for c in self.letters:
+            self.single[ord(c)] = at[c]
         self.automaton = ahocorasick.Automaton()
         for p in self.halves:
-            self.automaton.add_word(p, (p, len(p) - 1))
+            self.automaton.add_word(p, (len(p) - 1) << 32 | at[p])
         self.automaton.make_automaton()
-        self.ids = {p: np.array(self._of(p), dtype="<i4").tobytes() for p in reached}
+        self.checked = np.full(TABLE, -1, dtype=np.int64)   # pairs of pieces, each at a place of its own
+        self.fit = np.zeros(TABLE, dtype=bool)
+        own = [self._of(p) for p in self.pieces]
+        self.ids = {p: np.array(x, dtype="<i4").tobytes() for p, x in zip(self.pieces, own)}
+        self.id_pool, self.id_size = np.array(list(chain.from_iterable(own)), dtype="<i4"), np.array([len(x) for x in own])
+        self.id_first = np.cumsum(self.id_size) - self.id_size
         self.unknown = re.compile(f"([^{re.escape(''.join(sorted(self.letters)))}])")
         self.chunk = self._chunks()
-        self.pairs: dict[tuple[str, str], bool] = {}
         self.recent = Recent(CACHE_WORDS)
 
     def _chunks(self) -> re.Pattern:
@@ -110,9 +129,9 @@ class Vocabulary:
         marks = "".join(c for c in ".,;:!?#$%&*|<>\"" if not any(x[1] == c and LETTER.match(x[0]) for x in self.neighbours))
         gap = f"[{alone}]+" if alone else "(?!)"
         mark = f"[{re.escape(marks)}]" if marks else "(?!)"
-        other = f"[^{SPACE}{alone}{re.escape(marks)}]"
+        other = f"[^ {alone}{re.escape(marks)}]"
         body = f"{other}*(?:(?<!{LETTER.pattern}){mark}{other}*)*"
-        return re.compile(f"{SPACE}+{body}|{other}{body}|{mark}{body}|{gap}")
+        return re.compile(f" +{body}|{other}{body}|{mark}{body}|{gap}")
 
     def _of(self, piece: str) -> list[int]:
         at = self.number.get(piece)
@@ -135,12 +154,15 @@ class Vocabulary:
 
     def _edge(self, piece: str, side: int) -> list[tuple[str, float]]:
         """The symbols at one end of ``piece`` while it is merged, each with the score of the merge that takes it up."""
-        out = [(piece, NEVER)]
-        while len(piece) > 1:
-            taken = self.score[piece]
-            piece = self.halves[piece][side]
-            out.append((piece, taken))
-        return out[::-1]
+        known = self.edges[side].get(piece)
+        if known is None:
+            known, part = [(piece, NEVER)], piece
+            while len(part) > 1:
+                taken, part = self.score[part], self.halves[part][side]
+                known.append((part, taken))
+            known.reverse()
+            self.edges[side][piece] = known
+        return known
 
     def fits(self, left: str, right: str) -> bool:
         """Whether ``right`` may follow ``left``: merged anew side by side, nothing is merged across their border.
@@ -148,15 +170,8 @@ class Vocabulary:
         Merges come by falling score, so both ends grow in a known order, and what stands at the border may be
         merged only if it is a piece that comes before the next merge on either side (of equal ones the leftmost).
         """
-        known = self.pairs.get((left, right))
-        if known is None:
-            if len(self.pairs) > CACHE_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[left, right] = self._border(self.right_edge[left], self.left_edge[right])
-        return known
-
-    def _border(self, ends: list[tuple[str, float]], starts: list[tuple[str, float]]) -> bool:
         score, i, j = self.score, 0, 0
+        ends, starts = self._edge(left, 1), self._edge(right, 0)
         while True:
             (a, next_a), (b, next_b) = ends[i], starts[j]
             across = score.get(a + b, NEVER)
@@ -169,23 +184,39 @@ class Vocabulary:
             else:
                 j += 1
 
-    def longest(self, text: str) -> list[str]:
-        """The longest piece that begins at each place."""
-        out = list(text)
-        for last, (piece, back) in self.automaton.iter(text):
-            out[last - back] = piece  # of two that begin at a place the longer one ends later
+    def _fit_together(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``fits`` of many pairs, by number. Pairs are remembered in a table of fixed size; a new one takes its place."""
+        key = left * len(self.pieces) + right
+        place = (key * 0x9E3779B1 >> 16) % TABLE
+        out = self.fit[place]
+        new = np.flatnonzero(self.checked[place] != key)
+        if len(new):
+            keys, back = np.unique(key[new], return_inverse=True)
+            n, names = len(self.pieces), self.pieces
+            found = np.array([self.fits(names[k // n], names[k % n]) for k in keys.tolist()])
+            out[new] = found[back]
+            self.checked[place[new]] = key[new]
+            self.fit[place[new]] = out[new]
         return out
 
-    def backtrack(self, longest: list[str], start: int, stop: int) -> list[str]:
-        """The pieces of the text between two places of ``longest``; all its characters are letters of pieces."""
-        shorter, known, fits = self.shorter, self.pairs, self.fits
-        failed = None  # a bit for each place, made when the first one fails
+    def _matches(self, text: str, out: np.ndarray) -> None:
+        """Put the number of the longest piece that begins at a place of ``text`` there, where it has several characters."""
+        found = np.fromiter(chain.from_iterable(self.automaton.iter(text)), dtype=np.int64).reshape(-1, 2)
+        # of two that begin at a place the longer one ends later, and the later value stays
+        out[found[:, 0] - (found[:, 1] >> 32)] = found[:, 1] & 0xFFFFFFFF
+
+    def backtrack(self, text: str) -> list[str]:
+        """The pieces of ``text``, whose characters all are letters of pieces."""
+        numbers = self.single[np.frombuffer(text.encode("utf-32-le"), dtype="<u4")]
+        self._matches(text, numbers)
+        longest = [self.pieces[k] for k in numbers.tolist()]
+        shorter, stop = self.shorter, len(text)
+        failed = bytearray(stop // 8 + 1)
         found: list[str] = []
-        at, piece, before = start, longest[start], None
+        at, piece, before = 0, longest[0], None
         while True:
             to = at + len(piece)
-            if (failed is None or not failed[to - start >> 3] >> (to - start & 7) & 1) and (
-                    before is None or (fit := known.get((before, piece))) or fit is None and fits(before, piece)):
+            if not failed[to >> 3] >> (to & 7) & 1 and (before is None or self.fits(before, piece)):
                 found.append(piece)
                 if to == stop:
                     return found
@@ -193,34 +224,90 @@ class Vocabulary:
                 continue
             piece = shorter[piece]
             while piece is None:  # nothing may begin here: shorten what stands before
-                i = at - start
-                failed = failed or bytearray((stop - start) // 8 + 1)
-                failed[i >> 3] |= 1 << (i & 7)
+                failed[at >> 3] |= 1 << (at & 7)
                 last = found.pop()
                 before = found[-1] if found else None
                 at -= len(last)
                 piece = shorter[last]
 
-    def _work(self, chunks: list[str]) -> Iterator[bytes]:
-        """Ids of chunks. They are searched as one text, with line ends between that no piece reaches across."""
-        ids, bytes_of, unknown, empty = self.ids, self.byte, self.unknown, self.border
-        for at in range(0, len(chunks), 10_000):
-            block = [c if unknown.search(c) is None else [x for x in unknown.split(c) if x] for c in chunks[at:at + 10_000]]
-            places = self.longest(empty.join([c if isinstance(c, str) else empty.join(c) for c in block]))
-            start = 0
-            for c in block:
-                out = []
-                for part in (c,) if isinstance(c, str) else c:
-                    if part[0] not in self.letters:  # a character by itself
-                        out.append(np.array([bytes_of[b] for b in part.encode()], dtype="<i4").tobytes())
-                    else:
-                        out += [ids[p] for p in self.backtrack(places, start, start + len(part))]
-                    start += len(part) + 1
-                yield b"".join(out)
+    def _backtrack_together(self, longest: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``backtrack`` of many words at once, all a step at a time: the pieces' numbers, each word's from its start on
+        (-1 elsewhere), and the words that were not done when only few were left.
+
+        ``longest`` belongs to a text that has the words at ``start``, each with a place behind it that is in no word.
+        """
+        length, less, stop = self.length, self.less, start + size
+        found = np.full(len(longest) + 1, -1)
+        failed = np.zeros(len(longest) // 8 + 1, dtype=np.uint8)
+        at, piece = start.copy(), longest[start].astype(np.int64)
+        top = start.copy()  # where the next piece is put
+        live = np.arange(len(start))
+        while len(live) > FEW:
+            p, to, above = piece[live], at[live] + length[piece[live]], top[live]
+            before = np.where(above > start[live], found[above - 1], -1)
+            free = (failed[to >> 3] >> (to & 7)) & 1 == 0
+            ask = np.flatnonzero(free & (before >= 0))
+            free[ask] = self._fit_together(before[ask], p[ask])
+            done = live[free]
+            found[above[free]] = p[free]
+            top[done] += 1
+            at[done] = to[free]
+            done = done[at[done] < stop[done]]
+            piece[done] = longest[at[done]]
+            tried = live[~free]
+            piece[tried] = less[p[~free]]
+            stuck = tried[piece[tried] < 0]
+            while len(stuck):  # nothing may begin here: shorten what stands before
+                np.bitwise_or.at(failed, at[stuck] >> 3, (1 << (at[stuck] & 7)).astype(np.uint8))
+                top[stuck] -= 1
+                last = found[top[stuck]]
+                found[top[stuck]] = -1
+                at[stuck] -= length[last]
+                piece[stuck] = less[last]
+                stuck = stuck[piece[stuck] < 0]
+            live = np.concatenate([done, tried])
+        for w in live.tolist():
+            found[start[w]:stop[w]] = -1
+        return found, live
+
+    def _search(self, word: str) -> bytes:
+        """Ids of one word, which may be long or have unknown characters."""
+        out = []
+        for part in filter(None, self.unknown.split(word)):
+            if part[0] in self.letters:
+                out += [self.ids[p] for p in self.backtrack(part)]
+            else:  # a character by itself
+                out.append(np.array([self.byte[b] for b in part.encode()], dtype="<i4").tobytes())
+        return b"".join(out)
+
+    def _work(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of words, many searched together."""
+        for at in range(0, len(words), TOGETHER):
+            block = words[at:at + TOGETHER]
+            text = (self.border.join(block) + self.border).replace(" ", SPACE)
+            longest = self.single[np.frombuffer(text.encode("utf-32-le"), dtype="<u4")]
+            unknown = np.concatenate([[0], np.cumsum(longest < 0)])
+            self._matches(text, longest)
+            size = np.fromiter(map(len, block), dtype=np.int64, count=len(block))
+            start = np.cumsum(size + 1) - size - 1
+            alike = np.flatnonzero((size <= LONG) & (unknown[start + size] == unknown[start]))
+            found, left = self._backtrack_together(longest, start[alike], size[alike])
+            known = found >= 0
+            numbers = found[known]
+            n = self.id_size[numbers]
+            ends = np.concatenate([[0], np.cumsum(n)])
+            ids = self.id_pool[np.arange(ends[-1]) + np.repeat(self.id_first[numbers] - ends[:-1], n)].tobytes()
+            before = np.concatenate([[0], np.cumsum(known)])   # pieces before each place
+            a, b = 4 * ends[before[start]], 4 * ends[before[start + size]]
+            alone = np.ones(len(block), dtype=bool)
+            alone[alike] = False
+            alone[alike[left]] = True
+            for word, i, j, own in zip(block, a.tolist(), b.tolist(), alone.tolist()):
+                yield self._search(word.replace(" ", SPACE)) if own else ids[i:j]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, without an end id, and where each text's begin (and the last ends)."""
-        lists = [self.chunk.findall(SPACE + x.replace(" ", SPACE)) if x else [] for x in texts]
+        lists = [self.chunk.findall(" " + x.replace(SPACE, " ")) if x else [] for x in texts]
         begin = np.cumsum([0, *map(len, lists)])
         return ids_of(pa.array(chain.from_iterable(lists), pa.string()), begin, self.recent, self._work, "<i4")
 
@@ -242,6 +329,31 @@ class Vocabulary:
                 pass
         return self._mended(ids)[blank:]
 
+    def decode_lists(self, lists: pa.ListArray) -> pa.Array:
+        """``decode`` of many lists; a null one, or one with a null, gives null."""
+        if lists.null_count or lists.flatten().null_count:
+            return pa.array([None if x is None or None in x else self.decode(x) for x in lists.to_pylist()], pa.string())
+        ids = lists.flatten().to_numpy().astype(np.int64)
+        if len(ids) and not 0 <= ids.min() <= ids.max() < len(self.surface):
+            raise ValueError("an id lies outside the vocabulary")
+        begin = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)])
+        head, tail = begin[:-1][begin[1:] > begin[:-1]], begin[1:][begin[1:] > begin[:-1]] - 1
+        hard = self.hard[ids]
+        hard[tail[self.bytes_size[ids[tail]] == 0]] = False  # an end id parts nothing
+        hard = np.concatenate([[0], np.cumsum(hard)])
+        one_by_one = hard[begin[1:]] > hard[begin[:-1]]
+        size, first = self.bytes_size[ids], self.bytes_first[ids]
+        blank = head[self.begins_blank[ids[head]]]
+        size[blank] -= 1
+        first[blank] += 1
+        ends = np.concatenate([[0], np.cumsum(size)])
+        raw = self.bytes_pool[np.arange(ends[-1]) + np.repeat(first - ends[:-1], size)]
+        out = pa.StringArray.from_buffers(len(lists), pa.py_buffer(ends[begin].astype(np.int32)), pa.py_buffer(raw))
+        if one_by_one.any():
+            rows = lists.filter(pa.array(one_by_one)).to_pylist()
+            out = pc.replace_with_mask(out, pa.array(one_by_one), pa.array(map(self.decode, rows), pa.string()))
+        return out
+
     def _mended(self, ids: list[int]) -> str:
         out, run = [], bytearray()
 
@@ -278,15 +390,15 @@ def vocabulary(path: str) -> Vocabulary:
     return _loaded[path]
 
 
-def _mapped(rows: DataFrame, column: str, kind: str, out: str, work: Callable, parts: Callable) -> DataFrame:
-    """``rows`` with the Arrow column ``column`` replaced by ``out`` of type ``kind``, worked on in ``parts`` of a batch."""
+def _mapped(rows: DataFrame, column: str, kind: str, out: str, work: Callable) -> DataFrame:
+    """``rows`` with the Arrow column ``column`` replaced by ``out`` of type ``kind``, worked on in blocks."""
     kept = [f for f in rows.schema.fields if f.name != column]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{out}` {kind}"])
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in parts(batch):
+            for part in blocks(batch, column):
                 columns = [part.column(n) for n in names]
                 yield pa.RecordBatch.from_arrays([*columns, work(part.column(column))], [*names, out])
 
@@ -313,15 +425,10 @@ def encode_pieces(docs: DataFrame, path: str, text: str | Column = "text", keep:
             begin = begin + np.arange(len(begin))
         return pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(ids, pa.int32()))
 
-    return _mapped(rows, "text", "array<int>", "ids", work, lambda batch: blocks(batch, "text"))
+    return _mapped(rows, "text", "array<int>", "ids", work)
 
 
 def decode_pieces(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """``rows`` with the array ``ids`` replaced by ``text``. Null ids, or a null among them, give a null text."""
 
-    def work(lists: pa.Array) -> pa.Array:
-        model = vocabulary(path)
-        return pa.array([None if x is None or None in x else model.decode(x) for x in lists.to_pylist()], pa.string())
-
-    return _mapped(rows, ids, "string", "text", work,
-                   lambda batch: (batch.slice(at, ROWS) for at in range(0, batch.num_rows, ROWS)))
+    return _mapped(rows, ids, "string", "text", lambda lists: vocabulary(path).decode_lists(lists))

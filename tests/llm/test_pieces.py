@@ -38,7 +38,7 @@ HARD = ["", " ", "  ", "\n", " \n ", "a" * 5000, "ab" * 3000, " " * 3000, "日
 
 
 def test_hard_texts(model, tool):
-    for text in HARD:
+    for text in HARD:  # one by one, and so without the search of many words at once
         assert encoded(model, text) == tool.encode(text), repr(text[:40])
         assert model.decode(tool.encode(text)) == tool.decode(tool.encode(text))
 
@@ -46,15 +46,31 @@ def test_hard_texts(model, tool):
 def test_random_texts(model, tool):
     draw, known = random.Random(7), sorted(model.score)
     alphabets = ["ab ", "aeinrst ", " \n\t▁", "abcdefghijklmnopqrstuvwxyzABC .,;0123456789\n ", "日本語мир éüß́​İ 𝔘\x00<s>0xA²"]
-    for i in range(20_000):
+    texts = []
+    for i in range(30_000):
         kind = i % 7
         if kind < 5:
-            text = "".join(draw.choices(alphabets[kind], k=draw.randint(0, 40)))
+            texts.append("".join(draw.choices(alphabets[kind], k=draw.randint(0, 40))))
         else:
-            text = (" " * (draw.randint(0, 20) * (kind - 5))).join(draw.choices(known, k=draw.randint(1, 5)))
+            texts.append((" " * (draw.randint(0, 20) * (kind - 5))).join(draw.choices(known, k=draw.randint(1, 5))))
+    for at in range(0, len(texts), 3000):
+        part = texts[at:at + 3000]
+        ids, begin = model.encode(part)
+        for text, a, b in zip(part, begin, begin[1:]):
+            assert ids[a:b].tolist() == tool.encode(text), repr(text)
+    for text in texts[:1000]:
         assert encoded(model, text) == tool.encode(text), repr(text)
 
 
+def test_pairs_leave_the_table(tool, monkeypatch):
+    monkeypatch.setattr(pieces, "TABLE", 64)
+    monkeypatch.setattr(pieces, "TOGETHER", 50)
+    small, draw = pieces.Vocabulary(PATH), random.Random(11)
+    texts = [" ".join("".join(draw.choices("abcdefghinorstu", k=12)) for _ in range(9)) for _ in range(100)]
+    ids, begin = small.encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(begin, begin[1:])] == tool.encode(texts)
+
+
 def test_neighbours_by_merging_whole(model):
     draw, known = random.Random(8), sorted(model.shorter)
     halves = sorted(model.halves.values())
@@ -72,10 +88,10 @@ def test_backtracking_happens(model, tool):
     stepped = 0
     for _ in range(3000):
         word = "".join(draw.choices(known, k=3))
-        at, greedy, longest = 0, [], model.longest(pieces.SPACE + word)
-        while at < len(longest):
-            greedy.append(longest[at])
-            at += len(greedy[-1])
+        rest, greedy = pieces.SPACE + word, []
+        while rest:
+            greedy.append(next(rest[:k] for k in range(len(rest), 0, -1) if rest[:k] in model.shorter))
+            rest = rest[len(greedy[-1]):]
         ids = tool.encode(word)
         stepped += [model.number[p] for p in greedy] != ids
         assert encoded(model, word) == ids
@@ -83,12 +99,22 @@ def test_backtracking_happens(model, tool):
 
 
 def test_random_ids(model, tool):
-    draw = random.Random(10)
-    for i in range(5000):
-        ids = draw.choices(range(32_000) if i % 2 else [*range(300), 29871], k=draw.randint(0, 8))
-        assert model.decode(ids) == tool.decode(ids), ids
-    with pytest.raises(ValueError):
-        model.decode([5, 32_000])
+    draw, lists = random.Random(10), []
+    for i in range(8000):
+        k = draw.randint(0, 8)
+        if i % 4 < 2:
+            lists.append(draw.choices(range(32_000) if i % 2 else [*range(300), 29871], k=k))
+        else:
+            lists.append(tool.encode("".join(draw.choices("ab é日\n\x00▁", k=k))) + [2] * (i % 4 - 2))
+    together = [x for at in range(0, 8000, 100) for x in
+                model.decode_lists(pa.array(lists[at:at + 100], pa.list_(pa.int32())).slice(3)).to_pylist()]
+    assert together == [tool.decode(x) for i, x in enumerate(lists) if i % 100 >= 3]
+    assert [model.decode(x) for x in lists] == [tool.decode(x) for x in lists]
+    for wrong in ([5, 32_000], [-1]):
+        with pytest.raises(ValueError):
+            model.decode(wrong)
+        with pytest.raises(ValueError):
+            model.decode_lists(pa.array([wrong], pa.list_(pa.int32())))
 
 
 def test_cache_keeps_hot_words():
