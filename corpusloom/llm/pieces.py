@@ -30,21 +30,21 @@ from .common import blocks, text_of
 from .recent import Recent, ids_of
 
 SPACE = "▁"       # fixed value: how pieces write a blank
-CACHE_WORDS = 250_000   # a worker holds twice as many
+CACHE_WORDS = 200_000   # a worker holds twice as many
+BLOCK = 2_000_000        # bytes or ids worked on together
 TABLE = 1 << 19          # remembered pairs
 TOGETHER = 20_000        # words searched together, of up to LONG characters, until FEW are left
 LONG, FEW = 60, 8
 NEVER = float("-inf")
 LETTER = re.compile(r"[^\W\d_]")
 
-_loaded: dict[str, Vocabulary] = {}
+_loaded: dict[tuple[type, str], Surfaces] = {}
 
 
-class Vocabulary:
-    """A model file's pieces and all that is derived from them."""
+class Surfaces:
+    """A model file's pieces, and the texts of ids."""
 
     def __init__(self, path: str):
-        import ahocorasick
         from sentencepiece import sentencepiece_model_pb2 as form
 
         model = form.ModelProto()
@@ -79,6 +79,85 @@ class Vocabulary:
         self.begins_blank[list(self.spaced)] = True
         self.hard = np.zeros(len(size), dtype=bool)   # bytes that are no character by themselves, and silent pieces
         self.hard[[i for i, b in self.raw.items() if b >= 0x80] + list(self.silent)] = True
+
+    def decode(self, ids: list[int]) -> str:
+        """The text of ``ids``. Bytes that make no UTF-8 become U+FFFD each; an id outside the vocabulary is an error."""
+        if not ids:
+            return ""
+        if not 0 <= min(ids) <= max(ids) < len(self.surface):
+            raise ValueError("an id lies outside the vocabulary")
+        surface, silent = self.surface, self.silent
+        # the blank put in front of the text belongs to the first piece that is not silent
+        first = next((i for i in ids if i not in silent), None)
+        blank = int(first in self.spaced)
+        raw = b"".join([surface[i] for i in ids])[blank:]
+        if not any(i in ids[:-1] for i in silent):  # a silent piece parts the bytes before it from those behind
+            try:
+                return raw.decode()
+            except UnicodeDecodeError:
+                pass
+        return self._mended(ids)[blank:]
+
+    def decode_lists(self, lists: pa.ListArray) -> pa.Array:
+        """``decode`` of many lists; a null one, or one with a null, gives null."""
+        if lists.null_count or lists.flatten().null_count:
+            return pa.array([None if x is None or None in x else self.decode(x) for x in lists.to_pylist()], pa.string())
+        ids = lists.flatten().to_numpy().astype(np.int64)
+        if len(ids) and not 0 <= ids.min() <= ids.max() < len(self.surface):
+            raise ValueError("an id lies outside the vocabulary")
+        begin = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)])
+        head, tail = begin[:-1][begin[1:] > begin[:-1]], begin[1:][begin[1:] > begin[:-1]] - 1
+        hard = self.hard[ids]
+        hard[tail[self.bytes_size[ids[tail]] == 0]] = False  # an end id parts nothing
+        hard = np.concatenate([[0], np.cumsum(hard)])
+        one_by_one = hard[begin[1:]] > hard[begin[:-1]]
+        size, first = self.bytes_size[ids], self.bytes_first[ids]
+        blank = head[self.begins_blank[ids[head]]]
+        size[blank] -= 1
+        first[blank] += 1
+        ends = np.concatenate([[0], np.cumsum(size)])
+        raw = self.bytes_pool[np.arange(ends[-1]) + np.repeat(first - ends[:-1], size)]
+        out = pa.StringArray.from_buffers(len(lists), pa.py_buffer(ends[begin].astype(np.int32)), pa.py_buffer(raw))
+        if one_by_one.any():
+            rows = lists.filter(pa.array(one_by_one)).to_pylist()
+            out = pc.replace_with_mask(out, pa.array(one_by_one), pa.array(map(self.decode, rows), pa.string()))
+        return out
+
+    def _mended(self, ids: list[int]) -> str:
+        out, run = [], bytearray()
+
+        def flush() -> None:
+            at = 0
+            while at < len(run):
+                for size in (1, 2, 3, 4):
+                    try:
+                        out.append(bytes(run[at:at + size]).decode())
+                        at += size
+                        break
+                    except UnicodeDecodeError:
+                        continue
+                else:
+                    out.append("�")
+                    at += 1
+            run.clear()
+
+        for i in ids:
+            if i in self.raw:
+                run.append(self.raw[i])
+            else:
+                flush()
+                out.append(self.surface[i].decode())
+        flush()
+        return "".join(out)
+
+
+class Vocabulary(Surfaces):
+    """What encoding needs besides, derived from the pieces."""
+
+    def __init__(self, path: str):
+        import ahocorasick
+
+        super().__init__(path)
         self.neighbours = {p[i:i + 2] for p in self.score for i in range(len(p) - 1)}
         # pieces that merging itself reaches, with the two parts merged last; and single characters, which it starts from
         self.halves: dict[str, tuple[str, str]] = {}
@@ -311,83 +390,13 @@ class Vocabulary:
         begin = np.cumsum([0, *map(len, lists)])
         return ids_of(pa.array(chain.from_iterable(lists), pa.string()), begin, self.recent, self._work, "<i4")
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of ``ids``. Bytes that make no UTF-8 become U+FFFD each; an id outside the vocabulary is an error."""
-        if not ids:
-            return ""
-        if not 0 <= min(ids) <= max(ids) < len(self.surface):
-            raise ValueError("an id lies outside the vocabulary")
-        surface, silent = self.surface, self.silent
-        # the blank put in front of the text belongs to the first piece that is not silent
-        first = next((i for i in ids if i not in silent), None)
-        blank = int(first in self.spaced)
-        raw = b"".join([surface[i] for i in ids])[blank:]
-        if not any(i in ids[:-1] for i in silent):  # a silent piece parts the bytes before it from those behind
-            try:
-                return raw.decode()
-            except UnicodeDecodeError:
-                pass
-        return self._mended(ids)[blank:]
-
-    def decode_lists(self, lists: pa.ListArray) -> pa.Array:
-        """``decode`` of many lists; a null one, or one with a null, gives null."""
-        if lists.null_count or lists.flatten().null_count:
-            return pa.array([None if x is None or None in x else self.decode(x) for x in lists.to_pylist()], pa.string())
-        ids = lists.flatten().to_numpy().astype(np.int64)
-        if len(ids) and not 0 <= ids.min() <= ids.max() < len(self.surface):
-            raise ValueError("an id lies outside the vocabulary")
-        begin = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)])
-        head, tail = begin[:-1][begin[1:] > begin[:-1]], begin[1:][begin[1:] > begin[:-1]] - 1
-        hard = self.hard[ids]
-        hard[tail[self.bytes_size[ids[tail]] == 0]] = False  # an end id parts nothing
-        hard = np.concatenate([[0], np.cumsum(hard)])
-        one_by_one = hard[begin[1:]] > hard[begin[:-1]]
-        size, first = self.bytes_size[ids], self.bytes_first[ids]
-        blank = head[self.begins_blank[ids[head]]]
-        size[blank] -= 1
-        first[blank] += 1
-        ends = np.concatenate([[0], np.cumsum(size)])
-        raw = self.bytes_pool[np.arange(ends[-1]) + np.repeat(first - ends[:-1], size)]
-        out = pa.StringArray.from_buffers(len(lists), pa.py_buffer(ends[begin].astype(np.int32)), pa.py_buffer(raw))
-        if one_by_one.any():
-            rows = lists.filter(pa.array(one_by_one)).to_pylist()
-            out = pc.replace_with_mask(out, pa.array(one_by_one), pa.array(map(self.decode, rows), pa.string()))
-        return out
-
-    def _mended(self, ids: list[int]) -> str:
-        out, run = [], bytearray()
-
-        def flush() -> None:
-            at = 0
-            while at < len(run):
-                for size in (1, 2, 3, 4):
-                    try:
-                        out.append(bytes(run[at:at + size]).decode())
-                        at += size
-                        break
-                    except UnicodeDecodeError:
-                        continue
-                else:
-                    out.append("�")
-                    at += 1
-            run.clear()
-
-        for i in ids:
-            if i in self.raw:
-                run.append(self.raw[i])
-            else:
-                flush()
-                out.append(self.surface[i].decode())
-        flush()
-        return "".join(out)
-
 
-def vocabulary(path: str) -> Vocabulary:
+def loaded(kind: type, path: str):
     """The model at ``path``, read once per Python worker."""
-    if path not in _loaded:
+    if (kind, path) not in _loaded:
         _loaded.clear()
-        _loaded[path] = Vocabulary(path)
-    return _loaded[path]
+        _loaded[kind, path] = kind(path)
+    return _loaded[kind, path]
 
 
 def _mapped(rows: DataFrame, column: str, kind: str, out: str, work: Callable) -> DataFrame:
@@ -398,7 +407,7 @@ def _mapped(rows: DataFrame, column: str, kind: str, out: str, work: Callable) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in blocks(batch, column):
+            for part in blocks(batch, column, BLOCK):
                 columns = [part.column(n) for n in names]
                 yield pa.RecordBatch.from_arrays([*columns, work(part.column(column))], [*names, out])
 
@@ -418,7 +427,7 @@ def encode_pieces(docs: DataFrame, path: str, text: str | Column = "text", keep:
     rows = docs.select(picked, text_of(F.col(f"`{text}`") if isinstance(text, str) else text).alias("text"))
 
     def work(texts: pa.Array) -> pa.Array:
-        model = vocabulary(path)
+        model = loaded(Vocabulary, path)
         ids, begin = model.encode(texts.to_pylist())
         if end_id:
             ids = np.insert(ids, begin[1:], model.end)
@@ -431,4 +440,4 @@ def encode_pieces(docs: DataFrame, path: str, text: str | Column = "text", keep:
 def decode_pieces(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """``rows`` with the array ``ids`` replaced by ``text``. Null ids, or a null among them, give a null text."""
 
-    return _mapped(rows, ids, "string", "text", lambda lists: vocabulary(path).decode_lists(lists))
+    return _mapped(rows, ids, "string", "text", lambda lists: loaded(Surfaces, path).decode_lists(lists))

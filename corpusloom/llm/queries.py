@@ -126,4 +126,6 @@ def op13_backtracked_pieces(spark: SparkSession, folder: str) -> DataFrame:
     rows = encode_pieces(read_table(spark, folder, "documents"), model).select(
         "row.doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), "ids")
-    return decode_pieces(rows, model).select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+    texts = decode_pieces(rows, model).select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+    with arrow_rows(spark, 1000):
+        return persist_table(texts, "digests")
