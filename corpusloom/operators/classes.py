@@ -6,18 +6,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .dims import join_small
+from ..session import persist_table
+from .dims import SMALL_ROWS, join_small, small_or_none
+from .repeats import alone, bitmap, repeated_keys
 
 
-def drop_ambiguous(rows: DataFrame, text: str = "text", by: tuple[str, ...] = ()) -> DataFrame:
+def drop_ambiguous(rows: DataFrame, text: str = "text", by: tuple[str, ...] = (),
+                   max_rows: int = SMALL_ROWS) -> DataFrame:
     """Remove every copy of a text that occurs more than once (within ``by``).
 
-    Texts are counted by their hash: copies collapse before the shuffle, however many there are, the
-    aggregation stays a hash aggregation, and no text moves. Rows without a text are not copies of each other.
+    ``rows`` is evaluated once: it is written with the hash of each text, and all that follows reads that table. Hashes
+    are counted, few repeated ones are sent to every task, and many by a bitmap of fixed size; texts
+    do not move, but for copies and the few texts that share a bit with one, and of copies one per task does. Rows
+    without a text, or with a null in ``by``, are not copies of each other.
     """
-    marked = rows.withColumn("__h", F.unhex(F.sha2(text, 256)))
-    copies = marked.groupBy(*by, "__h").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").drop("__n")
-    return join_small(marked, copies.dropna(subset=["__h"]), [*by, "__h"], "left_anti").select(*rows.columns)
+    key = [*by, "__h"]
+    marked = persist_table(rows.withColumn("__h", F.unhex(F.md5(text))), "hashed")
+    copies = repeated_keys(marked.select(*key), key)
+    few = small_or_none(copies, max_rows)
+    if few is not None:
+        return marked.join(F.broadcast(few), key, "left_anti").select(*rows.columns)
+    return alone(marked, persist_table(bitmap(copies, key), "repeated"), key).select(*rows.columns)
 
 
 def class_counts(rows: DataFrame, by: tuple[str, ...] = (), label: str = "label") -> DataFrame:

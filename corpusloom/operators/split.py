@@ -25,6 +25,8 @@ COUNT = "decimal(38,0)"
 # Hex digits of the hash counted per group: 65,536 counts. A class of 10^12 rows
 # then ranks about 15 million rows per cut, spread over the cuts.
 PREFIX_LEN = 4
+# Cuts in a node of the search tree that places rows.
+NODE = 64
 
 
 def check_partition(partition) -> tuple[float, ...]:
@@ -147,12 +149,41 @@ def assign_parts(rows: DataFrame, quotas: DataFrame, group: list[str], key: Colu
         keyed.select(*group, "__order"), group, "__order",
         ends.withColumn("part", F.struct("pos", "part")).select(*group, "part", "end"),
     )
-    per_group = cuts.groupBy(*group).agg(
-        F.array_sort(F.collect_list(F.struct("cut", F.col("part.part").alias("part")))).alias("__cuts")
-    )
-    placed = join_small(keyed, per_group, group, "left")
-    part = F.get(F.filter("__cuts", lambda c: c["cut"] >= F.col("__order")), F.lit(0))["part"]
-    return placed.withColumn("part", part.cast(part_type)).drop("__order", "__cuts")
+    placed = place_between(keyed, cuts, group, "__order")
+    return placed.withColumn("part", F.col("part").cast(part_type)).drop("__order")
+
+
+def place_between(rows: DataFrame, cuts: DataFrame, group: list[str], order: str, wide: int = NODE) -> DataFrame:
+    """Add ``part``: that of the first cut of the row's group at or above its ``order``; NULL above all cuts.
+
+    ``cuts`` is (group, part, cut), ``part`` a struct with a field ``part``. A group's cuts are the leaves of a search
+    tree whose nodes hold ``wide`` of them. A row goes down from the top, a join per level, and is compared with the
+    cuts of a node each time; so a group of a million cuts takes three more joins than one of five, and no row and no
+    message holds all cuts of a group.
+    """
+    within = W.partitionBy(*group).orderBy("cut")
+    leaves = settle(cuts.select(
+        *group, "cut", F.col("part.part").alias("part"), (F.row_number().over(within) - 1).cast("long").alias("__at")))
+    most = leaves.agg(F.max("__at").alias("m")).first()["m"]
+    levels = [_nodes(leaves, group, F.struct("cut", "part"), wide)]
+    tops = leaves
+    while most is not None and most >= wide:
+        # the last cut of each node stands for it one level up
+        tops = tops.groupBy(*group, F.expr(f"__at div {wide}").alias("__up")).agg(
+            F.max("cut").alias("cut")).withColumnRenamed("__up", "__at")
+        levels.append(_nodes(tops, group, F.struct("cut", "__at"), wide))
+        most //= wide
+    rows = rows.withColumn("__node", F.lit(0).cast("long"))
+    reached = F.get(F.filter("__cuts", lambda c: c["cut"] >= F.col(order)), F.lit(0))
+    for level in levels[:0:-1]:
+        rows = join_small(rows, level, [*group, "__node"], "left").withColumn("__node", reached["__at"]).drop("__cuts")
+    return join_small(rows, levels[0], [*group, "__node"], "left").withColumn("part", reached["part"]).drop("__cuts", "__node")
+
+
+def _nodes(entries: DataFrame, group: list[str], entry: Column, wide: int) -> DataFrame:
+    """Sorted arrays of ``wide`` entries: (group, __node, __cuts)."""
+    return entries.groupBy(*group, F.expr(f"__at div {wide}").alias("__node")).agg(
+        F.array_sort(F.collect_list(entry)).alias("__cuts"))
 
 
 def stratified_split(rows: DataFrame, key: str, partition=(0.8, 0.1, 0.1), seed: int = FILTER_SEED,

@@ -73,8 +73,7 @@ def build_filter_task(sentences: DataFrame, queries: dict, partition=DEFAULT_PAR
         warnings.warn(f"the parts {partition} do not add up to 1; {DEFAULT_PARTITION} is used")
         partition = DEFAULT_PARTITION
     rows = multi_class_rows(sentences, queries, (*by, key, text))
-    # read several times below, and behind a shuffle: write it once
-    rows = persist_table(drop_ambiguous(rows, text, by), "filtered")
+    rows = drop_ambiguous(rows, text, by)  # a filter on a written table, read several times below
     n_classes = max(len(queries), 2)
     counts = settle(large_classes(class_counts(rows, by), by, n_classes=n_classes))
     if counts.isEmpty():

@@ -21,7 +21,7 @@ SQL_ONCE = "SELECT * FROM {src} WHERE text IN (SELECT text FROM {src} GROUP BY t
 
 def labelled_split_ratio(spark, sf):
     """Documents with their quality label to a class table of the split task."""
-    rows = persist_table(c.drop_ambiguous(d.quality_rows(spark, sf)), "labelled")
+    rows = c.drop_ambiguous(d.quality_rows(spark, sf))
     kept = c.min_class_size(rows)
     return c.class_ratio(sp.stratified_split(kept, "doc_id", (0.8, 0.1, 0.1)))
 
