@@ -68,7 +68,8 @@ def probe_task(spark: SparkSession, path: str, log_to: str | None = None, run_id
     rows = taskfile.read_task(spark, path, sep)
     name = spark.range(1).select(task_language(F.lit(path)).alias("lang"), task_category(F.lit(path)).alias("cat")).first()
     keyed = persist_table(taskfile.with_keys(rows), "task")
-    return probe.run_probe(keyed, "key", name["lang"], name["cat"], run_id=run_id, log_to=log_to, **options)
+    return probe.run_probe(keyed, "key", name["lang"], name["cat"], run_id=run_id, log_to=log_to, file_path=path,
+                           **options)
 
 
 def probe_folder(spark: SparkSession, path: str, sep: str = "\t", layers: int = 4, width: int = 32,

@@ -40,3 +40,21 @@ def hashed_ngrams(layers: int = 4, width: int = 32, seed: int = 7) -> Callable:
         return predict
 
     return make_predict_fn
+
+
+def hashed_tokens(layers: int = 4, width: int = 32, seed: int = 7) -> Callable:
+    """The same for models that give each token its own row: texts to arrays of (tokens, ``layers`` x ``width``)."""
+    make_whole = hashed_ngrams(layers, width, seed)
+
+    def make_predict_fn():
+        whole = make_whole()
+
+        def predict(texts: np.ndarray) -> list[np.ndarray]:
+            lists = [t.split() for t in texts]
+            flat = [token for tokens in lists for token in tokens]
+            rows = whole(np.array(flat, dtype=object)) if flat else np.zeros((0, layers * width), dtype=np.float32)
+            return np.split(rows, np.cumsum([len(x) for x in lists])[:-1])
+
+        return predict
+
+    return make_predict_fn

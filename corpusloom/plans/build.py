@@ -89,7 +89,10 @@ def build_filter_task(sentences: DataFrame, queries: dict, partition=DEFAULT_PAR
 
 @dataclass
 class MorphologyTasks:
-    """Task rows, what became of each task of the inventory, and of the sentences of each file."""
+    """Task rows, what became of each task of the inventory, and of the sentences of each file.
+
+    ``status`` tells of a complete task by ``check`` whether its parts hold the same classes.
+    """
 
     rows: DataFrame
     status: DataFrame
@@ -169,6 +172,7 @@ def build_ud_tasks(sentences: DataFrame, by: tuple[str, ...] = ("lang",), sortin
     complete = settle(task_complete(quotas, corpora, by))
     status = _status(sentences, counts, complete, quotas, corpora, by, sorting)
     quotas = quotas.join(complete, [*by, "subcategory", "category"], "left_semi")
+    status = status.join(label_checks(quotas, by), [*by, "subcategory", "category"], "left")
     out = _place(rows, quotas, [*task, "label"], key, seed)
     return MorphologyTasks(
         out.select(*by, mo.task_name().alias("task"), "stage", "label", key, text), status,
@@ -176,6 +180,13 @@ def build_ud_tasks(sentences: DataFrame, by: tuple[str, ...] = ("lang",), sortin
     )
 
 
+def label_checks(quotas: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Whether the parts of each task hold the same classes, from the sizes of the parts: (by, subcategory, category, check)."""
+    filled = F.filter(F.array(*[F.when(F.col(f"n_{s}") > 0, F.lit(s)) for s in STAGES]), lambda s: s.isNotNull())
+    task = (*by, "subcategory", "category")
+    return mo.split_label_check(quotas.select(*task, "label", F.explode(filled).alias("stage")), task)
+
+
 def _place(rows: DataFrame, quotas: DataFrame, group: list[str], key: str, seed: int) -> DataFrame:
     """Stages by quotas. Files that go to one stage as a whole need no order."""
     one = F.when(F.col("n_tr") == F.col("n"), "tr").when(F.col("n_va") == F.col("n"), "va").when(

@@ -7,24 +7,28 @@ the fits, a few at a time, and sees scores, never vectors.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from time import time
 
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.encoder import hashed_ngrams
-from ..operators.classes import class_weights, label_encode, label_map
+from ..functions.encoder import hashed_ngrams, hashed_tokens
+from ..operators.classes import class_counts, class_weights, label_encode, label_map
 from ..operators.dims import join_small, settle
 from ..operators.metrics import compute_metrics, log_loss
 from ..operators.split import assign_parts, control_labels
-from ..operators.vectors import encode_distinct, layer_explode, layer_select
+from ..operators.vectors import (
+    dropped_rows, encode_distinct, layer_explode, layer_select, length_filter, length_truncate, pool,
+)
 from ..session import fresh_path, persist_table
-from ..sources.runlog import write_facts
+from ..sources.runlog import parameters, write_facts
 
 # Defaults of a probe.
 HIDDEN = 256
@@ -38,15 +42,26 @@ SWEEP_FIELDS = "layer int, stage string, metric string, value double, status str
 
 def encode_layers(rows: DataFrame, key: str, text: str = "text", layers: int = 4, width: int = 32,
                   make_predict_fn: Callable | None = None, batch_size: int = ENCODE_BATCH,
-                  store: DataFrame | None = None) -> DataFrame:
-    """Long vector table of the rows; each different text goes through the model once."""
-    udf = predict_batch_udf(
-        make_predict_fn or hashed_ngrams(layers, width),
-        return_type=T.ArrayType(T.FloatType()), batch_size=batch_size,
-    )
+                  store: DataFrame | None = None, pooling: str | None = None) -> DataFrame:
+    """Long vector table of the rows; each different text goes through the model once.
+
+    The model gives a text all its layers' vectors, end to end. With ``pooling`` it gives each token of the text such a
+    row, and these are pooled (``operators.vectors.POOLINGS``). Texts of like length come together in a batch.
+    """
+    if pooling is None:
+        udf = predict_batch_udf(
+            make_predict_fn or hashed_ngrams(layers, width),
+            return_type=T.ArrayType(T.FloatType()), batch_size=batch_size,
+        )
+    else:
+        udf = token_udf(make_predict_fn or hashed_tokens(layers, width), batch_size)
 
     def encode(texts: DataFrame) -> DataFrame:
-        vectors = texts.withColumn("__v", udf(text))
+        vectors = texts.sortWithinPartitions(F.length(text)).withColumn("__v", udf(text))
+        if pooling is not None:
+            # a text without tokens has the vector of nothing
+            nothing = F.array_repeat(F.lit(0.0).cast("double"), layers * width)
+            vectors = vectors.withColumn("__v", F.coalesce(pool(F.col("__v"), pooling).cast("array<double>"), nothing).cast("array<float>"))
         cut = F.transform(F.sequence(F.lit(0), F.lit(layers - 1)),
                           lambda i: F.slice("__v", i * width + 1, F.lit(width)))
         return vectors.select("text_id", cut.alias("layers"))
@@ -54,6 +69,38 @@ def encode_layers(rows: DataFrame, key: str, text: str = "text", layers: int = 4
     return layer_explode(encode_distinct(rows, encode, key, text, store))
 
 
+def token_udf(make_predict_fn: Callable, batch_size: int):
+    """A model that gives a row of numbers per token, as a column function; it is loaded once per task."""
+
+    @F.pandas_udf("array<array<float>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        predict = make_predict_fn()
+        for texts in batches:
+            rows = []
+            for at in range(0, len(texts), batch_size):
+                rows += [list(x) for x in predict(texts.iloc[at:at + batch_size].to_numpy())]
+            yield pd.Series(rows)
+
+    return run
+
+
+def fit_length(task: DataFrame, max_len: int | None, too_long: str = "drop", text: str = "text") -> tuple[DataFrame, dict[str, int]]:
+    """Texts of at most ``max_len`` tokens, and how many rows of each stage were left out.
+
+    Tokens stand between blanks. Longer texts are dropped with their labels (``drop``), or cut (``cut``).
+    """
+    if too_long not in ("drop", "cut"):
+        raise ValueError("too_long is 'drop' or 'cut'")
+    if max_len is None:
+        return task, {}
+    cut = task.withColumn("__tokens", F.split(text, " "))
+    if too_long == "cut":
+        return length_truncate(cut, max_len, "__tokens").withColumn(
+            text, F.when(F.col(text).isNotNull(), F.array_join("__tokens", " "))).drop("__tokens"), {}
+    dropped = {r["stage"]: r["dropped"] for r in dropped_rows(cut, max_len, tokens="__tokens").collect()}
+    return length_filter(cut, max_len, "__tokens").drop("__tokens"), dropped
+
+
 def prepare(vectors: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Add label numbers and balanced weights; vectors become ML vectors."""
     one = vectors.filter(F.col("layer") == vectors.agg(F.min("layer")).first()[0])
@@ -265,30 +312,46 @@ def run_probe(task: DataFrame | None, key: str, task_language: str | None = None
               control: bool = False, layers: int = 4, width: int = 32,
               make_predict_fn: Callable | None = None, max_iter: int = 50,
               run_id: str = "run", log_to: str | None = None, probing_type: str = "layerwise",
-              vectors: DataFrame | None = None) -> DataFrame:
+              vectors: DataFrame | None = None, pooling: str | None = None, max_len: int | None = None,
+              too_long: str = "drop", batch_size: int = ENCODE_BATCH, file_path: str | None = None) -> DataFrame:
     """A whole probe of a task (key, stage, label, text) to run facts.
 
     With ``control`` the labels are permuted within each stage first. Facts are
     written to ``log_to`` when it is given, in place of those of an earlier run of that name.
     Given ``vectors`` (key, stage, label, layer, features) stand in place of the task and nothing is
     encoded; those of ``sources.vectors.from_frame`` have the one layer of ``probing_type="singlerun"``.
+    ``pooling`` takes a model of token vectors, ``max_len`` and ``too_long`` what becomes of long texts. What the run was
+    started with, the numbers of the labels, rows of each class and stage, rows left out and the time taken stand in ``params``.
     """
+    start, dropped = time(), {}
     permuted = lambda rows, by=(): control_labels(rows, key, by=by).drop("label").withColumnRenamed("control_label", "label")
     if vectors is None:
+        task, dropped = fit_length(task, max_len, too_long)
         task = permuted(task) if control else task
-        vectors = encode_layers(task, key, layers=layers, width=width, make_predict_fn=make_predict_fn)
+        vectors = encode_layers(task, key, layers=layers, width=width, make_predict_fn=make_predict_fn,
+                                batch_size=batch_size, pooling=pooling)
     elif control:
         vectors = permuted(vectors, ("layer",))  # the order hangs on key and seed alone: alike in all layers
     # written once: label tables, weights and fits read the vectors, and the model sees each text once
     vectors = persist_table(vectors, "vectors")
     scores = probe_layers(prepare(vectors), key, classifier, metrics, probing_type, max_iter)
     stage = F.when(F.col("stage") == "va", "val").when(F.col("stage") == "te", "test").otherwise("train")
+    one = vectors.filter(F.col("layer") == vectors.agg(F.min("layer")).first()[0])
+    sizes = class_counts(one, ("stage",)).collect()  # a row per stage and class
+    ratio: dict[str, dict[str, int]] = {}
+    for r in sizes:
+        ratio.setdefault(r["stage"], {})[str(r["label"])] = r["n"]
+    params = parameters({
+        "mapped_labels": {label: i for i, label in enumerate(sorted(ratio.get("tr", {})))}, "original_classes_ratio": ratio,
+        "probing_type": probing_type, "encoding_batch_size": batch_size, "metric_names": list(metrics), "max_iter": max_iter,
+        "pooling": pooling, "max_len": max_len, "too_long": too_long, "excluded_rows": dropped, "file_path": file_path,
+        "elapsed_time": round(time() - start, 3)})
     facts = scores.select(
         F.lit(run_id).alias("run_id"), F.lit(task_language).cast("string").alias("task_language"),
         F.lit(task_category).cast("string").alias("task_category"), F.lit(model_name).alias("hf_model_name"),
         F.lit(classifier).alias("classifier_name"), F.lit(control).alias("control"), "layer",
         F.lit(0).alias("epoch"), stage.alias("stage"), "metric", "value",
-        F.lit(None).cast("string").alias("log_path"),
+        F.lit(None).cast("string").alias("log_path"), params.alias("params"),
     )
     if log_to:
         write_facts(facts, log_to)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Names of the fields read from a log.
@@ -12,8 +14,7 @@ TEST_PREFIX = "test_"
 
 SCORES = "map<string,string>"
 LOG_SCHEMA = (
-    "params struct<task_language:string,task_category:string,hf_model_name:string,"
-    "classifier_name:string,probing_task:string>,"
+    "params variant,"  # whatever a run was started with
     f"results struct<val_score:{SCORES},test_score:{SCORES},"
     "train_loss:array<double>,val_loss:array<double>>"
 )
@@ -30,6 +31,16 @@ def read_logs(spark: SparkSession, paths, filename: str = LOG_NAME) -> DataFrame
     )
 
 
+def parameter(name: str, kind: str = "string", params: str = "params") -> Column:
+    """A run parameter by name, from a log or from the fact table; NULL where the run has none of that name or kind."""
+    return F.try_variant_get(params, f"$.{name}", kind)
+
+
+def parameters(values: dict) -> Column:
+    """Run parameters (numbers, texts, lists and maps by name) as one variant."""
+    return F.parse_json(F.lit(json.dumps(values, sort_keys=True)))
+
+
 def log_scores(logs: DataFrame) -> DataFrame:
     """Scores as rows: (log_path, run fields, stage, metric, layer, epoch, value).
 
@@ -43,7 +54,7 @@ def log_scores(logs: DataFrame) -> DataFrame:
         F.struct(F.lit("test").alias("stage"), F.col("results.test_score").alias("scores")),
     )).alias("s")
     per_metric = (
-        logs.select("log_path", *[F.col(f"params.{p}").alias(p) for p in PARAM_FIELDS],
+        logs.select("log_path", *[parameter(p).alias(p) for p in PARAM_FIELDS],
                     F.col("results.test_score").alias("tests"), stages)
         .select("log_path", *PARAM_FIELDS, "tests", F.col("s.stage").alias("stage"),
                 F.explode("s.scores").alias("metric", "json"))

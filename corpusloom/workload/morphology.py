@@ -194,12 +194,20 @@ def build_ud_tasks(spark, sf):
     return build.build_ud_tasks(treebanks(spark, sf)).rows.select("sent_key", "lang", "task", "label", "stage")
 
 
+SQL_SETS = """sets AS (SELECT lang, category,
+  list_sort(list(DISTINCT label) FILTER (stage = 'tr')) AS tr, list_sort(list(DISTINCT label) FILTER (stage = 'va')) AS va,
+  list_sort(list(DISTINCT label) FILTER (stage = 'te')) AS te FROM placed GROUP BY ALL)"""
+
+
 @query("ud_task_report", f"""
-WITH {d.SQL_TOK}, {SQL_FIRST}, {SQL_TASKS}, {SQL_QUOTAS}
+WITH {d.SQL_TOK}, {SQL_FIRST}, {SQL_TASKS}, {SQL_QUOTAS}, {SQL_SETS}
 SELECT lang, category, role, coalesce(k, 0) AS n_classes,
   CASE WHEN k IS NULL THEN 'no_examples' WHEN k = 1 THEN 'one_class'
-       WHEN g.category IS NULL THEN 'not_enough_data' WHEN f.category IS NULL THEN 'incomplete' ELSE 'ok' END AS status
+       WHEN g.category IS NULL THEN 'not_enough_data' WHEN f.category IS NULL THEN 'incomplete' ELSE 'ok' END AS status,
+  CASE WHEN f.category IS NULL THEN NULL WHEN coalesce(tr, []) <> coalesce(va, []) THEN 'train_validation_differ'
+       WHEN coalesce(va, []) <> coalesce(te, []) THEN 'train_test_differ' ELSE 'same' END AS "check"
 FROM inv JOIN corp USING (lang)
+LEFT JOIN sets USING (lang, category)
 LEFT JOIN (SELECT DISTINCT lang, role, category, k FROM ck) USING (lang, role, category)
 LEFT JOIN (SELECT DISTINCT lang, role, category FROM quo) g USING (lang, role, category)
 LEFT JOIN done f USING (lang, category)""")
@@ -217,16 +225,10 @@ def corpus_outcomes(spark, sf):
 
 
 @query("split_label_check", f"""
-WITH {d.SQL_TOK}, {SQL_FIRST}, {SQL_TASKS}, {SQL_QUOTAS},
-sets AS (SELECT lang, category,
-  list_sort(list(DISTINCT label) FILTER (stage = 'tr')) AS tr, list_sort(list(DISTINCT label) FILTER (stage = 'va')) AS va,
-  list_sort(list(DISTINCT label) FILTER (stage = 'te')) AS te FROM placed GROUP BY ALL)
+WITH {d.SQL_TOK}, {SQL_FIRST}, {SQL_TASKS}, {SQL_QUOTAS}, {SQL_SETS}
 SELECT lang, category, CASE WHEN coalesce(tr, []) <> coalesce(va, []) THEN 'train_validation_differ'
   WHEN coalesce(va, []) <> coalesce(te, []) THEN 'train_test_differ' ELSE 'same' END AS "check" FROM sets""")
 def split_label_check(spark, sf):
     counts, corpora, _ = _counts(spark, sf)
     quotas = build.file_quotas(counts, corpora, ("lang",))
-    stages = quotas.select("lang", "category", "label", F.explode(F.filter(F.array(*[
-        F.when(F.col(f"n_{s}") > 0, F.lit(s)) for s in ("tr", "va", "te")
-    ]), lambda x: x.isNotNull())).alias("stage"))
-    return mo.split_label_check(stages, ("lang", "category"))
+    return build.label_checks(quotas, ("lang",)).drop("subcategory")
