@@ -28,6 +28,7 @@ CRLF = "\r\n"
 END = CRLF + CRLF
 FILE_BYTES = 16 << 20   # aimed at, of payloads in one archive
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+NO_BYTES = "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ"   # fixed value: digest of a revisit's empty block
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 RECORDS = ("page_id long, url string, date string, record_type string, payload_digest string, payload_bytes long,"
            " refers_to long, record_id string, payload binary")
@@ -67,9 +68,9 @@ def resolve_revisits(heads: DataFrame, least_bytes: int = 0) -> DataFrame:
                        F.when(revisit, F.col("__best")).alias("__refers"))
 
 
-def _id(row: Column, kind: str = "") -> Column:
-    """A record id that a run again gives again: URN of a name-based UUID's form."""
-    h = F.md5(F.concat(F.lit(f"record{kind}:"), row.cast("string")))
+def _id(archive: str, row: Column) -> Column:
+    """A record id of the archive's path and the row: other archives have other ids, a task run again gives the same."""
+    h = F.md5(F.concat(F.lit(f"{archive}:"), row.cast("string")))
     parts = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 
@@ -97,12 +98,14 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", text_co
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit(CRLF))
     maybe = lambda name, value: F.coalesce(line(name, value), F.lit(""))
     record = F.concat(
-        F.lit("WARC/1.1" + CRLF), line("WARC-Type", F.col("__type")), line("WARC-Record-ID", _id(F.col("__row"))),
+        F.lit("WARC/1.1" + CRLF), line("WARC-Type", F.col("__type")), line("WARC-Record-ID", _id(path, F.col("__row"))),
         line("WARC-Date", F.lit(date)), line("WARC-Target-URI", _clean(F.col("__url"))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("__digest"))),
+        line("WARC-Block-Digest", F.concat(F.lit("sha1:"), F.when(first, F.col("__digest")).otherwise(NO_BYTES))),
         line("X-Payload-Length", F.col("__bytes")), maybe("X-Page-Id", F.col("__id")),
         F.when(first, "").otherwise(F.concat(
-            line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", _id(F.col("__refers.row"))),
+            line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", _id(path, F.col("__refers.row"))),
+            line("WARC-Refers-To-Date", F.lit(date)),
             maybe("X-Refers-To-Page", F.col("__refers.id")))),
         line("Content-Type", F.when(first, "text/html; charset=utf-8").otherwise("application/octet-stream")),
         line("Content-Length", F.octet_length(body)), F.lit(CRLF), body)
