@@ -210,7 +210,7 @@ def classify(spans: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """One row per input row: id, ``n_<kind>`` of base spans, ``base_spans`` and ``spans`` (kind:start:end, by kind
-    in the order of KINDS, then by start, comma-joined).
+    in the order of KINDS, then by start, comma-joined), ``n_spans`` of all and ``n_added`` of those beside the base.
 
     A null or empty text has no span. Places are code points. Null ids and repeated rows are rows like others; an empty
     table gives an empty result.
@@ -222,4 +222,6 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     count = lambda k: F.sum(F.when(F.col("base") & (F.col("kind") == KINDS.index(k)), 1).otherwise(0))
     return spans.groupBy("__row").agg(
         F.max(id_col).alias(id_col), *[count(k).alias(f"n_{k}") for k in BASE_KINDS],
-        line(F.col("base")).alias("base_spans"), line(F.col("found") & F.col("kind").isNotNull()).alias("spans")).drop("__row")
+        line(F.col("base")).alias("base_spans"), line(F.col("found") & F.col("kind").isNotNull()).alias("spans"),
+        F.count_if(F.col("found") & F.col("kind").isNotNull()).alias("n_spans"),
+        F.count_if(F.col("found") & F.col("kind").isNotNull() & ~F.col("base")).alias("n_added")).drop("__row")

@@ -97,7 +97,7 @@ def op8_passages(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return find_personal_data(read_table(spark, folder, "documents")).select(
-        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_spans", "n_added")
 
 
 @query
