@@ -67,6 +67,14 @@ l AS (SELECT *, CAST({bits} AS BIGINT) AS failed_bits FROM x)
 SELECT *, failed_bits & {BASE} <> 0 AS base_failed, failed_bits & {BASE | POLICIES[CURRENT]} = 0 AS kept FROM l"""
 
 
+def _ablations() -> str:
+    rules = ", ".join(f"('{p}', '{r}', {mask}, {bit})" for p, mask in POLICIES.items() for r, bit in BITS.items() if bit & mask)
+    return f"""
+SELECT policy, rule, count(*) FILTER (failed_bits & bit <> 0) AS n_failed,
+  count(*) FILTER (failed_bits & mask = bit) AS n_alone, count(*) FILTER (failed_bits & (mask - bit) = 0) AS n_kept_without
+FROM ({_quality()}) q, (VALUES {rules}) v(policy, rule, mask, bit) GROUP BY policy, rule"""
+
+
 def _base32(hex_digest: str) -> str:
     value = " + ".join(f"(strpos('0123456789abcdef', substr({hex_digest}, 5 * g + {j}, 1)) - 1) * {16 ** (5 - j)}" for j in range(1, 6))
     letters = " || ".join(f"substr('{ALPHABET}', ((v >> {15 - 5 * k}) & 31) + 1, 1)" for k in range(4))
@@ -131,6 +139,7 @@ ORACLES: dict[str, str] = {
     "op3_license_scan": _licenses(),
     "op4_warc_revisits": ARCHIVES,
     "op5_quality_rules": _quality(),
+    "op5_rule_ablations": _ablations(),
     "op6_exact_dedup": EXACT,
     "op8_line_windows": LINES,
     "op10_minmax_near_dedup": NEAR,

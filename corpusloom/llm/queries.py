@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from .mixing import mix
 from .oracles import ORACLES  # noqa: F401  (taken up by the entry points)
 from .pieces import decode_pieces, encode_pieces
 from .pii import find_personal_data
-from .quality import BASE, ledger, passes
+from .quality import BASE, POLICIES, ablations, ledger, passes
 from .resampling import resample
 from .whitening import whiten
 
@@ -129,3 +130,11 @@ def op13_backtracked_pieces(spark: SparkSession, folder: str) -> DataFrame:
     texts = decode_pieces(rows, model).select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
     with arrow_rows(spark, 1000):
         return persist_table(texts, "digests")
+
+
+@query
+def op5_rule_ablations(spark: SparkSession, folder: str) -> DataFrame:
+    """What each rule of each policy does, from the stored ledger: measured once, read by one narrow column."""
+    rows = ledger(read_table(spark, folder, "documents"), keep=["doc_id"])
+    rows = persist_table(rows.drop("__row"), "ledger", compression="zstd")
+    return reduce(DataFrame.unionByName, [ablations(rows, p).withColumn("policy", F.lit(p)) for p in POLICIES])
