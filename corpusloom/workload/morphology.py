@@ -44,6 +44,23 @@ def token_tree_paths(spark, sf):
     )
 
 
+@query("token_preorder", f"""
+WITH {d.SQL_TOK}, p AS (SELECT sent_key, id, {d.SQL_PATH} AS path FROM tok),
+sz AS (SELECT sent_key, id, count(*) AS size FROM (SELECT sent_key, unnest(path) AS id FROM p) GROUP BY ALL),
+rk AS (SELECT sent_key, id, row_number() OVER (PARTITION BY sent_key ORDER BY path) AS rank FROM p)
+SELECT sent_key, max(size) AS largest, count(*) FILTER (size = 1) AS n_leaves,
+       md5(string_agg(rank || ':' || size, ' ' ORDER BY id)) AS ranks_md5
+FROM rk JOIN sz USING (sent_key, id) GROUP BY sent_key""")
+def token_preorder(spark, sf):
+    rows = d.sentences(spark, sf).select("sent_key", morph.preorder(F.col("words")).alias("p"))
+    text = F.transform("p", lambda x: F.concat_ws(":", x["rank"].cast("string"), x["size"].cast("string")))
+    return rows.select(
+        "sent_key", F.array_max(F.col("p.size")).cast("bigint").alias("largest"),
+        F.size(F.filter("p", lambda x: x["size"] == 1)).cast("bigint").alias("n_leaves"),
+        F.md5(F.array_join(text, " ")).alias("ranks_md5"),
+    )
+
+
 @query("top_category_token", f"""
 WITH {d.SQL_TOK}, {SQL_FIRST} SELECT sent_key, category, id, form, upos, deprel, value FROM firsts""")
 def top_category_token(spark, sf):

@@ -52,6 +52,64 @@ def test_odd_trees(spark):
     assert (by["two"].s, by["none"].s, by["out"].s) == ("many_roots", "no_root", "bad_head")
 
 
+def _below(words):
+    """Size of every word's subtree by counting along heads, None for a word that comes to no root."""
+    heads = {w["id"]: w["head"] for w in words}
+
+    def path(i):
+        seen = []
+        while i and i not in seen:
+            seen.append(i)
+            i = heads.get(i)
+        return seen if i == 0 else []
+
+    paths = {i: path(i) for i in heads}
+    return {i: sum(i in p for p in paths.values()) or None for i in heads}
+
+
+def test_keys_of_both_kinds_order_alike(corpus):
+    sentences, df = corpus
+    w = F.col("words")
+    for r in df.select("sent_key", morph.preorder_key(w).alias("p"), morph.preorder_key(w, 4).alias("r")).collect():
+        words = sentences[int(r.sent_key)]
+        for keys in (r.p, r.r):
+            assert [w["id"] for _, w in sorted(zip(keys, words), key=lambda x: x[0])] == preorder(words)
+
+
+def test_preorder_ranks_and_sizes(corpus, spark):
+    sentences, df = corpus
+    rows = {r.sent_key: r.p for r in df.select("sent_key", morph.preorder(F.col("words")).alias("p")).collect()}
+    for k, s in enumerate(sentences):
+        at = {w["id"]: p for w, p in zip(s, rows[str(k)])}
+        assert [i for i, _ in sorted(at.items(), key=lambda x: x[1].rank)] == preorder(s)
+        assert {i: p.size for i, p in at.items()} == _below(s)
+    cases = [[], [0], [0, 0, 1, 2], [0, 3, 2, 1], [2, 1], [0, 9, 1, 2], [0, None, -1, 1], [1, 0, 2, 2, 4], list(range(70))]
+    odd = spark.createDataFrame(to_rows([_heads(h) for h in cases]), SCHEMA)
+    got = {int(r.sent_key): r.p for r in odd.select("sent_key", morph.preorder(F.col("words")).alias("p")).collect()}
+    pairs = [[p and tuple(p) for p in got[k]] for k in range(len(cases))]
+    assert pairs[:2] == [[], [(1, 1)]]
+    assert pairs[2] == [(1, 2), (3, 2), (2, 1), (4, 1)]
+    assert pairs[3] == [(1, 2), None, None, (2, 1)]
+    assert pairs[4] == [None, None]
+    assert pairs[5] == [(1, 2), None, (2, 1), None]
+    assert pairs[6] == [(1, 2), None, None, (2, 1)]
+    assert pairs[7] == [None] + [(1, 4), (2, 1), (3, 2), (4, 1)]
+    assert pairs[8] == [(i + 1, 70 - i) for i in range(70)]
+
+
+def test_a_chain_of_20000_words(spark):
+    n = 20_000
+    words = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.struct(
+        i.alias("id"), F.lit("w").alias("form"), F.lit("NOUN").alias("upos"), F.lit("dep").alias("deprel"),
+        (F.when(i == n, 0).otherwise(i + 1)).cast("int").alias("head"),
+        F.when(i % 7 == 0, F.create_map(F.lit("Case"), i.cast("string"))).alias("feats")))
+    df = spark.range(1).select(F.lit("s").alias("sent_key"), words.alias("words"))
+    ends = df.select(morph.preorder(F.col("words")).alias("p")).select(F.get("p", F.lit(0)).alias("a"), F.get("p", F.lit(n - 1)).alias("z")).first()
+    assert (tuple(ends.a), tuple(ends.z)) == ((n, 1), (1, n))
+    top = mo.top_category_tokens(df, ("sent_key",)).collect()
+    assert [(r.category, r.value) for r in top] == [("Case", str(n // 7 * 7))]
+
+
 def _first(words, category, test):
     at = {w["id"]: w for w in words}
     for i in preorder(words):
