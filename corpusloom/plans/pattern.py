@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,6 +36,11 @@ CATEGORIES = (
 PAIR_RULES = ("deprels", "fconstraint", "lindist")
 FEATURE_RULES = ("intersec", "disjoint")
 
+# Rounds in which candidates are narrowed, and the most nodes that are picked one by one: both add to the
+# depth of the expression, which Spark's analysis limits.
+NARROWINGS = 2
+PICKED_NODES = 5
+
 
 class Pattern:
     """A checked pattern; its methods give columns over an array of words."""
@@ -172,7 +178,8 @@ class Pattern:
         self._needs_constraints()
 
         def found(w: Column) -> Column:
-            return let(self._with_env(w, _First(self.bound)), lambda b: F.when(b.isNotNull(), F.struct(*[
+            smallest = self._one_by_one(w) if self._picked() else self._with_env(w, _First(self.bound))
+            return let(smallest, lambda b: F.when(b.isNotNull(), F.struct(*[
                 (b[n] if n in self.bound else F.get(self._own(n, w), F.lit(0))["id"]).alias(n)
                 for n in self.nodes
             ])))
@@ -203,7 +210,11 @@ class Pattern:
     # -- compilation ----------------------------------------------------------
 
     def _with_env(self, words: Column, mode: "_Any") -> Column:
-        """Filter each node's candidates once, then search over them.
+        """Filter each node's candidates once, then search over them."""
+        return self._env(words, lambda e: self._search(e, {}, self._order(), mode))
+
+    def _env(self, words: Column, body: Callable) -> Column:
+        """Candidates of every node, narrowed where the search would leap from pool to pool.
 
         Candidates pass through a lambda argument, which Spark evaluates once
         per sentence; a plain column would be inlined into the inner loops.
@@ -218,7 +229,123 @@ class Pattern:
                 for n in self.bound
             ],
         )
-        return let(env, lambda e: self._search(e, {}, self._order(), mode))
+        return let(env, lambda e: self._narrowed(e, NARROWINGS, body) if self._leaps() else body(e))
+
+    def _one_by_one(self, words: Column) -> Column:
+        """The smallest instance, a node at a time: the first candidate that some instance holds with those before it.
+
+        Each candidate is asked for one instance only, so no product of the pools is listed.
+        """
+
+        def pick(env: Column, bound: dict[str, Column], names: list[str]) -> Column:
+            if not names:
+                ids = [bound[n]["id"] for n in self.bound]
+                return F.when(ids[-1].isNotNull(), F.struct(*[i.alias(n) for n, i in zip(self.bound, ids)]))
+            name, rest = names[0], names[1:]
+
+            def some(token: Column) -> Column:
+                ends = {**bound, name: token}
+                return self._holds(name, token, bound) & self._search(env, ends, self._order(tuple(ends)), _Any())
+
+            return let(F.filter(env[f"c_{name}"], some), lambda left: let(
+                F.get(F.filter(left, lambda t: t["id"] == F.array_min(left["id"])), F.lit(0)),
+                lambda token: pick(env, {**bound, name: token}, rest)))
+
+        return self._env(words, lambda e: pick(e, {}, self.bound))
+
+    # -- narrowing ------------------------------------------------------------
+
+    def _leaps(self) -> bool:
+        """Does the search bind a node that no relation and no near window ties to the nodes before it?"""
+        relations = [set(p) for p, r in self.constraints.items() if "deprels" in r]
+        done: set[str] = set()
+        for name, how in self._order():
+            if done and how[0] == "scan" and not any(name in p and p & done for p in relations):
+                return True
+            done.add(name)
+        return False
+
+    def _picked(self) -> bool:
+        return self._leaps() and len(self.bound) <= PICKED_NODES
+
+    def _narrowed(self, env: Column, rounds: int, body: Callable) -> Column:
+        """Leave out candidates without a partner in the other pool of a pair, then go on with ``body``.
+
+        What a rule asks of the partner is summed up first: the different values of its features, and the first
+        and last place of each. A pool is compared with these, so a sentence takes words x values and not the
+        product of its words. A round narrows all pools by those of the round before. Where one pool is empty, all are.
+        """
+        if rounds == 0:
+            some = F.lit(True)
+            for n in self.bound:
+                some = some & (F.size(env[f"c_{n}"]) > 0)
+            return let(self._pools(env, lambda n: F.when(some, env[f"c_{n}"]).otherwise(F.slice(env["words"], 1, 0))), body)
+        sides = [(p, p[i], p[1 - i]) for p, r in self.constraints.items()
+                 if r and "deprels" not in r and p[0] != p[1] for i in (0, 1)]
+        if not sides:
+            return self._narrowed(env, 0, body)
+        # the summaries are a lambda argument too: made once, compared with every candidate
+        made = F.struct(*[self._summary(p, env[f"c_{other}"]).alias(f"s{i}") for i, (p, _, other) in enumerate(sides)])
+
+        def narrowed(sums: Column) -> Column:
+            def partner(pair: tuple[str, str], groups: Column, n: str, token: Column) -> Column:
+                return F.exists(groups, lambda g: self._may_hold(pair, n, token, g))
+
+            def pool(n: str) -> Column:
+                asked = [(p, sums[f"s{i}"]) for i, (p, name, _) in enumerate(sides) if name == n]
+                if not asked:
+                    return env[f"c_{n}"]
+                return F.filter(env[f"c_{n}"], lambda t: reduce(Column.__and__, [
+                    partner(p, groups, n, t) for p, groups in asked]))
+
+            return let(self._pools(env, pool), lambda e: self._narrowed(e, rounds - 1, body))
+
+        return let(made, narrowed)
+
+    def _pools(self, env: Column, pool: Callable) -> Column:
+        return F.struct(env["words"].alias("words"), env["dense"].alias("dense"),
+                        *[pool(n).alias(f"c_{n}") for n in self.bound])
+
+    def _compared(self, pair: tuple[str, str]) -> list[tuple[str, str]]:
+        rules = self.constraints[pair].get("fconstraint") or {}
+        return [(rule, category) for rule, names in rules.items() for category in names]
+
+    def _summary(self, pair: tuple[str, str], pool: Column) -> Column:
+        """Different values of the compared features in a pool, with the first and last word id of each."""
+        names = [c for _, c in self._compared(pair)]
+        if not names:
+            return F.when(F.size(pool) > 0, F.array(F.struct(
+                F.array().cast("array<string>").alias("values"), F.array_min(pool["id"]).alias("lo"),
+                F.array_max(pool["id"]).alias("hi"))))
+        # values as one text: Spark tells texts apart by hash
+        marked = F.filter(F.transform(pool, lambda t: F.struct(
+            F.to_json(F.array(*[feat(t["feats"], c) for c in names])).alias("sign"),
+            reduce(Column.__and__, [feat(t["feats"], c).isNotNull() for c in names]).alias("whole"),
+            t["id"].alias("id"))), lambda m: m["whole"])
+
+        def ends(marks: Column, sign: Column) -> list[Column]:
+            if "lindist" not in self.constraints[pair]:
+                return [F.lit(0).alias("lo"), F.lit(0).alias("hi")]
+            ids = F.filter(marks, lambda m: m["sign"] == sign)["id"]
+            return [F.array_min(ids).alias("lo"), F.array_max(ids).alias("hi")]
+
+        return let(marked, lambda marks: F.transform(F.array_distinct(marks["sign"]), lambda s: F.struct(
+            F.from_json(s, "array<string>").alias("values"), *ends(marks, s))))
+
+    def _may_hold(self, pair: tuple[str, str], name: str, token: Column, group: Column) -> Column:
+        """May the pair hold between the token, as node ``name``, and some word of the group?"""
+        test = F.lit(True)
+        for i, (rule, category) in enumerate(self._compared(pair)):
+            mine, theirs = feat(token["feats"], category), F.get(group["values"], F.lit(i))
+            test = test & F.coalesce((mine == theirs) if rule == "intersec" else (mine != theirs), F.lit(False))
+        low, high = self.constraints[pair].get("lindist", (-math.inf, math.inf))
+        if name == pair[1]:
+            low, high = -high, -low
+        if low != -math.inf:
+            test = test & (group["hi"] >= token["id"] + low)
+        if high != math.inf:
+            test = test & (group["lo"] <= token["id"] + high)
+        return test
 
     def _some(self, name: str, words: Column) -> Column:
         return F.exists(words, lambda t: self.node_matches(name, t))
@@ -231,14 +358,14 @@ class Pattern:
             dep == name and "deprels" in rules for (_, dep), rules in self.constraints.items()
         )
 
-    def _order(self) -> list[tuple[str, tuple]]:
-        """The order in which nodes are bound, and how each is reached.
+    def _order(self, given: tuple[str, ...] = ()) -> list[tuple[str, tuple]]:
+        """The order in which nodes are bound after the given ones, and how each is reached.
 
         Relations come first, along arcs from nodes bound already; the other
         constraints are tests as soon as both of their nodes are bound.
         """
         steps: list[tuple[str, tuple]] = []
-        done: set[str] = set()
+        done: set[str] = set(given)
         relations = [p for p, r in self.constraints.items() if "deprels" in r and p[0] != p[1]]
 
         def add(name: str, how: tuple) -> None:
@@ -283,19 +410,24 @@ class Pattern:
         recheck = how[0] in ("head_of", "window")
 
         def holds(token: Column) -> Column:
-            test = self._as_dependent(name, token) if recheck else F.lit(True)
-            for pair in self.constraints:
-                if name in pair and set(pair) <= set(bound) | {name}:
-                    ends = {**bound, name: token}
-                    test = test & self._pair_holds(pair, ends[pair[0]], ends[pair[1]])
-            for other in bound.values():
-                test = test & (token["id"] != other["id"])
-            return test
+            own = self._as_dependent(name, token) if recheck else F.lit(True)
+            return own & self._holds(name, token, bound)
 
         return mode.over(
             pool, holds, lambda token: self._search(env, {**bound, name: token}, rest, mode)
         )
 
+    def _holds(self, name: str, token: Column, bound: dict[str, Column]) -> Column:
+        """Does the token go with the nodes bound before it?"""
+        test = F.lit(True)
+        for pair in self.constraints:
+            if name in pair and set(pair) <= set(bound) | {name}:
+                ends = {**bound, name: token}
+                test = test & self._pair_holds(pair, ends[pair[0]], ends[pair[1]])
+        for other in bound.values():
+            test = test & (token["id"] != other["id"])
+        return test
+
     def _pool(self, env: Column, name: str, how: tuple, bound: dict[str, Column]) -> Column:
         words = env["words"]
         if how[0] == "head_of":

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -28,6 +29,12 @@ PATTERNS = {
                   {("A", "B"): {"deprels": "obj"}, ("C", "D"): {"deprels": "nsubj:pass"}}),
     "plain": ({"A": {}, "B": {"upos": "VERB"}}, {("A", "B"): {}}),
     "both_ways": ({"A": {}, "B": {}}, {("A", "B"): {"deprels": "obj"}, ("B", "A"): {"lindist": (1, 3)}}),
+    "unrelated": ({"A": {}, "B": {"upos": "NOUN|VERB"}, "C": {}},
+                  {("A", "B"): {"fconstraint": {"intersec": ["Number"], "disjoint": ["Case"]}},
+                   ("C", "B"): {"fconstraint": {"disjoint": ["Number"]}, "lindist": (-math.inf, -1)}}),
+    "far_pairs": ({"A": {}, "B": {}, "C": {}, "D": {"upos": "ADP|NOUN"}},
+                  {("A", "B"): {"deprels": "obj|obl"}, ("B", "C"): {"fconstraint": {"intersec": ["Case"]}},
+                   ("C", "D"): {"lindist": (2, math.inf)}}),
     "negated": ({"A": {"upos": "^(?!NOUN|VERB$).*$", "Tense": "pa.*"}, "B": {}}, {("A", "B"): {"deprels": ".*"}}),
 }
 
@@ -113,6 +120,45 @@ def test_long_sentence_follows_arcs(spark):
     assert got == len([1 for i in range(1, n + 1) if i % 2 == 0 and (i // 2) % 2 == 1 and (i // 2) > 1])
 
 
+LOOSE = {
+    "none": ({"A": {}, "B": {"upos": "VERB"}, "C": {"upos": "NOUN"}},
+             {("A", "B"): {"fconstraint": {"intersec": ["Number"]}}, ("B", "C"): {"fconstraint": {"intersec": ["Case"]}}}),
+    "all": ({"A": {}, "B": {}, "C": {}},
+             {("A", "B"): {"fconstraint": {"intersec": ["Number"]}}, ("B", "C"): {"lindist": (1, math.inf)}}),
+    "far": ({"A": {"upos": "ADP"}, "B": {"upos": "ADP"}, "C": {}},
+            {("A", "B"): {"lindist": (5, math.inf)}, ("B", "C"): {"fconstraint": {"disjoint": ["Number"]}}}),
+}
+
+
+@pytest.mark.parametrize("name,first", [("none", None), ("all", (1, 3, 4)), ("far", None)])
+def test_unrelated_nodes_in_a_long_sentence(spark, name, first):
+    """Three nodes without a relation between them: no product of 2,000 words each is tried."""
+    n = 2000
+    words = [{"id": i, "form": "a", "lemma": "x", "upos": "ADP" if i == n else ("NOUN", "VERB")[i % 2], "xpos": None,
+              "feats": {"Number": "Sing" if i % 2 else "Plur", "Case": f"c{i % 5}" if i % 2 == 0 else "k"},
+              "head": i - 1, "deprel": "dep"} for i in range(1, n + 1)]
+    df = spark.createDataFrame(to_rows([words]), SCHEMA).cache()
+    df.count()
+    p = Pattern(*LOOSE[name])
+    start = time.time()
+    got = df.select(p.exists(F.col("words")).alias("e"), p.first_match(F.col("words")).alias("f")).first()
+    assert got.e == (first is not None) and (got.f and tuple(got.f)) == first
+    assert time.time() - start < 30
+
+
+def test_many_nodes_are_analysed(spark):
+    """Long chains of loose constraints stay below the depth that Spark's analysis allows."""
+    words = [{"id": i, "form": "a", "lemma": "x", "upos": "NOUN", "xpos": None, "feats": {"Number": "Sing"},
+              "head": 0, "deprel": "dep"} for i in range(1, 9)]
+    df = spark.createDataFrame(to_rows([words]), SCHEMA)
+    for k in (4, 5, 7):
+        names = [f"N{i}" for i in range(k)]
+        p = Pattern({n: {} for n in names}, {(a, b): {"fconstraint": {"intersec": ["Number"]}, "lindist": (1, math.inf)}
+                                             for a, b in zip(names, names[1:])})
+        row = df.select(p.exists(F.col("words")).alias("e"), p.first_match(F.col("words")).alias("f")).first()
+        assert row.e and tuple(row.f) == tuple(range(1, k + 1))
+
+
 def test_build_filter_task(spark):
     rng = random.Random(9)
     sentences = [random_sentence(rng, 6) for _ in range(300)]
