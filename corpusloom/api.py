@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from .functions.text import task_category, task_language
 from .operators import results as rs
 from .plans import build, probe
-from .session import persist_table
+from .session import fresh_path, persist_table
 from .sources import conllu, runlog, taskfile
+from .sources.ledger import Ledger
 
 
 def convert_treebanks(spark: SparkSession, path: str | None = None, tr_path: str | None = None,
@@ -73,18 +74,23 @@ def probe_task(spark: SparkSession, path: str, log_to: str | None = None, run_id
 
 
 def probe_folder(spark: SparkSession, path: str, sep: str = "\t", layers: int = 4, width: int = 32,
-                 make_predict_fn=None, **options) -> DataFrame:
+                 make_predict_fn=None, ledger: str | None = None, **options) -> DataFrame:
     """All tasks of a folder written by ``write_tasks``: (lang, task, layer, stage, metric, value, status).
 
     The texts of all tasks go through the model in one pass, each different text once. A task that cannot
-    be probed is a row with the reason as its status. ``options`` go to ``probe.sweep``.
+    be probed is a row with the reason as its status. ``options`` go to ``probe.sweep``. With ``ledger``, a folder of this
+    job alone, a run that was stopped goes on: texts that were encoded and fits that were scored are read there.
     """
-    rows = taskfile.with_keys(taskfile.read_tasks(spark, path, sep))
-    named = rows.select(F.concat_ws("/", "lang", "task").alias("name"), "key", "stage", "label", "text")
-    named = persist_table(named, "tasks")
-    vectors = persist_table(
-        probe.encode_layers(named, "key", layers=layers, width=width, make_predict_fn=make_predict_fn), "vectors")
-    scores = probe.sweep_tasks(vectors, "key", "name", **options)
+    ledger = ledger or fresh_path(spark, "sweep")
+    book = Ledger(spark, ledger).settle_on("vectors", {"path": path, "sep": sep, "layers": layers, "width": width})
+
+    def named() -> DataFrame:
+        rows = taskfile.with_keys(taskfile.read_tasks(spark, path, sep))
+        return rows.select(F.concat_ws("/", "lang", "task").alias("name"), "key", "stage", "label", "text")
+
+    vectors = book.table("vectors", lambda: probe.encode_layers(
+        book.table("tasks", named), "key", layers=layers, width=width, make_predict_fn=make_predict_fn))
+    scores = probe.sweep_tasks(vectors, "key", "name", ledger, **options)
     return scores.select(
         F.substring_index("name", "/", 1).alias("lang"), F.regexp_replace("name", "^[^/]*/", "").alias("task"),
         "layer", "stage", "metric", "value", "status")

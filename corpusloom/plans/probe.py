@@ -28,6 +28,7 @@ from ..operators.vectors import (
     dropped_rows, encode_distinct, layer_explode, layer_select, length_filter, length_truncate, pool,
 )
 from ..session import fresh_path, persist_table
+from ..sources.ledger import Ledger, clustered
 from ..sources.runlog import parameters, write_facts
 
 # Defaults of a probe.
@@ -111,20 +112,20 @@ def prepare(vectors: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
         "label_idx", F.col("label_idx").cast("double"))
 
 
-def store_layers(prepared: DataFrame, *more: str) -> str:
+def stored(prepared: DataFrame) -> DataFrame:
+    """Prepared rows as they are written: vectors as arrays of floats."""
+    return prepared.withColumn("features", vector_to_array("features", "float32"))
+
+
+def store_layers(prepared: DataFrame) -> str:
     """Write the vectors by layer to the shared folder; gives the path."""
     path = fresh_path(prepared.sparkSession, "layers")
-    (
-        prepared.withColumn("features", vector_to_array("features", "float32"))
-        .write.partitionBy(*more, "layer").parquet(path)
-    )
+    clustered(stored(prepared), "layer").write.partitionBy("layer").parquet(path)
     return path
 
 
-def load_layer(spark: SparkSession, path: str, layer: int, **more) -> DataFrame:
+def load_layer(spark: SparkSession, path: str, layer: int) -> DataFrame:
     rows = spark.read.parquet(path).filter(F.col("layer") == layer)
-    for name, value in more.items():
-        rows = rows.filter(F.col(name) == value)
     return rows.withColumn("features", array_to_vector("features"))
 
 
@@ -263,29 +264,43 @@ def probe_layers(prepared: DataFrame, key: str, classifier: str = "logreg", metr
         return reduce(DataFrame.unionByName, list(threads.map(run, layers)))
 
 
-def sweep(prepared: DataFrame, key: str, by: str = "task", classifier: str = "logreg",
-          metrics=("f1", "accuracy"), max_iter: int = 50, at_once: int = FITS_AT_ONCE) -> DataFrame:
-    """All tasks of a collection and all layers; a failed fit becomes a row with its reason."""
-    spark = prepared.sparkSession
-    path = store_layers(layer_select(prepared), by)
-    # small jobs: names of folders, not rows of vectors
-    pairs = [(r[by], r["layer"]) for r in
-             spark.read.parquet(path).select(by, "layer").distinct().orderBy(by, "layer").collect()]
+def sweep(prepared: DataFrame | Callable[[], DataFrame], key: str, by: str = "task", classifier: str = "logreg",
+          metrics=("f1", "accuracy"), max_iter: int = 50, at_once: int = FITS_AT_ONCE,
+          ledger: str | None = None, spark: SparkSession | None = None) -> DataFrame:
+    """All tasks of a collection and all layers; a failed fit becomes a row with its reason.
+
+    Vectors and the scores of every fit are written to the folder ``ledger`` as they come. A sweep that was stopped
+    and is started again with the same ledger reads the vectors there and fits only what has no score yet; fits
+    that failed are tried again. A ledger belongs to one input and one set of options; other options are refused.
+    ``prepared`` may be a function, which is called only where the ledger lacks the vectors; it needs ``spark``.
+    """
+    spark = spark or prepared.sparkSession
+    book = Ledger(spark, ledger or fresh_path(spark, "sweep")).settle_on("sweep", {
+        "by": by, "key": key, "classifier": classifier, "metrics": list(metrics), "max_iter": max_iter})
+    make = prepared if callable(prepared) else (lambda: prepared)
+    vectors = book.table("layers", lambda: stored(layer_select(make())), by, "layer")
     schema = f"{by} string, {SWEEP_FIELDS}"
+    # small jobs: names of folders, not rows of vectors
+    pairs = [(r[by], r["layer"]) for r in vectors.select(by, "layer").distinct().orderBy(by, "layer").collect()]
+    ready = {(r[by], r["layer"]) for r in
+             book.appended("fits", schema).filter("status = 'ok'").select(by, "layer").distinct().collect()}
 
-    def run(pair) -> DataFrame:
+    def run(pair) -> None:
         task, layer = pair
         try:
-            rows = load_layer(spark, path, layer, **{by: task})
+            mine = vectors.filter((F.col(by) == task) & (F.col("layer") == layer))
+            rows = mine.withColumn("features", array_to_vector("features"))
             out = settle(_probe_one(rows, classifier, metrics, max_iter, key))
-            return out.select(F.lit(str(task)).alias(by), F.lit(layer).alias("layer"), "stage", "metric",
-                              "value", F.lit("ok").alias("status"))
+            found = out.select(F.lit(str(task)).alias(by), F.lit(layer).cast("int").alias("layer"), "stage", "metric",
+                               F.col("value").cast("double").alias("value"), F.lit("ok").alias("status"))
         except Exception as error:
             reason = f"{type(error).__name__}: {error}"
-            return spark.createDataFrame([(str(task), layer, None, None, None, reason)], schema)
+            found = spark.createDataFrame([(str(task), layer, None, None, None, reason)], schema)
+        book.append("fits", f"{task}\n{layer}", found)
 
     with ThreadPoolExecutor(at_once) as threads:
-        return reduce(DataFrame.unionByName, threads.map(run, pairs), spark.createDataFrame([], schema))
+        list(threads.map(run, [p for p in pairs if (str(p[0]), p[1]) not in ready]))
+    return book.appended("fits", schema)
 
 
 def unseen_labels(vectors: DataFrame, by: str = "task") -> DataFrame:
@@ -294,15 +309,18 @@ def unseen_labels(vectors: DataFrame, by: str = "task") -> DataFrame:
     return vectors.select(by, "label").distinct().join(seen, [by, "label"], "left_anti")
 
 
-def sweep_tasks(vectors: DataFrame, key: str, by: str = "task", **options) -> DataFrame:
+def sweep_tasks(vectors: DataFrame, key: str, by: str = "task", ledger: str | None = None, **options) -> DataFrame:
     """``sweep`` of stored vectors (key, by, stage, label, layer, features).
 
     A task with labels that its training rows lack cannot be scored: it becomes a row that names them,
-    without a layer, and the other tasks are fitted.
+    without a layer, and the other tasks are fitted. What ``ledger`` holds is not made again.
     """
-    bad = settle(unseen_labels(vectors, by).groupBy(by).agg(
+    spark = vectors.sparkSession
+    ledger = ledger or fresh_path(spark, "sweep")
+    bad = Ledger(spark, ledger).table("unseen", lambda: unseen_labels(vectors, by).groupBy(by).agg(
         F.array_join(F.sort_array(F.collect_set("label")), ", ").alias("labels")))
-    fitted = sweep(prepare(join_small(vectors, bad.select(by), [by], "left_anti"), (by,)), key, by, **options)
+    fitted = sweep(lambda: prepare(join_small(vectors, bad.select(by), [by], "left_anti"), (by,)), key, by,
+                   ledger=ledger, spark=spark, **options)
     reason = F.concat(F.lit("label not seen in training: "), F.col("labels"))
     return fitted.unionByName(bad.select(by, reason.alias("status")), allowMissingColumns=True)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ledger import clustered
+
 SCHEMA = "stage string, label string, text string"
 
 # Names of the ready-made tasks.
@@ -57,8 +59,12 @@ def task_path(name: str, folder: str) -> str:
 
 
 def write_tasks(rows: DataFrame, path: str, fmt: str = "csv", mode: str = "error") -> None:
-    """One folder per language and task below ``path``; ``rows`` has lang, task, stage, label, text."""
-    writer = rows.select("lang", "task", "stage", "label", "text").write.mode(mode).partitionBy("lang", "task")
+    """One folder per language and task below ``path``; ``rows`` has lang, task, stage, label, text.
+
+    Rows of a task come together first, so a small task is one file and a large one is written by several tasks.
+    """
+    rows = clustered(rows.select("lang", "task", "stage", "label", "text"), "lang", "task")
+    writer = rows.write.mode(mode).partitionBy("lang", "task")
     if fmt == "csv":
         # values are quoted only where they must be, quotes inside doubled
         writer = (
