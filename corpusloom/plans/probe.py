@@ -25,11 +25,12 @@ from ..operators.dims import join_small, settle
 from ..operators.metrics import compute_metrics, log_loss
 from ..operators.split import assign_parts, control_labels
 from ..operators.vectors import (
-    dropped_rows, encode_distinct, layer_explode, layer_select, length_filter, length_truncate, pool,
+    dropped_rows, encode_distinct, layer_explode, layer_select, length_filter, length_truncate, pool, text_id,
 )
 from ..session import fresh_path, persist_table
 from ..sources.ledger import Ledger, clustered
 from ..sources.runlog import parameters, write_facts
+from ..sources.vectors import VectorStore
 
 # Defaults of a probe.
 HIDDEN = 256
@@ -43,11 +44,12 @@ SWEEP_FIELDS = "layer int, stage string, metric string, value double, status str
 
 def encode_layers(rows: DataFrame, key: str, text: str = "text", layers: int = 4, width: int = 32,
                   make_predict_fn: Callable | None = None, batch_size: int = ENCODE_BATCH,
-                  store: DataFrame | None = None, pooling: str | None = None) -> DataFrame:
+                  store: DataFrame | None = None, pooling: str | None = None, keep_in: str | None = None) -> DataFrame:
     """Long vector table of the rows; each different text goes through the model once.
 
     The model gives a text all its layers' vectors, end to end. With ``pooling`` it gives each token of the text such a
     row, and these are pooled (``operators.vectors.POOLINGS``). Texts of like length come together in a batch.
+    ``keep_in`` is the folder of a store on disk, for one model: only texts that it lacks are encoded, at once, and kept there.
     """
     if pooling is None:
         udf = predict_batch_udf(
@@ -67,6 +69,12 @@ def encode_layers(rows: DataFrame, key: str, text: str = "text", layers: int = 4
                           lambda i: F.slice("__v", i * width + 1, F.lit(width)))
         return vectors.select("text_id", cut.alias("layers"))
 
+    if keep_in is not None:
+        disk = VectorStore(rows.sparkSession, keep_in, {"layers": layers, "width": width, "pooling": pooling})
+        texts = rows.filter(F.col(text).isNotNull()).groupBy(text_id(text).alias("text_id")).agg(F.first(text).alias(text))
+        disk.add(texts, encode)
+        # nothing is missing now but a text that is NULL, which has no vector
+        store, encode = disk.read(texts), lambda none: none.select("text_id", F.lit(None).cast("array<array<float>>").alias("layers"))
     return layer_explode(encode_distinct(rows, encode, key, text, store))
 
 
@@ -331,14 +339,15 @@ def run_probe(task: DataFrame | None, key: str, task_language: str | None = None
               make_predict_fn: Callable | None = None, max_iter: int = 50,
               run_id: str = "run", log_to: str | None = None, probing_type: str = "layerwise",
               vectors: DataFrame | None = None, pooling: str | None = None, max_len: int | None = None,
-              too_long: str = "drop", batch_size: int = ENCODE_BATCH, file_path: str | None = None) -> DataFrame:
+              too_long: str = "drop", batch_size: int = ENCODE_BATCH, file_path: str | None = None,
+              keep_in: str | None = None) -> DataFrame:
     """A whole probe of a task (key, stage, label, text) to run facts.
 
     With ``control`` the labels are permuted within each stage first. Facts are
     written to ``log_to`` when it is given, in place of those of an earlier run of that name.
     Given ``vectors`` (key, stage, label, layer, features) stand in place of the task and nothing is
     encoded; those of ``sources.vectors.from_frame`` have the one layer of ``probing_type="singlerun"``.
-    ``pooling`` takes a model of token vectors, ``max_len`` and ``too_long`` what becomes of long texts. What the run was
+    ``keep_in`` keeps vectors on disk from run to run, ``pooling`` takes a model of token vectors, ``max_len`` and ``too_long`` what becomes of long texts. What the run was
     started with, the numbers of the labels, rows of each class and stage, rows left out and the time taken stand in ``params``.
     """
     start, dropped = time(), {}
@@ -347,7 +356,7 @@ def run_probe(task: DataFrame | None, key: str, task_language: str | None = None
         task, dropped = fit_length(task, max_len, too_long)
         task = permuted(task) if control else task
         vectors = encode_layers(task, key, layers=layers, width=width, make_predict_fn=make_predict_fn,
-                                batch_size=batch_size, pooling=pooling)
+                                batch_size=batch_size, pooling=pooling, keep_in=keep_in)
     elif control:
         vectors = permuted(vectors, ("layer",))  # the order hangs on key and seed alone: alike in all layers
     # written once: label tables, weights and fits read the vectors, and the model sees each text once

@@ -57,6 +57,11 @@ class Ledger:
     def at(self, name: str) -> str:
         return f"{self.path}/{name}"
 
+    def done(self, start: str = "") -> list[str]:
+        """Names of the finished tables that begin so."""
+        marks = self.appended("marks", MARK).filter(F.col("name").startswith(start))
+        return sorted(r["name"] for r in marks.select("name").collect())
+
     def append(self, name: str, step: str, rows: DataFrame) -> None:
         """A few rows of one step of many, in place of those of an earlier try; steps may be written side by side."""
         rows.coalesce(1).write.mode("overwrite").parquet(f"{self.at(name)}/{_folder(step)}")
