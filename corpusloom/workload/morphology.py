@@ -35,7 +35,7 @@ FROM p GROUP BY sent_key""")
 def token_tree_paths(spark, sf):
     rows = d.sentences(spark, sf).select("sent_key", morph.token_paths(F.col("words")).alias("paths"))
     text = F.transform("paths", lambda p: F.array_join(p.cast("array<string>"), "."))
-    preorder = F.transform(F.array_sort("paths"), lambda p: F.element_at(p, -1).cast("string"))
+    preorder = F.transform(F.sort_array("paths"), lambda p: F.element_at(p, -1).cast("string"))
     return rows.select(
         "sent_key", F.array_max(F.transform("paths", lambda p: F.size(p))).cast("bigint").alias("depth"),
         F.size("paths").cast("bigint").alias("n_words"),
