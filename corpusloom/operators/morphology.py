@@ -35,31 +35,17 @@ def category_pairs(sentences: DataFrame, sorting: str | None = None,
                    by: tuple[str, ...] = ()) -> DataFrame:
     """Distinct (subcategory, category) pairs; relations are cut at the colon."""
     _check_sorting(sorting)
-    mark = "\u0001"
     known = {"by_pos": ("upos",), "by_deprel": ("deprel",), "by_pos_and_deprel": ("upos", "deprel")}
     fields = known.get(sorting, ())
-
-    def named(t: Column) -> Column:
-        upos = t["upos"] if "upos" in fields else F.lit(None)
-        base = deprel_base(t["deprel"]) if "deprel" in fields else F.lit(None)
-        sub = _subcategory(sorting, upos, base)
-        return F.transform(F.map_keys(t["feats"]), lambda k: F.concat(sub, F.lit(mark), k))
-
-    def counted(t: Column) -> Column:
-        test = t["feats"].isNotNull()
-        for field in fields:
-            test = test & F.coalesce(t[field] != "", F.lit(False))
-        return test
-
-    # pairs repeat within a sentence: drop the repeats before anything moves
-    # (as strings, which Spark compares by hash)
-    words = view(F.col("words"), "feats", *fields)
-    pairs = F.array_distinct(F.flatten(F.transform(F.filter(words, counted), named)))
-    found = sentences.select(*by, F.explode(pairs).alias("p")).distinct()
-    return found.select(
-        *by, F.split_part("p", F.lit(mark), F.lit(1)).alias("subcategory"),
-        F.split_part("p", F.lit(mark), F.lit(2)).alias("category"),
-    )
+    # words that agree in all that counts collapse in their task, before anything moves; names are made of what is left
+    tokens = sentences.select(*by, F.explode(view(F.col("words"), "feats", *fields)).alias("t"))
+    kinds = tokens.filter("t.feats IS NOT NULL").select(
+        *by, F.map_keys("t.feats").alias("names"), *[F.col(f"t.{f}").alias(f"__{f}") for f in fields]).distinct()
+    for field in fields:
+        kinds = kinds.filter(F.col(f"__{field}") != "")
+    sub = _subcategory(sorting, F.col("__upos") if "upos" in fields else F.lit(None),
+                       deprel_base(F.col("__deprel")) if "deprel" in fields else F.lit(None))
+    return kinds.select(*by, sub.alias("subcategory"), F.explode("names").alias("category")).distinct()
 
 
 def category_inventory(sentences: DataFrame, sorting: str | None = None,
