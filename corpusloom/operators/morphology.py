@@ -72,10 +72,9 @@ def top_category_tokens(sentences: DataFrame, keep: tuple[str, ...], upos: str |
     All categories come out of one pass over the sentence row. Sentences that
     are not one rooted tree have no preorder and are left out.
     """
-    firsts = first_by_category(F.col("words"), upos, deprel, match, carry)
+    firsts = first_by_category(F.col("words"), upos, deprel, match, carry, whole=True)
     return (
-        sentences.filter(tree_status(F.col("words")) == "ok")
-        .select(*keep, F.explode(firsts).alias("category", "t"))
+        sentences.select(*keep, F.explode(firsts).alias("category", "t"))
         .select(*keep, "category", *[F.col(f"t.{f}").alias(f) for f in (*carry, "value")])
     )
 

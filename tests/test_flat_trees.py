@@ -1,0 +1,65 @@
+"""Trees of many sentences at once: pieces of a batch, and no interpreted lambda per word in the plan."""
+
+from __future__ import annotations
+
+import random
+
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from corpusloom.functions import flat, morph
+from corpusloom.functions.morph import TOKEN_TYPE
+from corpusloom.operators import morphology as mo
+
+from .samples import preorder, random_sentence, to_rows
+
+SCHEMA = f"sent_key string, words array<{TOKEN_TYPE}>"
+
+
+@pytest.mark.parametrize("size", [1, 7, 1000])
+def test_pieces_hold_all_words_once(monkeypatch, size):
+    monkeypatch.setattr(flat, "PIECE", size)
+    rng = random.Random(size)
+    sentences = [random_sentence(rng, rng.randint(1, 12)) for _ in range(60)]
+    heads = [[w["head"] for w in s] for s in sentences]
+    lists = pa.array([heads[0], None, [], *heads[1:]], pa.list_(pa.int32()))
+    parts = list(flat.pieces(lists))
+    assert [i for p in parts for i in range(p.start, p.stop)] == list(range(len(lists)))
+    assert all(p.stop - p.start == 1 or flat.sizes(lists[p]).sum() <= size for p in parts)
+    got = []
+    for p in parts:
+        forest = flat.Forest(lists[p])
+        place = forest.preorder() - forest.start[forest.sentence[forest.preorder()]] + 1
+        got.extend(place.tolist())
+    assert got == [i for s in sentences for i in preorder(s)]
+
+
+def test_odd_heads_in_one_piece():
+    heads = pa.array([[0, 3, 2, 1], [0, 0], [], [0, 9, 1], [0, None, 1], None, [2, 1], [2, 0]], pa.list_(pa.int32()))
+    ids = pa.array([[1, 2, 3, 4], [1, 2], [], [1, 2, 3], [1, 2, 3], None, [1, 2], [1, 2]], pa.list_(pa.int32()))
+    forest = flat.Forest(heads)
+    assert forest.whole(ids).tolist() == [False] * 7 + [True]
+    assert forest.depth.tolist() == [1, 0, 0, 2, 1, 1, 1, 0, 2, 1, 0, 2, 0, 0, 2, 1]
+    assert not flat.Forest(heads[-1:]).whole(pa.array([[1, 3]], pa.list_(pa.int32()))).any()
+
+
+def test_no_lambda_runs_over_words(spark):
+    rows = to_rows([random_sentence(random.Random(1), 9)])
+    df = spark.createDataFrame(rows, SCHEMA)
+    frames = {"classify": mo.classify(df, ("sent_key",), "by_pos_and_deprel"),
+              "pairs": mo.category_pairs(df, "by_pos_and_deprel", ("sent_key",)),
+              "paths": df.select(morph.token_paths(F.col("words")))}
+    for name, frame in frames.items():
+        assert "lambdafunction" not in frame._jdf.queryExecution().optimizedPlan().toString(), name
+
+
+def test_null_words_and_features(spark):
+    df = spark.createDataFrame([("a", None), ("b", []), ("c", [(1, "word", "x", None, None, None, {"A": None, "B": "1"}, 0, None, None, None)])],
+                               SCHEMA)
+    got = {r.sent_key: r.m for r in df.select("sent_key", morph.first_by_category(F.col("words")).alias("m")).collect()}
+    assert got["a"] is None and got["b"] == {}
+    assert {k: (v.id, v.value) for k, v in got["c"].items()} == {"A": (1, None), "B": (1, "1")}
+    pairs = mo.category_pairs(df, None).collect()
+    assert sorted(tuple(r) for r in pairs) == [("no_sorting", "A"), ("no_sorting", "B")]
+    assert mo.category_pairs(df, "by_pos").collect() == []
