@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import flat, morph
 from corpusloom.functions.morph import TOKEN_TYPE
 from corpusloom.operators import morphology as mo
+from corpusloom.sources import conllu
 
 from .samples import preorder, random_sentence, to_rows
 
@@ -63,3 +64,21 @@ def test_null_words_and_features(spark):
     pairs = mo.category_pairs(df, None).collect()
     assert sorted(tuple(r) for r in pairs) == [("no_sorting", "A"), ("no_sorting", "B")]
     assert mo.category_pairs(df, "by_pos").collect() == []
+
+
+def test_odd_token_lines(spark):
+    """Numbers, features and missing fields as Spark's casts read them, without a lambda that parses line by line."""
+    lines = ["1\ta\t_\t_\t\tA=1|B|A=2\t 0\tdep", "2-3\tb", "3.1\t\tx\tN\tT\t_\t+2\t_\td\tm", " 4\x01\tc\td\te\tf\t\t-1",
+             "99999999999\tq\tq\tq\tq\tC=x=y\t9.5", "x"]
+    df = spark.createDataFrame([(lines,), ([],), (None,)], "lines array<string>").coalesce(1)
+    parsed = df.select(conllu.token_rows(F.col("lines")).alias("rows"))
+    assert "lambdafunction" not in parsed._jdf.queryExecution().optimizedPlan().toString()
+    got = [r["rows"] for r in parsed.collect()]
+    assert got[1:] == [[], None]
+    assert [(t.id, t.id_kind, t.form, t.lemma, t.upos, t.xpos, t.feats, t.head, t.deprel, t.deps, t.misc) for t in got[0]] == [
+        (1, "word", "a", "_", None, None, {"A": "2", "B": None}, 0, "dep", None, None),
+        (2, "range", "b", None, None, None, None, None, None, None, None),
+        (3, "empty", None, "x", "N", "T", None, 2, None, "d", "m"),
+        (4, "word", "c", "d", "e", "f", None, -1, None, None, None),
+        (None, "empty", "q", "q", "q", "q", {"C": "x=y"}, None, None, None, None),
+        (None, "empty", None, None, None, None, None, None, None, None, None)]
