@@ -52,7 +52,8 @@ SELECT sent_key, max(size) AS largest, count(*) FILTER (size = 1) AS n_leaves,
        md5(string_agg(rank || ':' || size, ' ' ORDER BY id)) AS ranks_md5
 FROM rk JOIN sz USING (sent_key, id) GROUP BY sent_key""")
 def token_preorder(spark, sf):
-    rows = d.sentences(spark, sf).select("sent_key", morph.preorder(F.col("words")).alias("p"))
+    # annotated and walked in one pass; a table of the annotated sentences would be read a single time
+    rows = d.document_lines(spark, sf).select("sent_key", morph.preorder(F.col("forms"), made_by=d.annotated).alias("p"))
     text = F.transform("p", lambda x: F.concat_ws(":", x["rank"].cast("string"), x["size"].cast("string")))
     return rows.select(
         "sent_key", F.array_max(F.col("p.size")).cast("bigint").alias("largest"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 import pyarrow as pa
@@ -12,6 +13,7 @@ from corpusloom.functions import flat, morph
 from corpusloom.functions.morph import TOKEN_TYPE
 from corpusloom.operators import morphology as mo
 from corpusloom.sources import conllu
+from corpusloom.workload import derive, morphology
 
 from .samples import preorder, random_sentence, to_rows
 
@@ -55,6 +57,40 @@ def test_no_lambda_runs_over_words(spark):
         assert "lambdafunction" not in frame._jdf.queryExecution().optimizedPlan().toString(), name
 
 
+def test_ranks_of_words_that_do_not_travel(spark):
+    """Ranks and sizes of words that are made in the same pass, and no lambda per word; NULL lists stay NULL."""
+    heads = [[0, 3, 2, 1], [0, 0, 1, 2], None, [], [0, None, -1, 1], [1, 0, 2, 2, 4]]
+    df = spark.createDataFrame([(h,) for h in heads], "h array<int>").coalesce(1)
+    made = df.select(morph.preorder(F.col("h"), made_by=_with_heads).alias("p"))
+    assert "lambdafunction" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.p and [p and tuple(p) for p in r.p] for r in made.collect()] == [
+        [(1, 2), None, None, (2, 1)], [(1, 2), (3, 2), (2, 1), (4, 1)], None, [], [(1, 2), None, None, (2, 1)],
+        [None, (1, 4), (2, 1), (3, 2), (4, 1)]]
+
+
+def _with_heads(lists: pa.Array) -> pa.Array:
+    words = pa.StructArray.from_arrays([lists.flatten()], ["head"])
+    return flat.lists_of(flat.starts(flat.sizes(lists)), words, lists)
+
+
+def test_preorder_of_documents_keeps_no_table(spark, tmp_path):
+    """The query equals the ranks of the annotated sentences, stores none of them, and has no lambda that walks a tree."""
+    text = "One two, three 4 five\n\n" + "six seven eight " * 50 + "\n .x"
+    spark.createDataFrame([(1, "en", text), (2, None, "nine"), (None, "en", None)],
+                          "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = morphology.token_preorder(spark, str(tmp_path))
+    assert not [k for k in derive._STORED if k[1] == str(tmp_path)]
+    assert "sort_array" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    want = {}
+    for r in derive.annotated_lines(spark, str(tmp_path)).collect():
+        order = preorder([{"id": w.id, "head": w.head} for w in r.words])
+        n = len(order)
+        size = {i: sum((j >> k) == i for j in range(i, n + 1) for k in range(j.bit_length())) for i in order}
+        ranks = " ".join(f"{order.index(i) + 1}:{size[i]}" for i in range(1, n + 1))
+        want[r.sent_key] = (n, sum(s == 1 for s in size.values()), hashlib.md5(ranks.encode()).hexdigest())
+    assert len(want) == 4 and {r.sent_key: (r.largest, r.n_leaves, r.ranks_md5) for r in rows.collect()} == want
+
+
 def test_null_words_and_features(spark):
     df = spark.createDataFrame([("a", None), ("b", []), ("c", [(1, "word", "x", None, None, None, {"A": None, "B": "1"}, 0, None, None, None)])],
                                SCHEMA)
